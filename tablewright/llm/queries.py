@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, sharding
+from . import neardup, packing, pii, quality, sharding, topk
 from .common import read
 
 
@@ -25,6 +25,15 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents"), pii.train(spark)))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(read(spark, sf_dir, "documents"), neardup.Scheme(shingle=3, percent=85))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
@@ -41,5 +50,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Integer scores of every query against every other row; the five highest.
+TOP_K_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_top_k": TOP_K_SQL}
