@@ -218,7 +218,7 @@ def find(docs: DataFrame, model: SpanModel) -> DataFrame:
     """docs' doc_id and text with `base` and `extra`: for each kind an array of spans (start, end, s), sorted by start.
 
     Null and empty texts have no spans. Rows are independent, so repeated rows each give their result; extra columns of
-    docs are ignored. `extra` holds selected spans that are no base span of the kind.
+    docs are ignored. `extra` holds selected spans that lie in no base span of the kind.
     """
     rows = docs.select("doc_id", whole().alias("text"))
     rows = rows.withColumns({f"_{k}": _spans(F.col("text"), BASE[k], NEEDS[k]) for k in KINDS})
@@ -229,7 +229,9 @@ def find(docs: DataFrame, model: SpanModel) -> DataFrame:
     rows = rows.withColumns({f"_x{g}": selected(k, g) for g, (k, _) in enumerate(EXTRA)})
     place = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s")))
     own = {k: [f"_x{g}" for g, (kind, _) in enumerate(EXTRA) if kind == k] for k in KINDS}
-    extra = {k: F.array_sort(F.array_except(F.array_distinct(F.concat(*map(place, own[k]))), place(f"_{k}"))) if own[k] else F.array_except(place(f"_{k}"), place(f"_{k}")) for k in KINDS}
+    outside = lambda k, x: ~F.exists(f"_{k}", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
+    added = lambda k: F.array_sort(F.array_distinct(F.filter(F.concat(*map(place, own[k])), lambda x: outside(k, x))))
+    extra = {k: added(k) if own[k] else F.filter(place(f"_{k}"), lambda x: F.lit(False)) for k in KINDS}
     return rows.select("doc_id", "text", F.struct(*[F.col(f"_{k}").alias(k) for k in KINDS]).alias("base"), F.struct(*[c.alias(k) for k, c in extra.items()]).alias("extra"))
 
 
