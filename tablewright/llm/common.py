@@ -33,28 +33,32 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/tablewright-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation.
 
-    The files go when the application ends; until then plans built on the table stay valid.
+    The files go with dropped(), or when the application ends; until then plans built on the table stay valid.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tablewright-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a stored() table that no later plan reads."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        _delete(spark, f)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of stored() tables that no later plan reads."""
+    for t in tables:
+        _delete(t.sparkSession, t.stored_at)
 
 
 def whole(text: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         new = stored(_small_star(_large_star(now)), "edges")
         row = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
-        dropped(edges.sparkSession, now)
+        dropped(now)
         now = new
         if tuple(row) == sign:
             break

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import stored, whole
+from .common import dropped, stored, whole
 from .shingles import mix, shingle_set
 
 MISS = 1e-4
@@ -167,4 +167,13 @@ def link(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
 
     named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("_part"))
     out = signed.drop("keys").join(named, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_part", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    dropped(signed, classes, shared, members, sets, links, rest, more)
+    return out
+
+
+def representatives(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
+    """docs with one row of each group: that of the smallest doc_id. Rows without doc_id stay; all columns stay."""
+    kept = link(docs, scheme).where("kept and doc_id is not null").select("doc_id").distinct()
+    known = docs.where(F.col("doc_id").isNotNull())
+    return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, pii, quality, sharding, substrings, topk
-from .common import read
+from . import decontaminate, lines, neardup, packing, pii, quality, rollup, sharding, substrings, topk
+from .common import read, scratch
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -17,14 +17,30 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = rollup.TokenRollup(spark, scratch(spark, "rollup"))
+    docs = read(spark, sf_dir, "documents")
+    counted = rollup.counted(docs.select(F.lit(1).alias("sign"), "source", "lang", "text"), {"byte_bpe_50k": vocabulary()})
+    totals.commit("documents", counted)
+    return totals.totals()
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents"), pii.train(spark)))
 
@@ -54,6 +70,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Words of a line, each variant with its gap written out, and for each variant the earliest line that has it.
+LINE_DEDUP_SQL = """
+with l as (
+    select doc_id, pos, line, list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda w: w <> '') as w
+    from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as pos from documents)
+), u as (
+    select w, min(struct_pack(d := doc_id, a := pos)) as earliest from l where len(w) > 0 group by w
+), v as (
+    select w, earliest, unnest(range(0, len(w) + 1)) as i from u where len(w) >= 8
+), k as (
+    select w, earliest, i || '#' || array_to_string(w[1:i], ' ') || '#' || array_to_string(w[i+1:], ' ') as key from v
+    union all
+    select w, earliest, i || '#' || array_to_string(w[1:i], ' ') || '#' || array_to_string(w[i+2:], ' ') from v where i < len(w)
+), near as (
+    select distinct w from k join (select key, min(earliest) as f from k group by key) using (key) where f < earliest
+), marked as (
+    select l.doc_id, l.pos, l.line, coalesce(near.w is not null, false) as near, coalesce(near.w is not null or struct_pack(d := l.doc_id, a := l.pos) > u.earliest, false) as gone
+    from l left join u on l.w = u.w left join near on l.w = near.w
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, count(*) filter (where near) as n_near,
+    coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text
+from marked group by doc_id
+"""
+
 #: Integer scores of every query against every other row; the five highest.
 TOP_K_SQL = """
 with v as (
@@ -69,4 +109,4 @@ from scored qualify row_number() over (partition by query_id order by score desc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": TOP_K_SQL}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op7_exact_top_k": TOP_K_SQL}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, whole
+from .common import dropped, stored, whole
 
 BUCKET_BITS = 10
 
@@ -42,6 +42,7 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: str = "interleave-1",
     ranked = rows.join(starts, within).withColumn("rank", F.col("start") + F.row_number().over(Window.partitionBy(*within).orderBy(*tie)))
     ranked = ranked.withColumn("fraction", (F.col("rank") - 0.5) / F.col("stratum_rows"))
     ranked = stored(ranked.select("doc_id", "source", "size", "text_crc32", "stratum", "mix", "fraction", F.floor(F.col("fraction") * (1 << bucket_bits)).alias("stretch")), "shard-ranks")
+    dropped(rows)
 
     # at most 2 ** bucket_bits rows reach this window
     stretches = ranked.groupBy("stretch").agg(F.count(F.lit(1)).alias("n")).select(

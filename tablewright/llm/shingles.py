@@ -9,6 +9,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Between tokens: every ASCII character but letters and digits.
+_BREAK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -31,11 +33,20 @@ def _power(n: int) -> np.ndarray:
 
 
 def words(text: str) -> np.ndarray:
-    """A hash of each word; words differ in case of A-Z only if they hash alike."""
+    """A hash of each word between white space; upper and lower case A-Z count as equal."""
+    return _hashes(text, _SPACE)
+
+
+def tokens(text: str) -> np.ndarray:
+    """A hash of each token, a run of ASCII letters and digits or of any other characters beyond ASCII."""
+    return _hashes(text, _BREAK)
+
+
+def _hashes(text: str, between: np.ndarray) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(data):
         return np.empty(0, np.uint64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     first, last = edge[0::2], edge[1::2]
     if not len(first):

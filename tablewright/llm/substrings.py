@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, whole
+from .common import dropped, stored, whole
 from .shingles import mix
 
 LENGTH = 400
@@ -242,8 +242,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.dropDuplicates(["rid"]).join(own, "rid").mapInPandas(cut, schema)
 
 
-def _crowded(rows: DataFrame, length: int) -> DataFrame:
-    """The same for grams with many contexts, by pre-aggregated counts of window hashes."""
+def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,7 +252,11 @@ def _crowded(rows: DataFrame, length: int) -> DataFrame:
                 hashes = [Hashes(data, b).of(s, s + length).view(np.int64) for b in BASES]
                 yield pd.DataFrame({"rid": rid, "at": at, "open": is_open, "start": first + s, "a": hashes[0], "b": hashes[1]})
 
-    each = stored(rows.mapInPandas(windows, "rid bigint, at bigint, open boolean, start bigint, a bigint, b bigint"), "windows")
+    return rows.mapInPandas(windows, "rid bigint, at bigint, open boolean, start bigint, a bigint, b bigint")
+
+
+def _often(each: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of grams with many contexts, by pre-aggregated counts of their hashes."""
     often = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
     hit = each.where("open").join(often, ["a", "b"])
     return hit.groupBy("rid", "at").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high")).select("rid", "low", "high")
@@ -271,8 +274,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     picked = kinds.join(unclear, "gram").select("gram", "range_a", "range_b", (F.col("n") == 1).alias("open"), "crowded", F.col("one.rid").alias("rid"), F.col("one.at").alias("at"))
     wanted = some.dropDuplicates(["gram", "range_a", "range_b", "rid", "at"]).join(picked, ["gram", "range_a", "range_b", "rid", "at"])
     rows = stored(_contexts(docs, wanted, length), "contexts")
-    found = clear.union(_sorted_groups(rows.where("not crowded"), length)).union(_crowded(rows.where("crowded"), length))
-    return found.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    windows = stored(_window_hashes(rows.where("crowded"), length), "windows")
+    found = clear.union(_sorted_groups(rows.where("not crowded"), length)).union(_often(windows, length))
+    spans = stored(found.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")  # a text's own spans
+    dropped(some, kinds, rows, windows)
+    return spans
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -296,7 +302,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     long_rows = rows.where(F.octet_length("text") >= length).select("rid", "text")
-    spans = stored(repeated_spans(long_rows, length, gram, crowd), "spans")
+    spans = repeated_spans(long_rows, length, gram, crowd)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
