@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, whole
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY = 2048
 GROUP = 50_000
@@ -33,11 +33,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(vocabulary)
+        known = encoder(vocabulary)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids = encoder.ids(text) + b"\0\0\0\0"
+                ids = known.ids(text) + b"\0\0\0\0"
                 n, at, piece = len(ids) // 4, 0, 0
                 while at < n:
                     end = at + ((n - 1) % capacity + 1 if at == 0 else capacity)

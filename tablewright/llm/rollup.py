@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import whole
-from .tokens import Encoder
+from .tokens import encoder
 
 KEYS = ("source", "lang", "tokenizer_version")
 DELTA = "source string, lang string, tokenizer_version string, docs bigint, tokens bigint"
@@ -33,7 +33,7 @@ def counted(changes: DataFrame, vocabularies: dict[str, str]) -> DataFrame:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoders = {name: Encoder(path) for name, path in vocabularies.items()}
+        encoders = {name: encoder(path) for name, path in vocabularies.items()}
         for batch in batches:
             for name, known in encoders.items():
                 yield batch.assign(tokenizer_version=name, tokens=[len(known.ids(t)) // 4 for t in batch["text"]]).drop(columns="text")
