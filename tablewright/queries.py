@@ -1,10 +1,420 @@
-"""Registry of the library's own queries and their oracle SQL."""
+"""The library's queries by name, each with the SQL that an independent engine runs for comparison where SQL can say it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import patterns
+from .functions.keys import hash_diff
+from .operators import dependencies, models, normalize, profile, quality, relationships
+from .plans.dependencies import Dependency, synthesize_3nf
+from .sources.catalog import TableMeta, TableSet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Columns and types of the tables that the driver provides.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def fields(table: str) -> list[tuple[str, str]]:
+    return [tuple(c.split(" ")) for c in TABLES[table].split(", ")]
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- profiling
+
+ROUNDED = {"mean": 4, "stddev": 4, "p25": 6, "p50": 6, "p75": 6, "p90": 6, "p99": 6, "avg_len": 4}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in ROUNDED.items() if c in df.columns})
+
+
+def profile_sql(source: str, table: str, columns: list[tuple[str, str]]) -> str:
+    parts = []
+    for i, (c, t) in enumerate(columns):
+        number, text = t in ("int", "bigint", "double"), t == "string"
+        x = f"cast({c} as double)"
+        q = f"quantile_cont({x}, {{}})" if number else "cast(null as double)"
+        quantiles = ", ".join(f"round({q.format(v)}, 6) as {k}" if number else f"{q} as {k}" for k, v in profile.QUANTILES.items())
+        stats = f"min({x}) as min, max({x}) as max, round(avg({x}), 4) as mean, round(stddev_samp({x}), 4) as stddev" if number else "cast(null as double) as min, cast(null as double) as max, cast(null as double) as mean, cast(null as double) as stddev"
+        lens = f"min(length({c})) as min_len, max(length({c})) as max_len, round(avg(length({c})), 4) as avg_len, count(*) filter (where {c} = '') as empties" if text else "cast(null as bigint) as min_len, cast(null as bigint) as max_len, cast(null as double) as avg_len, cast(null as bigint) as empties"
+        parts.append(f"select '{table}' as \"table\", count(*) as total, '{c}' as \"column\", '{t}' as dtype, cast({i} as integer) as position, count({c}) as non_null, count(distinct {c}) as \"distinct\", {stats}, {quantiles}, {lens} from {source}")
+    return f"""
+with p as ({" union all ".join(parts)}),
+d as (select *, total - non_null as nulls, case when total = 0 then 0.0 else floor((total - non_null) * 10000.0 / total + 0.5) / 100 end as null_pct,
+    case when non_null = 0 then 0.0 else floor("distinct" * 10000.0 / non_null + 0.5) / 100 end as distinct_pct, "distinct" = non_null and non_null > 0 as is_unique from p),
+s as (select *, 100.0 - case when null_pct > 50 then 30 when null_pct > 20 then 15 when null_pct > 5 then 5 else 0 end - case when "distinct" = 1 and total > 10 then 20 else 0 end
+    - case when distinct_pct > 99 and total < 100 then 5 else 0 end - case when coalesce(empties, 0) > total * 0.1 then 10 else 0 end as score from d)
+select * exclude (score, null_pct, distinct_pct), cast(null_pct as double) as null_pct, cast(distinct_pct as double) as distinct_pct,
+    cast(greatest(0.0, case when is_unique and null_pct = 0 then least(100.0, score + 5) else score end) as double) as quality from s"""
+
+
+def _profile(table: str):
+    return lambda spark, sf_dir: rounded(profile.columns(read(spark, sf_dir, table), table))
+
+
+for _t in TABLES:
+    query(f"profile_{_t}", profile_sql(_t, _t, fields(_t)))(_profile(_t))
+
+#: orders with nulls, constants and empty strings put in, to exercise the scores.
+HOLED = "select o_orderkey, case when o_custkey % 3 = 0 then null else o_custkey end as o_custkey, case when o_orderkey % 10 < 6 then null else o_orderstatus end as o_orderstatus, case when o_orderkey % 5 = 0 then '' else o_orderpriority end as o_orderpriority, 1 as one from orders"
+HOLED_FIELDS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_orderpriority", "string"), ("one", "int")]
+
+
+def holed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(HOLED)
+
+
+query("column_quality", profile_sql(f"({HOLED})", "holed", HOLED_FIELDS))(lambda spark, sf_dir: rounded(profile.columns(holed(spark, sf_dir), "holed")))
+
+_TWO = f"(select * from ({profile_sql(f'({HOLED})', 'holed', HOLED_FIELDS)}) union all select * from ({profile_sql('customer', 'customer', fields('customer'))}))"
+
+
+def two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.columns(holed(spark, sf_dir), "holed").unionByName(profile.columns(read(spark, sf_dir, "customer"), "customer"))
+
+
+@query("table_quality", f'select "table", round(avg(100 - null_pct), 6) as completeness, round(avg(distinct_pct), 6) as uniqueness, 100.0::double as consistency, round((avg(100 - null_pct) + avg(distinct_pct) + 100) / 3, 6) as overall from {_TWO} group by "table"')
+def table_quality(spark, sf_dir):
+    return profile.table_scores(two(spark, sf_dir)).select("table", *[F.round(c, 6).alias(c) for c in ("completeness", "uniqueness", "consistency", "overall")])
+
+
+@query("quality_issues", f"""with p as {_TWO}, t as (select "table", (avg(100 - null_pct) + avg(distinct_pct) + 100) / 3 as overall from p group by "table")
+select "table", cast(null as varchar) as "column", 'low_table_quality' as issue from t where overall < 90
+union all select distinct "table", cast(null as varchar), 'no_primary_key' from p where "table" not in (select "table" from p where is_unique and null_pct = 0)
+union all select "table", "column", 'high_nulls' from p where null_pct > 50
+union all select "table", "column", 'low_column_quality' from p where quality < 90""")
+def quality_issues(spark, sf_dir):
+    p = two(spark, sf_dir)
+    return profile.issues(p, profile.table_scores(p), threshold=90)
+
+
+@query("profile_summary", f'select count(distinct "table") as tables, count(*) as columns, round(avg(quality), 6) as avg_quality, count(*) filter (where quality >= 80) as high, count(*) filter (where quality >= 50 and quality < 80) as medium, count(*) filter (where quality < 50) as low from {_TWO}')
+def profile_summary(spark, sf_dir):
+    return profile.summary(two(spark, sf_dir)).withColumn("avg_quality", F.round("avg_quality", 6))
+
+
+query("primary_key_guess", f'select "table", arg_min("column", position) as primary_key from {_TWO} where is_unique and null_pct = 0 group by "table"')(lambda spark, sf_dir: profile.primary_key_guess(two(spark, sf_dir)))
+
+_EVENTS = profile_sql("events", "events", fields("events"))
+query("foreign_key_guesses", f"""select "table", "column", lower("column")[:length("column") - 3] as potential_reference, 'medium' as confidence from ({_EVENTS}) where lower("column") like '%\\_id' escape '\\' and not is_unique""")(lambda spark, sf_dir: profile.foreign_key_guesses(profile.columns(read(spark, sf_dir, "events"), "events")))
+
+query("top_values_events_type", "select event_type as value, count(*) as n, floor(count(*) * 10000.0 / (select count(*) from events) + 0.5) / 100 as pct from events where event_type is not null group by 1 order by n desc, value limit 10")(lambda spark, sf_dir: profile.top_values(read(spark, sf_dir, "events"), "event_type"))
+query("top_values_customer_segment", "select c_mktsegment as value, count(*) as n, floor(count(*) * 10000.0 / (select count(*) from customer) + 0.5) / 100 as pct from customer where c_mktsegment is not null group by 1 order by n desc, value limit 3")(lambda spark, sf_dir: profile.top_values(read(spark, sf_dir, "customer"), "c_mktsegment", 3))
+
+
+def histogram_sql(table: str, column: str, n: int = 20) -> str:
+    return f"""with e as (select min({column})::double as lo, max({column})::double as hi from {table})
+select cast(floor(({column} - lo) / ((hi + 1 - lo) / {n})) as bigint) + 1 as bucket, count(*) as n, min({column})::double as low, max({column})::double as high from {table}, e where {column} is not null and lo < hi group by 1"""
+
+
+query("histogram_events_value", histogram_sql("events", "value"))(lambda spark, sf_dir: profile.histogram(read(spark, sf_dir, "events"), "value"))
+query("histogram_part_size", histogram_sql("part", "p_size"))(lambda spark, sf_dir: profile.histogram(read(spark, sf_dir, "part"), "p_size"))
+query("sample_values_part", "select value from (select distinct p_name as value from part where p_name is not null) order by md5(value), value limit 100")(lambda spark, sf_dir: profile.sample_values(read(spark, sf_dir, "part"), "p_name"))
+
+# ---------------------------------------------------------------- patterns
+
+
+def pattern_sql(source: str, column: str, table: dict[str, str]) -> str:
+    quoted = {k: r.replace("'", "''") for k, r in table.items()}
+    rows = " union all ".join(f"select '{k}' as pattern, count(*) filter (where regexp_matches({column}, '{r}')) as n, count({column}) as v from {source}" for k, r in quoted.items())
+    return f"select pattern, n, floor(n * 10000.0 / v + 0.5) / 100 as pct, case when n * 100.0 / v > 95 then 'HIGH' when n * 100.0 / v > 80 then 'MEDIUM' else 'LOW' end as confidence from ({rows}) where n > 0"
+
+
+query("pattern_scan_pages_url", pattern_sql("pages", "url", patterns.PROFILE))(lambda spark, sf_dir: profile.patterns(read(spark, sf_dir, "pages"), "url"))
+query("pattern_scan_events_props", pattern_sql("events", "props", patterns.PROFILE))(lambda spark, sf_dir: profile.patterns(read(spark, sf_dir, "events"), "props"))
+
+#: Values of many formats made from customer keys.
+MIXED = """select c_custkey, case c_custkey % 8 when 0 then 'user' || c_custkey || '@example.com' when 1 then '+1-555-' || lpad(cast(c_custkey % 10000 as string), 4, '0') || '-99' when 2 then '4' || lpad(cast(c_custkey as string), 15, '0')
+    when 3 then '123-45-' || lpad(cast(c_custkey % 9999 + 1 as string), 4, '0') when 4 then '10.0.' || (c_custkey % 300) || '.7' when 5 then '2024-0' || (c_custkey % 9 + 1) || '-15' when 6 then cast(c_custkey % 100 as string) || '.5%' else c_name end as v from customer"""
+DUCK_MIXED = MIXED.replace(" as string)", " as varchar)")
+RE2_STRICT = {p.name: p.regex for p in patterns.STRICT if "(?!" not in p.regex}
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(MIXED)
+
+
+def strict_sql(rules) -> str:
+    rows = " union all ".join(f"select '{p.name}' as pattern, count(*) filter (where regexp_matches(trim(v), '{p.regex}')) as n, count(*) as c, {p.threshold * 100} as t, {p.priority} as pr from m" for p in rules)
+    return f"""with m as ({DUCK_MIXED}), r as ({rows}) select pattern, n, floor(n * 10000.0 / c + 0.5) / 100 as pct, case when n * 100.0 / c >= 95 then 'HIGH' when n * 100.0 / c >= t then 'MEDIUM' else 'LOW' end as confidence,
+    cast(row_number() over (order by n desc, pr) as integer) as rank from r where n > 0 and n * 100.0 / c >= 5"""
+
+
+_RE2 = tuple(p for p in patterns.STRICT if p.name in RE2_STRICT)
+query("strict_patterns", strict_sql(_RE2))(lambda spark, sf_dir: profile.strict_patterns(mixed(spark, sf_dir), "v", _RE2, least_pct=5.0))
+query("sensitive_scan")(lambda spark, sf_dir: profile.strict_patterns(mixed(spark, sf_dir), "v", patterns.SENSITIVE, least_pct=0.0))
+
+_FIRST = " ".join(f"when regexp_matches(trim(v), '{p.regex}') then '{p.name}'" for p in sorted(_RE2, key=lambda p: p.priority))
+query("classify_values", f"select c_custkey, case {_FIRST} end as kind from ({DUCK_MIXED})")(lambda spark, sf_dir: mixed(spark, sf_dir).select("c_custkey", patterns.first_match(F.col("v"), _RE2).alias("kind")))
+
+
+@query("mask_values", f"""select c_custkey, '***-**-' || right(v, 4) as ssn, repeat('*', greatest(length(v) - 4, 0)) || right(v, 4) as card,
+    case when len(string_split(v, '@')) = 2 and length(string_split(v, '@')[1]) > 1 then left(v, 1) || '***@' || string_split(v, '@')[2] else v end as email,
+    case when length(regexp_replace(v, '[^0-9]', '', 'g')) >= 4 then '***-***-' || right(regexp_replace(v, '[^0-9]', '', 'g'), 4) else v end as phone from ({DUCK_MIXED})""")
+def mask_values(spark, sf_dir):
+    v = F.col("v")
+    return mixed(spark, sf_dir).select("c_custkey", patterns.mask(v, "ssn").alias("ssn"), patterns.mask(v, "credit_card").alias("card"), patterns.mask(v, "email").alias("email"), patterns.mask(v, "phone").alias("phone"))
+
+
+query("json_shape_events_props", "select key, case json_type(props, '$.\"' || key || '\"') when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' else lower(json_type(props, '$.\"' || key || '\"')) end as type, count(*) as n from (select props, unnest(json_keys(props)) as key from events where json_valid(props)) group by 1, 2")(lambda spark, sf_dir: normalize.json_shape(read(spark, sf_dir, "events"), "props"))
+
+# ---------------------------------------------------------------- dependencies, keys, references
+
+
+def fd_sql(source: str, xs: list[str], ys: list[str]) -> str:
+    left = ", ".join(xs)
+    part = "select [{x}] as determinant, '{y}' as dependent, count(*) as groups, count(*) filter (where d > 1) as violations, floor((1 - count(*) filter (where d > 1) / count(*)) * 10000 + 0.5) / 10000 as confidence from (select {left}, count(distinct {y}) as d from {source} where {y} is not null group by {left})"
+    return " union all ".join(part.format(x=", ".join(f"'{x}'" for x in xs), y=y, left=left, source=source) for y in ys)
+
+
+def _fd(name: str, table: str, xs: list[str], ys: list[str]) -> None:
+    query(name, fd_sql(table, xs, ys))(lambda spark, sf_dir: dependencies.check(read(spark, sf_dir, table), xs, ys).withColumn("confidence", F.col("confidence").cast("double")))
+
+
+_fd("fd_check_documents", "documents", ["text"], ["lang", "n_chars", "source"])
+_fd("fd_check_lineitem_order", "lineitem", ["l_orderkey"], ["l_returnflag", "l_linestatus", "l_suppkey", "l_shipdate"])
+_fd("fd_check_lineitem_pair", "lineitem", ["l_partkey", "l_suppkey"], ["l_orderkey", "l_quantity", "l_tax"])
+query("fd_check_with_nulls", fd_sql(f"({HOLED})", ["o_custkey"], ["o_orderstatus", "o_orderpriority", "one"]))(lambda spark, sf_dir: dependencies.check(holed(spark, sf_dir), ["o_custkey"], ["o_orderstatus", "o_orderpriority", "one"]))
+query("fd_violations_lineitem", "select l.* from lineitem l join (select l_orderkey, l_linenumber from lineitem group by 1, 2 having count(distinct l_partkey) > 1) using (l_orderkey, l_linenumber) order by l_orderkey, l_linenumber, l_partkey, l_suppkey limit 100")(
+    lambda spark, sf_dir: dependencies.violations(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey", tie=["l_suppkey"])
+)
+query("fd_discover_nation")(lambda spark, sf_dir: dependencies.as_frame(spark, dependencies.discover(read(spark, sf_dir, "nation"))))
+query("fd_discover_documents")(lambda spark, sf_dir: dependencies.as_frame(spark, dependencies.discover(read(spark, sf_dir, "documents"), ["text", "lang", "n_chars"], max_size=2, min_confidence=1.0)))
+
+KEY_SETS = [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey"], ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]]
+
+
+def key_sql(source: str, sets: list[list[str]]) -> str:
+    out = []
+    for xs in sets:
+        full = " and ".join(f"{x} is not null" for x in xs)
+        out.append(f"select [{', '.join(repr(x) for x in xs)}] as columns, count(distinct row({', '.join(xs)})) filter (where {full}) as distinct_keys, case when count(*) filter (where {full}) > 0 then count(distinct row({', '.join(xs)})) filter (where {full}) / count(*) filter (where {full}) else 0.0 end as uniqueness, (count(*) - count(*) filter (where {full})) * 100.0 / count(*) as null_pct from {source}")
+    return " union all ".join(out)
+
+
+query("key_check_lineitem", key_sql("lineitem", KEY_SETS))(lambda spark, sf_dir: dependencies.check_keys(read(spark, sf_dir, "lineitem"), KEY_SETS))
+query("key_check_with_nulls", key_sql(f"({HOLED})", [["o_orderkey"], ["o_custkey"], ["o_custkey", "o_orderpriority"]]))(lambda spark, sf_dir: dependencies.check_keys(holed(spark, sf_dir), [["o_orderkey"], ["o_custkey"], ["o_custkey", "o_orderpriority"]]))
+
+
+def _keys(table: str):
+    def run(spark, sf_dir):
+        found = dependencies.find_keys(read(spark, sf_dir, table), max_size=2)
+        return spark.createDataFrame([(table, list(k.columns)) for k in found], "table string, columns array<string>")
+
+    return run
+
+
+for _t in ("orders", "nation", "conversations"):
+    query(f"candidate_keys_{_t}")(_keys(_t))
+
+
+def measure_sql(source: str, c: str, target: str, k: str, names: tuple[str, str], likeness: float) -> str:
+    return f"""with s as (select {c} as v, count(*) as n from {source} group by 1), m as (select count(v) as d, count(k) as hit, sum(n) as total, coalesce(sum(n) filter (where v is null), 0) as nulls, avg(n) filter (where v is not null) as refs from s left join (select distinct {k} as k from {target} where {k} is not null) on v = k),
+o as (select *, case when d > 0 then hit / d else 0.0 end as overlap, greatest(0.0, least(1.0, {likeness} * 0.4 + case when d > 0 then hit / d else 0.0 end * 0.5 + case when coalesce(refs = 1, false) then -0.05 else 0.1 end)) as score from m)
+select '{names[0]}' as from_table, '{c}' as from_column, '{names[1]}' as to_table, '{k}' as to_column, round(overlap, 6) as overlap, case when coalesce(refs <= 1.1, false) then '1:1' else '1:N' end as cardinality, cast(floor(nulls * 10000.0 / total + 0.5) / 100 as double) as null_pct, round(score, 6) as score, case when round(score, 6) >= 0.85 then 'HIGH' when round(score, 6) >= 0.65 then 'MEDIUM' else 'LOW' end as confidence from o"""
+
+
+def _inclusion(name: str, source: str, c: str, target: str, k: str) -> None:
+    query(name, measure_sql(source, c, target, k, (source, target), 0.85))(lambda spark, sf_dir: relationships.measure(read(spark, sf_dir, source), c, read(spark, sf_dir, target), k, (source, target), 0.85))
+
+
+_inclusion("inclusion_orders_customer", "orders", "o_custkey", "customer", "c_custkey")
+_inclusion("inclusion_lineitem_orders", "lineitem", "l_orderkey", "orders", "o_orderkey")
+_inclusion("inclusion_lineitem_part", "lineitem", "l_partkey", "part", "p_partkey")
+_inclusion("inclusion_labels_documents", "labels", "doc_id", "documents", "doc_id")
+_inclusion("inclusion_customer_supplier", "customer", "c_custkey", "supplier", "s_suppkey")
+
+DECLARED = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",)}
+
+
+def tableset(spark: SparkSession, sf_dir: str, names=("region", "nation", "customer", "supplier", "part", "orders", "lineitem")) -> TableSet:
+    out = TableSet.parquet(spark, sf_dir, list(names))
+    out.meta = {n: TableMeta(primary_key=DECLARED.get(n, ())) for n in names}
+    return out
+
+
+_FOUND = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+_INFER = " union all ".join(f"select * from ({measure_sql(s, c, t, k, (s, t), 0.85)})" for s, c, t, k in _FOUND)
+
+
+@query("infer_relationships", f"select * from ({_INFER}) where overlap >= 0.8")
+def infer_relationships(spark, sf_dir):
+    tables = tableset(spark, sf_dir)
+    return relationships.infer(tables.tables, tables.infos(), strip_prefix=True)
+
+
+query("orphan_values", "select c_custkey as value, count(*) as n from customer where c_custkey not in (select s_suppkey from supplier) group by 1")(lambda spark, sf_dir: relationships.orphans(read(spark, sf_dir, "customer"), "c_custkey", read(spark, sf_dir, "supplier"), "s_suppkey"))
+
+# ---------------------------------------------------------------- catalog
+
+query("list_tables", " union all ".join(f"select '{t}' as \"table\", (select count(*) from {t}) as rows, cast({len(fields(t))} as integer) as columns" for t in TABLES))(lambda spark, sf_dir: tableset(spark, sf_dir, tuple(TABLES)).list_tables())
+query("list_columns")(lambda spark, sf_dir: tableset(spark, sf_dir).list_columns())
+query("adhoc_sql", "select c_mktsegment, count(*) as n from customer where c_acctbal > 5000 group by 1")(lambda spark, sf_dir: tableset(spark, sf_dir).query("select c_mktsegment, count(*) as n from customer where c_acctbal > :least group by 1", {"least": 5000}))
+
+# ---------------------------------------------------------------- quality rules
+
+#: orders under names that the default rules know, with some bad values.
+RULED = "select o_orderkey as id, case when o_custkey % 7 = 0 then null else o_custkey end as customer_id, o_totalprice - 1500 as total_amount, o_orderdate as order_date, case when o_orderkey % 4 = 0 then '' else o_orderstatus end as status_name, case when o_orderkey % 9 = 0 then 'none' else 'a' || o_orderkey || '@b.org' end as email from orders"
+
+
+def ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(RULED)
+
+
+def _rule(column: str, rule: str, severity: str, threshold: float, observed: str, bad: str) -> str:
+    return f"select 'ruled' as \"table\", '{column}' as \"column\", '{rule}' as rule, '{severity}' as severity, cast({threshold} as double) as threshold, round({observed}, 4) as observed, not coalesce({observed} {bad}, false) as passed from r"
+
+
+_NULLS = "(count(*) - count({c})) * 100.0 / count(*)"
+_VALIDATE = f"with r as ({RULED}) " + " union all ".join([
+    _rule("id", "pk_no_nulls", "CRITICAL", 0, _NULLS.format(c="id"), "> 0"), _rule("id", "pk_uniqueness", "CRITICAL", 100, "count(distinct id) * 100.0 / count(id)", "< 100"),
+    _rule("customer_id", "id_no_nulls", "CRITICAL", 0, _NULLS.format(c="customer_id"), "> 0"), _rule("customer_id", "id_uniqueness", "HIGH", 100, "count(distinct customer_id) * 100.0 / count(customer_id)", "< 100"),
+    _rule("total_amount", "amount_non_negative", "HIGH", 100, "count(*) filter (where total_amount >= 0) * 100.0 / count(total_amount)", "< 100"), _rule("total_amount", "total_non_negative", "MEDIUM", 100, "count(*) filter (where total_amount >= 0) * 100.0 / count(total_amount)", "< 100"),
+    _rule("order_date", "date_reasonable_range", "LOW", 100, "count(*) filter (where year(order_date) between 1900 and 2100) * 100.0 / count(order_date)", "< 100"),
+    _rule("status_name", "status_completeness", "MEDIUM", 5, _NULLS.format(c="status_name"), "> 5"), _rule("status_name", "name_min_length", "LOW", 1, "min(length(status_name))::double", "< 1"),
+    _rule("email", "email_format", "MEDIUM", 95, f"count(*) filter (where regexp_matches(email, '{quality.FORMATS['email']}')) * 100.0 / count(email)", "< 95"),
+])
+query("quality_rules", _VALIDATE)(lambda spark, sf_dir: quality.validate(ruled(spark, sf_dir), "ruled"))
+query("quality_report", f"""select "table", count(*) as checks, count(*) filter (where passed) as passed, count(*) filter (where not passed) as failed, floor(count(*) filter (where passed) * 10000.0 / count(*) + 0.5) / 100 as pass_rate,
+    cast(greatest(0.0, 100.0 - sum(case when passed then 0.0 else case severity when 'CRITICAL' then 20.0 when 'HIGH' then 10.0 when 'MEDIUM' then 5.0 when 'LOW' then 2.0 else 0.5 end end)) as double) as score from ({_VALIDATE}) group by 1""")(lambda spark, sf_dir: quality.report(quality.validate(ruled(spark, sf_dir), "ruled")))
+query("referential_integrity", "select count(*) as rows, count(s_suppkey) as matched, floor(count(s_suppkey) * 10000.0 / count(*) + 0.5) / 100 as pct, (select list(cast(c_custkey as varchar) order by cast(c_custkey as varchar)) from (select distinct c_custkey from customer where c_custkey not in (select s_suppkey from supplier) order by 1 limit 5)) as missing from customer left join supplier on c_custkey = s_suppkey where c_custkey is not null")(lambda spark, sf_dir: quality.referential(read(spark, sf_dir, "customer"), "c_custkey", read(spark, sf_dir, "supplier"), "s_suppkey"))
+query("test_unique_lineitem", "select l_orderkey as value, count(*) as n from lineitem where l_orderkey is not null group by 1 having count(*) > 1")(lambda spark, sf_dir: quality.failing(read(spark, sf_dir, "lineitem"), "unique", "l_orderkey"))
+query("test_not_null", f"select * from ({RULED}) where customer_id is null")(lambda spark, sf_dir: quality.failing(ruled(spark, sf_dir), "not_null", "customer_id"))
+query("test_relationships", "select c_nationkey as value, count(*) as n from customer where c_nationkey not in (select r_regionkey from region) group by 1")(lambda spark, sf_dir: quality.failing(read(spark, sf_dir, "customer"), "relationships", "c_nationkey", read(spark, sf_dir, "region"), "r_regionkey"))
+
+# ---------------------------------------------------------------- normalization on data
+
+query("bridge_embeddings", "select vec_id as embeddings_vec_id, embedding[i] as embedding_value, cast(i as integer) as sequence from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)")(lambda spark, sf_dir: normalize.explode_array(read(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", "embeddings"))
+query("split_part_names", "select distinct p_partkey as part_p_partkey, trim(w) as p_name_value from (select p_partkey, unnest(string_split(p_name, ' ')) as w from part) where trim(w) <> ''")(lambda spark, sf_dir: normalize.split_values(read(spark, sf_dir, "part"), ["p_partkey"], "p_name", "part", " "))
+query("unpivot_prices", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_discount' as rate_type, l_discount as rate from lineitem where l_discount is not null union all select l_orderkey, l_linenumber, l_partkey, l_suppkey, 'l_tax', l_tax from lineitem where l_tax is not null")(lambda spark, sf_dir: normalize.unpivot_group(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_discount", "l_tax"], "rate"))
+query("json_columns_events", "select event_id, ts, user_id, event_type, value, json_extract_string(props, '$.k') as props_k from events")(lambda spark, sf_dir: normalize.json_columns(read(spark, sf_dir, "events"), "props", {"k": "string"}))
+query("delimiter_documents", "with c as (select count(*) as v, " + ", ".join(f"count(*) filter (where contains(text, {('chr(9)', 'chr(10)')[d == chr(10)] if d in (chr(9), chr(10)) else repr(d)})) as n{i}" for i, d in enumerate(normalize.DELIMITERS)) + " from documents where text is not null) select d as delimiter, n, v as values from (" + " union all ".join(f"select {('chr(9)', 'chr(10)')[d == chr(10)] if d in (chr(9), chr(10)) else repr(d)} as d, {i} as i, n{i} as n, v from c" for i, d in enumerate(normalize.DELIMITERS)) + ") where n >= 3 and n >= 0.1 * v order by n desc, i limit 1")(lambda spark, sf_dir: normalize.delimiter(read(spark, sf_dir, "documents"), "text"))
+
+WIDE = "select o_orderkey, o_custkey, o_totalprice, c_name, c_nationkey, n_name, n_regionkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
+WIDE_FDS = [Dependency(("o_orderkey",), c) for c in ("o_custkey", "o_totalprice")] + [Dependency(("o_custkey",), c) for c in ("c_name", "c_nationkey")] + [Dependency(("c_nationkey",), c) for c in ("n_name", "n_regionkey")]
+WIDE_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "c_name", "c_nationkey", "n_name", "n_regionkey"]
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    for t in ("orders", "customer", "nation"):
+        read(spark, sf_dir, t).createOrReplaceTempView(t)
+    return spark.sql(WIDE)
+
+
+def _relation(i: int):
+    parts = [r for r, _ in synthesize_3nf(WIDE_COLUMNS, WIDE_FDS)]
+    return lambda spark, sf_dir: normalize.relations(wide(spark, sf_dir), parts)[i]
+
+
+for _i, (_cols, _key) in enumerate(synthesize_3nf(WIDE_COLUMNS, WIDE_FDS)):
+    query(f"relation_3nf_{_key[0]}", f"select distinct {', '.join(_cols)} from ({WIDE})")(_relation(_i))
+
+
+@query("lossless_proof", "select cast(0 as bigint) as lost, cast(0 as bigint) as gained")
+def lossless_proof(spark, sf_dir):
+    df = wide(spark, sf_dir)
+    return normalize.lost_or_gained(df, normalize.relations(df, [r for r, _ in synthesize_3nf(WIDE_COLUMNS, WIDE_FDS)]))
+
+
+# ---------------------------------------------------------------- models
+
+
+def _sur(*columns: str) -> str:
+    return "md5(" + " || '-' || ".join(f"coalesce(cast({c} as varchar), '_null_')" for c in columns) + ")"
+
+
+def _hk(*columns: str) -> str:
+    return "md5(" + " || '|' || ".join(f"coalesce(cast({c} as varchar), '^^')" for c in columns) + ")"
+
+
+query("staging_orders", "select o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders")(lambda spark, sf_dir: models.staging(read(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"]))
+query("dim_customer", f"select {_sur('c_custkey')} as customer_key, c_custkey, c_name, c_mktsegment, n_name from customer left join nation on c_nationkey = n_nationkey")(
+    lambda spark, sf_dir: models.dimension(models.join_on(read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation"), [("c_nationkey", "n_nationkey")], ["n_name"]), "customer", ["c_custkey"], ["c_name", "c_mktsegment", "n_name"])
+)
+query("fact_lineitem", f"select {_sur('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} as lineitem_key, {_sur('l_partkey')} as part_key, {_sur('l_suppkey')} as supplier_key, l_orderkey, l_quantity, l_extendedprice from lineitem")(
+    lambda spark, sf_dir: models.fact(read(spark, sf_dir, "lineitem"), "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], {"part": ["l_partkey"], "supplier": ["l_suppkey"]}, ["l_quantity", "l_extendedprice"], ["l_orderkey"])
+)
+query("date_dimension", "select cast(strftime(d, '%Y%m%d') as integer) as date_key, cast(d as date) as date, cast(year(d) as integer) as year, cast(quarter(d) as integer) as quarter, cast(month(d) as integer) as month, cast(day(d) as integer) as day, cast(isodow(d) - 1 as integer) as weekday, isodow(d) > 5 as is_weekend from (select unnest(range(timestamp '2023-12-25', timestamp '2025-01-11', interval 1 day)) as d)")(lambda spark, sf_dir: models.date_dimension(spark, "2023-12-25", "2025-01-10"))
+query("junk_dimension", f"select distinct {_sur('l_returnflag', 'l_linestatus')} as flags_key, l_returnflag, l_linestatus from lineitem")(lambda spark, sf_dir: models.junk_dimension(read(spark, sf_dir, "lineitem"), "flags", ["l_returnflag", "l_linestatus"]))
+query("measure_additive", "select l_returnflag, round(sum(l_quantity), 2) as sum_l_quantity from lineitem group by 1")(lambda spark, sf_dir: models.additive(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity").withColumn("sum_l_quantity", F.round("sum_l_quantity", 2)))
+query("measure_semi_additive", "select user_id, arg_max(value, row(ts, event_id)) as last_value from events group by 1")(lambda spark, sf_dir: models.semi_additive(read(spark, sf_dir, "events"), ["user_id"], "value", "ts", "event_id"))
+query("measure_ratio", "select l_linestatus, round(sum(l_tax) / sum(l_quantity), 8) as tax_per_unit from lineitem group by 1")(lambda spark, sf_dir: models.ratio(read(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_tax", "l_quantity", "tax_per_unit").withColumn("tax_per_unit", F.round("tax_per_unit", 8)))
+query("bridge_allocation", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, 1.0 / count(*) over (partition by l_orderkey) as allocation_factor from lineitem")(lambda spark, sf_dir: models.allocation(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey"]).withColumn("allocation_factor", F.col("allocation_factor").cast("double")))
+
+_VERSIONS = "with h as (select user_id, ts, arg_max(event_type, event_id) as event_type from events group by 1, 2), c as (select *, lag(event_type) over w as b, row_number() over w as r from h window w as (partition by user_id order by ts)), v as (select user_id, event_type, ts as valid_from, lead(ts) over (partition by user_id order by ts) as valid_to from c where r = 1 or event_type is distinct from b) "
+query("scd0_first", "select user_id, arg_min(event_type, row(ts, event_id)) as event_type, arg_min(value, row(ts, event_id)) as value from events group by 1")(lambda spark, sf_dir: models.scd0(read(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_type", "value"))
+query("scd1_latest", "select user_id, arg_max(event_type, row(ts, event_id)) as event_type, arg_max(value, row(ts, event_id)) as value from events group by 1")(lambda spark, sf_dir: models.scd1(read(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_type", "value"))
+query("scd2_events_user", _VERSIONS + "select user_id, event_type, valid_from, valid_to, valid_to is null as is_current from v")(lambda spark, sf_dir: models.scd2(read(spark, sf_dir, "events"), ["user_id"], ["event_type"], "ts", "event_id"))
+query("scd3_previous", _VERSIONS + ", p as (select *, lag(event_type) over (partition by user_id order by valid_from) as pr from v) select user_id, event_type as current_event_type, pr as previous_event_type, valid_from as changed_at from p where valid_to is null")(lambda spark, sf_dir: models.scd3(read(spark, sf_dir, "events"), ["user_id"], "event_type", "ts", "event_id"))
+
+def loaded():
+    """Load time of the batch loads."""
+    return F.lit("2024-01-01").cast("date")
+
+query("hub_customer", f"select {_hk('c_custkey')} as HK_customer, c_custkey, date '2024-01-01' as LOAD_DTS, 'crm' as RECORD_SOURCE from customer")(lambda spark, sf_dir: models.hub(read(spark, sf_dir, "customer"), "customer", ["c_custkey"], "crm", loaded()))
+query("hub_increment", f"select {_hk('c_custkey')} as HK_customer, c_custkey, date '2024-01-01' as LOAD_DTS, 'crm' as RECORD_SOURCE from customer where c_custkey % 3 <> 0")(
+    lambda spark, sf_dir: models.hub(read(spark, sf_dir, "customer"), "customer", ["c_custkey"], "crm", loaded(), models.hub(read(spark, sf_dir, "customer").where("c_custkey % 3 = 0"), "customer", ["c_custkey"], "old", loaded()))
+)
+query("link_order_customer", f"select {_hk('o_orderkey', 'o_custkey')} as LK_order_customer, {_hk('o_orderkey')} as HK_order, {_hk('o_custkey')} as HK_customer, date '2024-01-01' as LOAD_DTS, 'erp' as RECORD_SOURCE from orders")(lambda spark, sf_dir: models.link(read(spark, sf_dir, "orders"), "order_customer", {"order": ["o_orderkey"], "customer": ["o_custkey"]}, "erp", loaded()))
+query("ghost_hub", f"select {_hk('r_name')} as HK_region, r_name, date '2024-01-01' as LOAD_DTS, 'crm' as RECORD_SOURCE from region union all select repeat('0', 32), '-1', date '1900-01-01', 'SYSTEM'")(lambda spark, sf_dir: models.with_ghost(models.hub(read(spark, sf_dir, "region"), "region", ["r_name"], "crm", loaded()), "HK_region", ["r_name"]))
+
+
+def user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.vault_stage(read(spark, sf_dir, "events"), "HK_user", ["user_id"], ["event_type"], "web", F.col("ts"))
+
+
+_SAT = f"with h as (select {_hk('user_id')} as HK_user, ts as LOAD_DTS, user_id, {_hk('event_type')} as HASHDIFF, event_type from events), d as (select HK_user, LOAD_DTS, user_id, max(HASHDIFF) as HASHDIFF, arg_max(event_type, HASHDIFF) as event_type from h group by 1, 2, 3), c as (select *, lag(HASHDIFF) over (partition by HK_user order by LOAD_DTS) as b from d), s as (select HK_user, LOAD_DTS, HASHDIFF, user_id, event_type, 'web' as RECORD_SOURCE, lead(LOAD_DTS) over (partition by HK_user order by LOAD_DTS) as LOAD_END_DTS from c where b is null or HASHDIFF <> b) "
+query("sat_user", _SAT + "select * from s")(lambda spark, sf_dir: models.satellite(user_history(spark, sf_dir), "HK_user"))
+query("hashdiff_customer", f"select c_custkey, {_hk('c_mktsegment', 'c_name', 'c_nationkey')} as hashdiff from customer")(lambda spark, sf_dir: read(spark, sf_dir, "customer").select("c_custkey", hash_diff("c_nationkey", "c_name", "c_mktsegment").alias("hashdiff")))
+
+
+@query("pit_user", _SAT + ", t as (select unnest([timestamp '2024-01-02', timestamp '2024-01-15', timestamp '2024-06-01']) as snapshot), k as (select distinct HK_user from s) select k.HK_user, t.snapshot, coalesce((select max(LOAD_DTS) from s where s.HK_user = k.HK_user and s.LOAD_DTS <= t.snapshot), timestamp '1900-01-01') as sat_LOAD_DTS from k, t")
+def pit_user(spark, sf_dir):
+    sat = models.satellite(user_history(spark, sf_dir), "HK_user")
+    snaps = spark.sql("select explode(array(timestamp_ntz'2024-01-02', timestamp_ntz'2024-01-15', timestamp_ntz'2024-06-01')) as snapshot")
+    return models.point_in_time(sat.select("HK_user").distinct(), snaps, "HK_user", {"sat": sat})
+
+
+query("bridge_vault", f"select {_hk('o_orderkey', 'o_custkey')} as LK_order_customer, o_orderkey, o_custkey from orders")(
+    lambda spark, sf_dir: models.bridge(
+        models.link(read(spark, sf_dir, "orders"), "order_customer", {"order": ["o_orderkey"], "customer": ["o_custkey"]}, "erp", loaded()),
+        [models.hub(read(spark, sf_dir, "orders"), "order", ["o_orderkey"], "erp", loaded()), models.hub(read(spark, sf_dir, "orders"), "customer", ["o_custkey"], "erp", loaded())], ["order", "customer"],
+    ).select("LK_order_customer", "o_orderkey", "o_custkey")
+)
