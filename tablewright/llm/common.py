@@ -62,3 +62,11 @@ def dropped(*tables: DataFrame) -> None:
 def whole(text: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

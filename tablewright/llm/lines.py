@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, whole
+from .common import dropped, free_name, stored, whole
 
 MIN_WORDS = 8
 #: Gaps of the second filter.
@@ -125,20 +125,19 @@ def _removals(docs: DataFrame) -> DataFrame:
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
     """docs with repeated and near-repeated lines taken out of `text`, and n_lines, n_removed, n_near (lines) added.
 
     Null texts count as empty: one blank line, nothing removed, text stays null. Null doc_ids come last in the order. Rows that
     repeat doc_id and text are one document. A document may lose all its lines; it stays with empty text. All columns of docs
-    stay; n_lines, n_removed and n_near replace columns of that name.
+    stay; n_lines, n_removed and n_near replace columns of that name. Without counts no column is added.
     """
-    rows = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    removed = _removals(rows.select(F.col("_k").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")))
-    removed = removed.select(F.col("k").alias("_k"), F.col("cut").alias("_cut"), F.size("near").alias("_near"))
-    both = rows.join(removed, "_k", "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_cut", i))
-    return both.withColumns({
-        "n_lines": F.size(F.split(whole(), "\n")).cast("long"), "n_removed": F.coalesce(F.size("_cut"), F.lit(0)).cast("long"), "n_near": F.coalesce("_near", F.lit(0)).cast("long"),
-        "text": F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-    }).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "n_near")], "n_lines", "n_removed", "n_near")
+    key, cut, near = (free_name(docs, n) for n in ("_k", "_cut", "_near"))
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    removed = _removals(rows.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")))
+    both = rows.join(removed.select(F.col("k").alias(key), F.col("cut").alias(cut), F.size("near").alias(near)), key, "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, i))
+    new = {"text": F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
+    if counts:
+        new |= {"n_lines": F.size(F.split(whole(), "\n")).cast("long"), "n_removed": F.coalesce(F.size(cut), F.lit(0)).cast("long"), "n_near": F.coalesce(near, F.lit(0)).cast("long")}
+    return both.withColumns(new).select(*[c for c in docs.columns if c not in new or c == "text"], *[c for c in new if c != "text"])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import boosting
-from .common import whole
+from .common import free_name, whole
 
 STATISTICS = (
     "log_chars", "log_words", "word_chars", "upper", "digits", "spaces", "other_ascii", "non_ascii", "bars", "shouts", "marks",
@@ -141,7 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: RuleModel, accept: float = ACCEPT) -> DataFrame:
-    """docs with `_score` (0 to 1) and `_accepted` added; every row is scored, null text as empty. Other columns stay."""
-    out = docs.withColumn("_stats", statistics(whole()))
-    out = out.withColumn("_score", model.column("_stats")).drop("_stats")
+    """docs with `_score` (0 to 1) and `_accepted` added; every row is scored, null text as empty.
+
+    All columns of docs stay, but for columns of these two names, which are replaced.
+    """
+    stats = free_name(docs, "_stats")
+    out = docs.withColumn(stats, statistics(whole()))
+    out = out.withColumn("_score", model.column(stats)).drop(stats)
     return out.withColumn("_accepted", F.col("_score") >= accept)
+
+
+def accepted(docs: DataFrame, model: RuleModel, accept: float = ACCEPT) -> DataFrame:
+    """The rows of docs that reach the score, with all their columns as they were."""
+    stats = free_name(docs, "_stats")
+    return docs.withColumn(stats, statistics(whole())).where(model.column(stats) >= accept).drop(stats)

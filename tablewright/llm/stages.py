@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, lines, neardup, packing, quality
-from .common import read, stored
+from .common import dropped, read, stored
 from .queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts, unchanged; rejected ones go."""
-    model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("_accepted").select(*docs.columns)
+    return quality.accepted(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its repeated and near-repeated lines; n_chars follows the text."""
-    return lines.dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return lines.dedup(docs, counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +48,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            dropped(before)
     return docs
