@@ -85,3 +85,32 @@ def lost_or_gained(df: DataFrame, parts: list[DataFrame]) -> DataFrame:
     base = df.distinct()
     lost, gained = base.exceptAll(again).agg(F.count(F.lit(1)).alias("lost")), again.exceptAll(base).agg(F.count(F.lit(1)).alias("gained"))
     return lost.join(gained, F.lit(True))
+
+
+#: Names that hold several values in one, and what they split into (fixed values).
+COMPOUND = {
+    "full_name": ("first_name", "last_name"), "name": ("first_name", "last_name"), "fullname": ("first_name", "last_name"),
+    "address": ("street", "city", "state", "postal_code", "country"), "full_address": ("street", "city", "state", "postal_code", "country"), "location": ("city", "state", "country"),
+    "datetime": ("date", "time"), "date_time": ("date", "time"), "phone_fax": ("phone", "fax"), "start_end": ("start", "end"), "min_max": ("min_value", "max_value"), "first_last": ("first", "last"),
+    "lat_long": ("latitude", "longitude"), "latitude_longitude": ("latitude", "longitude"), "coordinates": ("latitude", "longitude"),
+}
+
+
+def split_compound(df: DataFrame, column: str, separator: str = " ", parts: tuple[str, ...] | None = None) -> DataFrame:
+    """The table with a compound column replaced by its parts; the last part takes what is left, missing parts are null."""
+    names = parts or COMPOUND[column.lower()]
+    pieces = F.split(F.trim(F.col(column)), "\\Q" + separator + "\\E", len(names))
+    return df.select("*", *[F.trim(F.get(pieces, F.lit(i))).alias(n) for i, n in enumerate(names)]).drop(column)
+
+
+def partial_dependencies(df: DataFrame, key: tuple[str, ...], table: str, fds) -> dict[str, DataFrame]:
+    """Second normal form on data: a table for each part of the key that determines other columns, and the rest."""
+    from ..plans.dependencies import decompose_2nf
+
+    parts = decompose_2nf(df.columns, key, fds)
+    return {table if k == tuple(key) else "_".join((table, *k)): r for (_, k), r in zip(parts, relations(df, [c for c, _ in parts]))}
+
+
+def lookup(df: DataFrame, determinant: list[str], dependents: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Third normal form on data: (the table without the dependents, the lookup table of the determinant)."""
+    return df.drop(*dependents).distinct(), df.select(*determinant, *dependents).distinct()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.semantics import PII
+
 #: Cost of an issue in the table's score (fixed values).
 COST = {"CRITICAL": 20.0, "HIGH": 10.0, "MEDIUM": 5.0, "LOW": 2.0, "INFO": 0.5}
 
@@ -147,3 +150,17 @@ def failing(df: DataFrame, test: str, column: str, target: DataFrame | None = No
     if test == "unique":
         return counts.where("n > 1")
     return counts.join(target.select(F.col(key).alias("value")), "value", "left_anti")
+
+
+#: Column names that tell of personal data (fixed values).
+TELLING = {
+    "SSN": r"ssn|social.?security", "credit card": r"credit.?card|card.?number", "passport": r"passport", "driver's license": r"driver.?license|license.?number",
+    "tax ID": r"tax.?id|ein|itin", "medical record": r"medical.?record|health.?id", "bank account": r"bank.?account|routing.?number",
+}
+
+
+def pii_exposure(types: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(column, severity, what) from inferred types: a type that identifies people is noted; a telling name without one is worse."""
+    out = [(c, "INFO", t) for c, t in types.items() if t in PII]
+    named = lambda c: next((k for k, r in TELLING.items() if re.search(r, c.lower())), None)
+    return out + [(c, "HIGH", named(c)) for c, t in types.items() if t not in PII and named(c)]

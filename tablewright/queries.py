@@ -327,6 +327,35 @@ query("unpivot_prices", "select l_orderkey, l_linenumber, l_partkey, l_suppkey,
 query("json_columns_events", "select event_id, ts, user_id, event_type, value, json_extract_string(props, '$.k') as props_k from events")(lambda spark, sf_dir: normalize.json_columns(read(spark, sf_dir, "events"), "props", {"k": "string"}))
 query("delimiter_documents", "with c as (select count(*) as v, " + ", ".join(f"count(*) filter (where contains(text, {('chr(9)', 'chr(10)')[d == chr(10)] if d in (chr(9), chr(10)) else repr(d)})) as n{i}" for i, d in enumerate(normalize.DELIMITERS)) + " from documents where text is not null) select d as delimiter, n, v as values from (" + " union all ".join(f"select {('chr(9)', 'chr(10)')[d == chr(10)] if d in (chr(9), chr(10)) else repr(d)} as d, {i} as i, n{i} as n, v from c" for i, d in enumerate(normalize.DELIMITERS)) + ") where n >= 3 and n >= 0.1 * v order by n desc, i limit 1")(lambda spark, sf_dir: normalize.delimiter(read(spark, sf_dir, "documents"), "text"))
 
+@query("split_part_type", "select p_partkey, nullif(split_part(trim(p_type), ' ', 1), '') as kind, case when strpos(trim(p_type), ' ') > 0 then trim(trim(p_type)[strpos(trim(p_type), ' ') + 1:]) end as rest from part")
+def split_part_type(spark, sf_dir):
+    return normalize.split_compound(read(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", " ", ("kind", "rest"))
+
+
+@query("lookup_nation_region", "select distinct c_nationkey, n_name, n_regionkey from (select o_orderkey, o_custkey, o_totalprice, c_name, c_nationkey, n_name, n_regionkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)")
+def lookup_nation_region(spark, sf_dir):
+    return normalize.lookup(wide(spark, sf_dir), ["c_nationkey"], ["n_name", "n_regionkey"])[1]
+
+
+@query("partial_dependency_lineitem", "select distinct l_orderkey, o_custkey, o_orderdate from lineitem join orders on l_orderkey = o_orderkey")
+def partial_dependency_lineitem(spark, sf_dir):
+    """Order columns hang on part of the key of order lines."""
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_partkey", "l_suppkey", "o_custkey", "o_orderdate", "l_quantity")
+    fds = [Dependency(("l_orderkey",), c) for c in ("o_custkey", "o_orderdate")]
+    return normalize.partial_dependencies(rows, ("l_orderkey", "l_partkey", "l_suppkey"), "lines", fds)["lines_l_orderkey"]
+
+
+@query("effectivity_order_customer", "with c as (select user_id, event_type, ts as LOAD_DTS, event_id, lag(event_type) over w as b from events window w as (partition by user_id order by ts, event_type)), d as (select * from c where b is null or b <> event_type) select user_id, event_type, LOAD_DTS as EFFECTIVE_FROM, lead(LOAD_DTS) over (partition by user_id order by LOAD_DTS, event_type) as EFFECTIVE_TO from d")
+def effectivity_order_customer(spark, sf_dir):
+    history = read(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").alias("LOAD_DTS"))
+    return models.effectivity(history, "user_id", "event_type")
+
+
+@query("light_profile_part", 'select "table", "column", dtype, total, non_null, "distinct", null_pct from (' + profile_sql("part", "part", fields("part")) + ")")
+def light_profile_part(spark, sf_dir):
+    return profile.light(read(spark, sf_dir, "part"), "part").drop("min", "max", "mean")
+
+
 WIDE = "select o_orderkey, o_custkey, o_totalprice, c_name, c_nationkey, n_name, n_regionkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey"
 WIDE_FDS = [Dependency(("o_orderkey",), c) for c in ("o_custkey", "o_totalprice")] + [Dependency(("o_custkey",), c) for c in ("c_name", "c_nationkey")] + [Dependency(("c_nationkey",), c) for c in ("n_name", "n_regionkey")]
 WIDE_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "c_name", "c_nationkey", "n_name", "n_regionkey"]

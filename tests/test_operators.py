@@ -130,3 +130,7 @@ def test_hub_stream(spark, tmp_path):
         stream = spark.readStream.schema("k int, LOAD_DTS date").parquet(src)
         loads.hub_stream(stream, "h", ["k"], "s", out, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_personal_data_by_type_and_name():
+    assert quality.pii_exposure({"mail": "email", "card_number": "unknown", "x": "unknown"}) == [("mail", "INFO", "email"), ("card_number", "HIGH", "credit card")]
