@@ -17,7 +17,6 @@ from ..functions.patterns import PROFILE
 
 DISTINCT_GROUP = 8
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
-EXACT_QUANTILE_ROWS = 20_000_000
 BASIC = ("total", "non_null", "nulls", "null_pct", "distinct", "distinct_pct", "is_unique")
 NUMERIC = ("min", "max", "mean", "stddev", *QUANTILES)
 STRINGS = ("min_len", "max_len", "avg_len", "empties")
@@ -56,8 +55,9 @@ def _distinct(df: DataFrame, fields: list[T.StructField], hashed: bool) -> DataF
 def columns(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
     """One row per column: counts, distinct share, numeric and string statistics, and a quality score.
 
-    approximate takes sketches for quantiles and distinct counts, for tables where exact ones would cost too much. Columns that
-    cannot be compared (maps) have no distinct count. An empty table gives zeros.
+    approximate takes sketches for quantiles and distinct counts, for tables where exact ones would cost too much: the exact
+    aggregate keeps a count for each distinct value, `exact_quantiles` does not. Columns that cannot be compared (maps) have no
+    distinct count. An empty table gives zeros.
     """
     fields = [f for f in df.schema.fields]
     countable = [f for f in fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
@@ -186,3 +186,36 @@ def strict_patterns(df: DataFrame, column: str, rules, least_pct: float = 50.0)
     level = F.when(F.col("share") >= 95, "HIGH").when(F.col("share") >= F.col("threshold"), "MEDIUM").otherwise("LOW")
     ranked = out.where(F.col("share") >= least_pct).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("share"), "priority")))  # a row per pattern
     return ranked.select("pattern", "n", percent(F.col("n"), F.col("values")).alias("pct"), level.alias("confidence"), "rank")
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], few: int = 100_000, accuracy: int = 10_000) -> list[float | None]:
+    """Exact interpolated quantiles in bounded memory: a sketch brackets each order statistic, rows below the bracket are
+    counted, and the bracket is narrowed in the same way until it holds few rows. Nulls and NaN take no part."""
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    total = rows.count()
+    if not total:
+        return [None] * len(shares)
+
+    def statistic(rank: int) -> float:
+        """The value of the given rank, from 0."""
+        inside, skipped, n = rows, 0, total
+        while n > few:
+            at = (rank - skipped) / n
+            low, high = inside.agg(F.percentile_approx("x", [max(0.0, at - 2 / accuracy), min(1.0, at + 2 / accuracy)], accuracy).alias("q")).first().q
+            r = inside.agg(F.count_if(F.col("x") < low).alias("below"), F.count_if((F.col("x") >= low) & (F.col("x") <= high)).alias("n")).first()
+            if low == high or not r.below <= rank - skipped < r.below + r.n or r.n == n:
+                if low == high and r.below <= rank - skipped < r.below + r.n:
+                    return low
+                break  # many equal values: counts per value are few
+            inside, skipped, n = inside.where((F.col("x") >= low) & (F.col("x") <= high)), skipped + r.below, r.n
+        counts = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x")))  # at most `few` values, or the distinct ones
+        return running.where(F.col("upto") > rank - skipped).agg(F.min("x")).first()[0]
+
+    out = []
+    for p in shares:
+        place = p * (total - 1)
+        lower = int(place)
+        a = statistic(lower)
+        out.append(a if place == lower else a + (statistic(lower + 1) - a) * (place - lower))
+    return out

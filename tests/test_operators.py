@@ -134,3 +134,38 @@ def test_hub_stream(spark, tmp_path):
 
 def test_personal_data_by_type_and_name():
     assert quality.pii_exposure({"mail": "email", "card_number": "unknown", "x": "unknown"}) == [("mail", "INFO", "email"), ("card_number", "HIGH", "credit card")]
+
+
+def test_connectors_retry_and_break(spark):
+    from tablewright.sources.registry import Connector, Registry, Unavailable
+
+    waits, left = [], [2]
+
+    def flaky(operation, params):
+        if left[0]:
+            left[0] -= 1
+            raise OSError(operation)
+        return spark.range(params["n"])
+
+    r = Registry()
+    r.add(Connector("a", flaky, ("query",), pause=waits.append))
+    assert r.call("query", n=3).count() == 3 and waits == [1.0, 2.0]
+    left[0] = 9
+    for error in (OSError, Unavailable, Unavailable):
+        try:
+            r.call("query", "a" if error is OSError else None, n=1)
+            raise AssertionError
+        except error:
+            pass
+    r.connectors["a"].reset()
+    assert r.able("query") == ["a"] and r.connectors["a"].healthy()
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    x = np.concatenate([np.random.default_rng(0).normal(size=5000), np.full(3000, 0.5)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+    shares = [0.0, 0.1, 0.5, 0.73, 0.999, 1.0]
+    assert np.allclose(profile.exact_quantiles(df, "v", shares, few=50, accuracy=100), np.quantile(x, shares))
+    assert profile.exact_quantiles(df.where("false"), "v", [0.5]) == [None]
