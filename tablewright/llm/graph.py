@@ -36,4 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         sign = tuple(row)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stored(nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    dropped(now)
+    return out

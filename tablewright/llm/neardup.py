@@ -6,11 +6,11 @@ candidates; every link is confirmed on the full shingle sets. Steps:
 
 1. Texts with equal shingle sets form a class; its smallest doc_id stands for it (counts are pre-aggregated, so a class of any
    size costs one row per task).
-2. Round 1: within each table key, each class is compared with the smallest one. Confirmed links give components.
+2. Round 1: within each table key, each class is compared with one class, chosen by a hash that differs from key to key, so a
+   class meets many others. Confirmed links give components.
 3. Round 2: classes of one table key that are still in different components are compared with each other, so no link between
-   different components is lost; pairs inside a component need no comparison. Keys with more than `CROWD` components are
-   first split by prefix filtering: two sets that are similar enough must share one of their first shingles, and the
-   positions and lengths must allow the overlap. That split is exact too.
+   different components is lost; pairs inside a component need no comparison. Keys of more than `CROWD` classes are compared
+   in blocks: a task intersects the sets of two blocks at once and returns links only.
 
 The chance that a pair at exactly the threshold shares no table key is below `MISS`; above the threshold it falls steeply.
 """
@@ -31,7 +31,9 @@ from .common import dropped, stored, whole
 from .shingles import mix, shingle_set
 
 MISS = 1e-4
-CROWD = 32
+CROWD = 8
+BLOCK = 512
+BLOCK_SHINGLES = 500_000
 
 
 @dataclass(frozen=True)
@@ -115,24 +117,79 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "v").where(fits).select("u", "v", "s", "t").mapInPandas(confirm, "u bigint, v bigint")
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of crowded keys by prefix filtering: (u, v) that share an early shingle where the overlap can suffice."""
+def links_within(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as it takes to join what can be joined."""
+    size = np.array([len(x) for x in sets])
+    token, place = np.unique(np.concatenate(sets), return_inverse=True)
+    common = np.bincount(place, minlength=len(token)) > 1  # only these can lie in an intersection
+    column = (np.cumsum(common) - 1)[place]
+    member = np.repeat(np.arange(len(sets)), size)
+    inside = np.flatnonzero(common[place])
+    inside = inside[np.argsort(column[inside], kind="stable")]
+    member, column = member[inside], column[inside]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(common.sum()), 4096):  # bounded memory, however many shingles there are
+        a, b = np.searchsorted(column, [at, at + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[member[a:b], column[a:b] - at] = 1
+        both += has @ has.T
+    parent = {c: c for c in component.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    out = []
+    both = np.rint(both).astype(np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    for x, y in zip(*np.nonzero(np.triu(linked & (component[:, None] != component[None, :])))):
+        a, b = root(int(component[x])), root(int(component[y]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(ids[x]), int(ids[y])))
+    return out
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, c, s in zip(batch["id"], batch["component"], batch["s"]):
-                s = np.frombuffer(s, np.int64)
-                n = len(s)
-                rows.append(pd.DataFrame({"token": s[: n - -(-percent * n // 100) + 1], "id": i, "component": c, "n": n}).reset_index(names="at"))
-            yield pd.concat(rows) if rows else pd.DataFrame({"at": [], "token": [], "id": [], "component": [], "n": []}, dtype="int64")
 
-    early = stored(members.select("id", "component").distinct().join(sets, "id").select("id", "component", "s").mapInPandas(prefixes, "at bigint, token bigint, id bigint, component bigint, n bigint"), "prefixes")
-    x, y = early.alias("x"), early.alias("y")
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # the overlap cannot exceed what follows the first shared shingle
-    can = most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, "token").where((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & can)
-    return pairs.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
+def _crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between different components of crowded keys, found in blocks.
+
+    Crowded keys that share members form a cluster. Its members are dealt into blocks of about BLOCK members and BLOCK_SHINGLES shingles, and each pair of blocks is
+    compared in one task: intersections of all members at once, with no row for a pair that is not a link.
+    """
+    hubs = crowds.groupBy("key").agg(F.min("id").alias("hub"))
+    clusters = graph.components(crowds.join(hubs, "key").select(F.col("hub").alias("u"), F.col("id").alias("v")))
+    placed = crowds.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    placed = placed.join(sets.select("id", "n"), "id")
+    blocks = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = placed.drop("n").join(blocks, "cluster").withColumn("own", own).join(sets.select("id", "s"), "id")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", "s")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done(held: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(held)
+            found = links_within(rows["id"].to_numpy(), rows["component"].to_numpy(), [np.frombuffer(x, np.uint64) for x in rows["s"]], percent)
+            return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+        held: list[pd.DataFrame] = []
+        now = None
+        for batch in batches:
+            for name, part in batch.groupby(["cluster", "i", "j"], sort=False):
+                if held and name != now:
+                    yield done(held)
+                    held = []
+                now = name
+                held.append(part)
+        if held:
+            yield done(held)
+
+    parts = int(crowds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    out = stored(dealt.mapInPandas(compare, "u bigint, v bigint"), "links")
+    dropped(clusters)
+    return out
 
 
 def link(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
@@ -147,28 +204,35 @@ def link(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     classes = stored(known.groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
     keyed = known.join(classes.withColumnRenamed("id", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_a"])
     keyed = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    shared = stored(keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "keys")
+    several = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("center")).where("least < most")
+    shared = stored(several.select("key", F.col("center.id").alias("center")), "keys")
     members = stored(keyed.join(shared, "key"), "members")
     sets = stored(_sets(docs, members.select("id").distinct(), scheme), "sets")
 
-    stars = members.where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).distinct()
+    stars = members.where("id <> center").select(F.least("center", "id").alias("u"), F.greatest("center", "id").alias("v")).distinct()
     links = stored(_confirmed(stars, sets, scheme.percent), "links")
-    parts = stored(graph.components(links), "components")
+    parts = graph.components(links)
+    spent = [parts]
 
     placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     rest = stored(placed.join(open_keys.select("key", "size"), "key"), "rest")
     x, y = rest.where(F.col("size") <= CROWD).alias("x"), rest.where(F.col("size") <= CROWD).alias("y")
-    pairs = x.join(y, "key").where("x.id < y.id and x.component <> y.component").select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
-    pairs = pairs.union(_prefix_pairs(rest.where(F.col("size") > CROWD), sets, scheme.percent)).distinct().join(stars, ["u", "v"], "left_anti")
+    pairs = x.join(y, "key").where("x.id < y.id and x.component <> y.component").select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
     more = stored(_confirmed(pairs, sets, scheme.percent), "links")
+    spent.append(more)
+    crowds = rest.where(F.col("size") > CROWD)
+    if not crowds.isEmpty():
+        spent.append(_crowd_links(crowds, sets, scheme.percent))
+        more = more.union(spent[-1])
     if not more.isEmpty():
-        parts = stored(graph.components(links.union(more).union(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+        parts = graph.components(more.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        spent.append(parts)
 
     named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("_part"))
     out = signed.drop("keys").join(named, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_part", "doc_id")).alias("component_id"))
     out = stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
-    dropped(signed, classes, shared, members, sets, links, rest, more)
+    dropped(signed, classes, shared, members, sets, links, rest, *spent)
     return out
 
 

@@ -50,6 +50,7 @@ def test_query_equals_all_pairs(spark, sf):
 @pytest.mark.parametrize("crowd", [1, 32])
 def test_chains_and_crowds(spark, monkeypatch, crowd):
     monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "BLOCK", 20)
     r = random.Random(4)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
     ids, texts = [], []
