@@ -9,8 +9,8 @@ same place, so a string can only repeat where its anchor's gram repeats.
    done as well: all of it repeats. Both follow from pre-aggregated counts, whatever the size of a group of copies.
 3. For the rest, the suffixes at the served window starts are sorted, per gram and place, by a merge sort whose comparisons
    find the common extension by binary search over prefix polynomial hashes. Neighbours with a common extension of LENGTH are
-   verified byte by byte. Grams with more than CROWD different contexts are not brought together: their windows are counted by
-   128-bit hashes instead, pre-aggregated before the shuffle.
+   verified byte by byte. Grams with more than CROWD different contexts are not brought together: blocks of BLOCK windows, and
+   then the windows that blocks leave open, are counted by 128-bit hashes instead, pre-aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .shingles import mix
 LENGTH = 400
 GRAM = 208
 CROWD = 256
+BLOCK = 12
 CHUNK = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -242,24 +243,59 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.dropDuplicates(["rid"]).join(own, "rid").mapInPandas(cut, schema)
 
 
+def _block_hashes(rows: DataFrame, length: int) -> DataFrame:
+    """For each block of BLOCK distances from the anchor: hashes of what all its windows share and, where all are served, of what they cover."""
+    schema = "rid bigint, at bigint, open boolean, block bigint, low bigint, high bigint, core_a bigint, core_b bigint, all_a bigint, all_b bigint"
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rid, at, first, last, is_open, context in zip(batch["rid"], batch["at"], batch["first"], batch["last"], batch["open"], batch["context"]):
+                hashes = [Hashes(np.frombuffer(context, np.uint8), b) for b in BASES]
+                block = np.arange((at - last) // BLOCK, (at - first) // BLOCK + 1)
+                near, far = at - block * BLOCK, at - (block + 1) * BLOCK + 1  # last and first window start of the block
+                core = [h.of(near - first, far - first + length).view(np.int64) for h in hashes]
+                whole_block = (far >= first) & (near <= last)
+                low, high = np.maximum(far, first), np.minimum(near, last)
+                cover = [np.where(whole_block, h.of(low - first, high - first + length).view(np.int64), 0) for h in hashes]
+                yield pd.DataFrame({"rid": rid, "at": at, "open": is_open, "block": block, "low": low, "high": high, "core_a": core[0], "core_b": core[1], "all_a": cover[0], "all_b": cover[1]})
+
+    return rows.mapInPandas(blocks, schema)
+
+
 def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
+    """Hashes of the windows in `ranges` (first and last start) of each context."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rid, at, first, is_open, context in zip(batch["rid"], batch["at"], batch["first"], batch["open"], batch["context"]):
+            for rid, at, first, is_open, context, ranges in zip(batch["rid"], batch["at"], batch["first"], batch["open"], batch["context"], batch["ranges"]):
                 data = np.frombuffer(context, np.uint8)
-                s = np.arange(len(data) - length + 1)
+                s = np.unique(np.concatenate([np.arange(r["low"], r["high"] + 1) for r in ranges])) - first
                 hashes = [Hashes(data, b).of(s, s + length).view(np.int64) for b in BASES]
                 yield pd.DataFrame({"rid": rid, "at": at, "open": is_open, "start": first + s, "a": hashes[0], "b": hashes[1]})
 
     return rows.mapInPandas(windows, "rid bigint, at bigint, open boolean, start bigint, a bigint, b bigint")
 
 
-def _often(each: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of grams with many contexts, by pre-aggregated counts of their hashes."""
+def _crowded(rows: DataFrame, length: int) -> DataFrame:
+    """Repeated windows of grams with many contexts, by pre-aggregated counts of hashes, from blocks of windows down to windows.
+
+    Blocks whose common part occurs once are done, and blocks whose whole cover occurs again repeat as they are; of each such
+    cover one block stays as a partner for the others. Only the windows of the remaining blocks are looked at one by one.
+    """
+    blocks = stored(_block_hashes(rows, length), "blocks")
+    core, cover = ["core_a", "core_b"], ["all_a", "all_b"]
+    shared = blocks.join(blocks.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*core), core)
+    covers = shared.where("all_a <> 0 or all_b <> 0").groupBy(*cover).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at", "block")).alias("one")).where("n > 1").select(*cover, "one")
+    status = stored(shared.join(covers, cover, "left").withColumn("settled", F.col("one").isNotNull()), "block-status")
+    settled = status.where("settled and open").select("rid", "low", (F.col("high") + length).alias("high"))
+    looked_at = status.where(~F.col("settled") | (F.struct("rid", "at", "block") == F.col("one")))
+    ranges = looked_at.groupBy("rid", "at").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # blocks of one anchor
+    each = stored(_window_hashes(rows.join(ranges, ["rid", "at"]), length), "windows")
     often = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    hit = each.where("open").join(often, ["a", "b"])
-    return hit.groupBy("rid", "at").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high")).select("rid", "low", "high")
+    hit = each.where("open").join(often, ["a", "b"]).groupBy("rid", "at").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high"))
+    found = stored(settled.union(hit.select("rid", "low", "high")), "crowded-spans")
+    dropped(blocks, status, each)
+    return found
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -274,10 +310,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     picked = kinds.join(unclear, "gram").select("gram", "range_a", "range_b", (F.col("n") == 1).alias("open"), "crowded", F.col("one.rid").alias("rid"), F.col("one.at").alias("at"))
     wanted = some.dropDuplicates(["gram", "range_a", "range_b", "rid", "at"]).join(picked, ["gram", "range_a", "range_b", "rid", "at"])
     rows = stored(_contexts(docs, wanted, length), "contexts")
-    windows = stored(_window_hashes(rows.where("crowded"), length), "windows")
-    found = clear.union(_sorted_groups(rows.where("not crowded"), length)).union(_often(windows, length))
+    crowded = _crowded(rows.where("crowded"), length)
+    found = clear.union(_sorted_groups(rows.where("not crowded"), length)).union(crowded)
     spans = stored(found.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")  # a text's own spans
-    dropped(some, kinds, rows, windows)
+    dropped(some, kinds, rows, crowded)
     return spans
 
 
