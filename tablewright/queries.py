@@ -177,11 +177,11 @@ def strict_sql(rules) -> str:
 
 
 _RE2 = tuple(p for p in patterns.STRICT if p.name in RE2_STRICT)
-query("strict_patterns", strict_sql(_RE2))(lambda spark, sf_dir: profile.strict_patterns(mixed(spark, sf_dir), "v", _RE2, least_pct=5.0))
+query("strict_patterns", strict_sql(_RE2))(lambda spark, sf_dir: profile.strict_patterns(mixed(spark, sf_dir), "v", patterns.STRICT, least_pct=5.0))
 query("sensitive_scan")(lambda spark, sf_dir: profile.strict_patterns(mixed(spark, sf_dir), "v", patterns.SENSITIVE, least_pct=0.0))
 
 _FIRST = " ".join(f"when regexp_matches(trim(v), '{p.regex}') then '{p.name}'" for p in sorted(_RE2, key=lambda p: p.priority))
-query("classify_values", f"select c_custkey, case {_FIRST} end as kind from ({DUCK_MIXED})")(lambda spark, sf_dir: mixed(spark, sf_dir).select("c_custkey", patterns.first_match(F.col("v"), _RE2).alias("kind")))
+query("classify_values", f"select c_custkey, case {_FIRST} end as kind from ({DUCK_MIXED})")(lambda spark, sf_dir: mixed(spark, sf_dir).select("c_custkey", patterns.first_match(F.col("v")).alias("kind")))
 
 
 @query("mask_values", f"""select c_custkey, '***-**-' || right(v, 4) as ssn, repeat('*', greatest(length(v) - 4, 0)) || right(v, 4) as card,
