@@ -1,10 +1,11 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of ASCII letters and digits or of other scripts' characters, in lower case, so punctuation and layout do not
-matter. Documents and benchmark items that share a seed of `SEED` tokens in a row are candidates. A candidate pair is tiled:
+Tokens are runs of Unicode letters and digits in folded case, single characters in scripts without spaces, so punctuation,
+layout and case do not matter. Documents and benchmark items that share a seed of `SEED` tokens in a row are candidates. A candidate pair is tiled:
 the longest match of tokens that are not yet covered is marked, again and again, down to the seed's length. Matches of a given
 length come from running Karp-Rabin hashes and are verified token by token. Tiles may lie in any order, so reordered passages
-count. A pair whose tiles cover `COVERAGE` percent of the item's tokens is contaminated.
+count. A pair whose tiles cover `COVERAGE` percent of the item's tokens is contaminated. An item of fewer than `SEED` tokens
+is its own seed: it counts where all its tokens stand in a row.
 
 A benchmark of up to `HELD_TOKENS` tokens goes to every task, and documents are tiled where they are read. A larger one is
 joined on its seeds; only candidates' texts move then.
@@ -93,7 +94,7 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int
 
 @dataclass(frozen=True)
 class Benchmark:
-    """Item tokens and, sorted by hash, their seeds."""
+    """Item tokens and, sorted by hash, their seeds; for items of fewer than k tokens, by length, the hash of the whole."""
 
     ids: tuple[int, ...]
     items: tuple[np.ndarray, ...]
@@ -101,30 +102,49 @@ class Benchmark:
     owner: np.ndarray
     place: np.ndarray
     k: int
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
     def of(rows: list[tuple[int, str]], k: int = SEED) -> Benchmark:
-        kept = sorted({(i, t) for i, t in rows if len(tokens(t)) >= k})
-        items = tuple(tokens(t) for _, t in kept)
-        seeds = [runs(t, k) for t in items]
+        kept = [(i, w) for i, t in sorted(set(rows)) if len(w := tokens(t))]
+        items = tuple(w for _, w in kept)
+        seeds = [runs(w, k) if len(w) >= k else np.empty(0, np.uint64) for w in items]
         all_seeds = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(items)), [len(s) for s in seeds])
         place = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else owner
         by = np.argsort(all_seeds, kind="stable")
-        return Benchmark(tuple(i for i, _ in kept), items, all_seeds[by], owner[by], place[by], k)
+        short = {}
+        for n in sorted({len(w) for w in items if len(w) < k}):
+            own = np.array([j for j, w in enumerate(items) if len(w) == n])
+            run = np.concatenate([runs(items[j], n) for j in own])
+            order = np.argsort(run, kind="stable")
+            short[n] = run[order], own[order]
+        return Benchmark(tuple(i for i, _ in kept), items, all_seeds[by], owner[by], place[by], k, short)
+
+    def _short_hits(self, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        out = []
+        for n, (run, own) in self.short.items():
+            if len(doc) < n:
+                continue
+            mine = np.unique(runs(doc, n))
+            low, high = np.searchsorted(run, mine, "left"), np.searchsorted(run, mine, "right")
+            for j in np.concatenate([own[a:b] for a, b in zip(low, high) if b > a] or [own[:0]]):
+                if tile(self.items[j], doc, n):  # verification
+                    out.append((self.ids[j], n, n, 1, n))
+        return out
 
     def search(self, text: str, coverage: int) -> list[tuple[int, int, int, int, int]]:
         """(item id, covered tokens, item tokens, tiles, longest tile) of the items that text contains."""
         doc = tokens(text)
+        out = self._short_hits(doc)
         if len(doc) < self.k or not len(self.seed):
-            return []
+            return out
         mine = np.unique(runs(doc, self.k))
         low, high = np.searchsorted(self.seed, mine, "left"), np.searchsorted(self.seed, mine, "right")
         n = high - low
         if not n.any():
-            return []
+            return out
         at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out = []
         for item in np.unique(self.owner[at]):
             places = self.place[at[self.owner[at] == item]]
             size = len(self.items[item])
@@ -153,12 +173,21 @@ def _held(docs: DataFrame, bench: Benchmark, coverage: int) -> DataFrame:
 
 
 def _joined(docs: DataFrame, items: DataFrame, coverage: int, k: int) -> DataFrame:
-    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"]):
-                word = tokens(text)
-                if len(word) >= k:
-                    yield pd.DataFrame({"seed": np.unique(runs(word, k)).view(np.int64), "key": key})
+            yield pd.DataFrame({"n": np.unique([len(tokens(t)) for t in batch["item"]]).astype(np.int64)})
+
+    short = [r.n for r in items.mapInPandas(sizes, "n bigint").where(F.col("n").between(1, k - 1)).distinct().collect()]  # at most k - 1 rows
+
+    def seeds_of(lengths):
+        def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for key, text in zip(batch["key"], batch["text"]):
+                    word = tokens(text)
+                    for n in lengths(len(word)):
+                        yield pd.DataFrame({"n": n, "seed": np.unique(runs(word, n)).view(np.int64), "key": key})
+
+        return seeds
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -170,9 +199,9 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: int, k: int) -> DataFra
     keyed = docs.withColumn("key", F.sha2(F.col("text").cast("binary"), 256))
     texts = keyed.select("key", "text").dropDuplicates(["key"])
     own = items.withColumn("key", F.col("item_id").cast("string"))
-    left = texts.mapInPandas(seeds, "seed bigint, key string")
-    right = own.select("key", F.col("item").alias("text")).mapInPandas(seeds, "seed bigint, key string").withColumnRenamed("key", "item_key")
-    pairs = left.join(right, "seed").select("key", F.col("item_key").cast("long").alias("item_id")).distinct()
+    left = texts.mapInPandas(seeds_of(lambda size: [n for n in [*short, k] if n <= size]), "n int, seed bigint, key string")
+    right = own.select("key", F.col("item").alias("text")).mapInPandas(seeds_of(lambda size: [min(size, k)] if size else []), "n int, seed bigint, key string").withColumnRenamed("key", "item_key")
+    pairs = left.join(right, ["n", "seed"]).select("key", F.col("item_key").cast("long").alias("item_id")).distinct()
     hits = pairs.join(items, "item_id").join(texts, "key").mapInPandas(search, f"key string, {HIT}")
     return keyed.select("doc_id", "key").join(hits, "key").drop("key")
 
@@ -180,8 +209,8 @@ def _joined(docs: DataFrame, items: DataFrame, coverage: int, k: int) -> DataFra
 def find(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, seed: int = SEED, held_tokens: int = HELD_TOKENS) -> DataFrame:
     """doc_id, item_id, covered, item_tokens, tiles, longest of every contaminated pair.
 
-    Null texts count as empty. Items of fewer than `seed` tokens take no part, nor do items without id; equal items with
-    different ids each report. Repeated rows of docs each report. Empty tables give an empty result. Only doc_id, item_id and
+    Null texts count as empty. Items of fewer than `seed` tokens are sought as one whole run; items without a token or without
+    id take no part; equal items with different ids each report. Repeated rows of docs each report. Empty tables give an empty result. Only doc_id, item_id and
     text are read.
     """
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), whole().alias("item")).distinct()

@@ -1,7 +1,9 @@
-"""Word and shingle hashes of whole texts, vectorised over the UTF-8 bytes."""
+"""Word and shingle hashes of whole texts, vectorised over the UTF-8 bytes (words) or code points (tokens)."""
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 #: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -9,8 +11,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Between tokens: every ASCII character but letters and digits.
-_BREAK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+#: Ranges of scripts that write no spaces between words (Han, kana, bopomofo, Yi, Thai, Lao, Burmese, Khmer and kin).
+_UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -34,19 +39,10 @@ def _power(n: int) -> np.ndarray:
 
 def words(text: str) -> np.ndarray:
     """A hash of each word between white space; upper and lower case A-Z count as equal."""
-    return _hashes(text, _SPACE)
-
-
-def tokens(text: str) -> np.ndarray:
-    """A hash of each token, a run of ASCII letters and digits or of any other characters beyond ASCII."""
-    return _hashes(text, _BREAK)
-
-
-def _hashes(text: str, between: np.ndarray) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(data):
         return np.empty(0, np.uint64)
-    inside = ~between[data]
+    inside = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     first, last = edge[0::2], edge[1::2]
     if not len(first):
@@ -58,6 +54,39 @@ def _hashes(text: str, between: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(terms, np.cumsum(length) - length) + length.astype(np.uint64))
 
 
+def _kinds() -> np.ndarray:
+    """For each code point: 0 between tokens, 1 part of a word, 2 a token of its own."""
+    kinds = np.array([(c := chr(i)).isalnum() or unicodedata.category(c)[0] == "M" for i in range(0x110000)]).astype(np.uint8)
+    for first, last in _UNSPACED:
+        kinds[first : last + 1] *= 2
+    return kinds
+
+
+_kind: np.ndarray | None = None
+
+
+def tokens(text: str) -> np.ndarray:
+    """A hash of each token of the case-folded text: a run of Unicode letters, digits and their marks.
+
+    In scripts without spaces each character is a token. Composed and decomposed letters are equal.
+    """
+    global _kind
+    if _kind is None:
+        _kind = _kinds()
+    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    data = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kind[data]
+    at = np.flatnonzero(kind)
+    if not len(at):
+        return np.empty(0, np.uint64)
+    new = (np.diff(at, prepend=-2) != 1) | (kind[at] == 2) | (kind[np.maximum(at - 1, 0)] == 2)
+    start = np.flatnonzero(new)
+    length = np.diff(np.append(start, len(at)))
+    place = np.arange(len(at)) - np.repeat(start, length)
+    terms = (data[at].astype(np.uint64) + np.uint64(1)) * _power(int(length.max()))[place]
+    return mix(np.add.reduceat(terms, start) + length.astype(np.uint64))
+
+
 def runs(word: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k words in a row, in order."""
     n = len(word) - k + 1
