@@ -59,6 +59,11 @@ def dropped(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.stored_at)
 
 
+def freed(df: DataFrame) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs, which it does for plans that the JVM has collected."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

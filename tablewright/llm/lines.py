@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame expressions only.
 
 Two lines are duplicates if they are equal word for word, or if both have at least `MIN_WORDS` words and the edit distance
-between their word sequences (insert, delete, replace a word) is at most 1. A line goes when an earlier line, by doc_id and
-place, is its duplicate; so the earliest of equal lines stays. Blank lines stay always.
+between their word sequences (insert, delete, replace a word) is at most the bound: 1, or with `words_per_edit` one for each
+so many words of the shorter line, 1 at least. A line goes when an earlier line, by doc_id and place, is its duplicate; so the
+earliest of equal lines stays. Blank lines stay always.
 
 1. Equal lines: 128-bit hashes, pre-aggregated to the earliest place.
 2. Deletion neighbourhood: a line's variants are itself and itself without one word. A variant's key is the pair of the chained
@@ -11,18 +12,25 @@ place, is its duplicate; so the earliest of equal lines stays. Blank lines stay
 3. Only lines that can have a partner make variants. If two lines differ by one edit, they agree in the first or in the last
    half, so lines without a common half are passed over; the same holds for finer gaps, which is applied to the rest.
 4. Every match is verified on the words.
+5. Bounds above 1: b edits cut a line into at most b + 1 parts, so two such lines share a run of `_run` words. The least gram
+   of every window of that many words is a seed; a pair shares at least `_least` of them at like places. Each line is compared
+   with the earliest of each of its seeds, and only lines that this does not settle with all others that share enough.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, free_name, stored, whole
+from .common import dropped, free_name, freed, stored, whole
 
 MIN_WORDS = 8
 #: Gaps of the second filter.
 GAPS = 8
+#: Words of a line for one edit, in the registered queries.
+WORDS_PER_EDIT = 20
+#: Low bits of a gram's hash that hold its place in the line.
+PLACE_BITS = 20
 #: Words per block of the two-level prefix hashes.
 STRIDE = 32
 
@@ -71,29 +79,130 @@ def _gaps() -> Column:
     return F.concat(of(F.col("n")), of(F.col("n") - 1))
 
 
-def _removals(docs: DataFrame) -> DataFrame:
+def _run(words_per_edit: int) -> int:
+    """Words in a row that two lines with a bound of 2 or more share at least: (n - b) / (b + 1), least for b = 2."""
+    return -(-2 * (words_per_edit - 1) // 3)
+
+
+def _gram(words_per_edit: int) -> int:
+    return max(2, _run(words_per_edit) // 2 - 1)
+
+
+def _least(n: Column, words_per_edit: int) -> Column:
+    """Seeds that a line of n words shares at least with a partner: an edit breaks one window for each word of a window."""
+    run = _run(words_per_edit)
+    return F.greatest(F.lit(1), F.ceil((n - run + 1 - F.floor(n / words_per_edit) * run) / (run - _gram(words_per_edit) + 1)))
+
+
+def _bind(value: Column, f) -> Column:
+    """f(value) with value evaluated once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _seeds(words: Column, n: Column, words_per_edit: int) -> Column:
+    run, gram = _run(words_per_edit), _gram(words_per_edit)
+    low = (1 << PLACE_BITS) - 1
+
+    def grams(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(gram))).bitwiseAND(F.lit(~low)).bitwiseOR(i.bitwiseAND(F.lit(low)).cast("long")))
+
+    def least(g: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), n - run), lambda j: F.array_min(F.slice(g, j + 1, F.lit(run - gram + 1)))))
+
+    return _bind(_bind(F.transform(words, lambda w: F.xxhash64(w)), grams), least)
+
+
+def _within(x: Column, y: Column, bound: Column) -> Column:
+    """Whether the edit distance between two word lists is at most bound: each word becomes a character of its own."""
+    def text(words: Column, known: Column) -> Column:
+        def char(w: Column) -> Column:
+            at = F.array_position(known, w) + 255
+            return F.decode(F.unhex(F.lpad(F.hex(F.when(at >= 0xD800, at + 0x800).otherwise(at)), 8, "0")), "UTF-32")
+
+        return F.array_join(F.transform(words, char), "")
+
+    near = _bind(F.array_distinct(F.concat(x, y)), lambda known: F.call_function("levenshtein", text(x, known), text(y, known), bound)) >= 0
+    apart = F.greatest(F.size(F.array_except(x, y)), F.size(F.array_except(y, x)))
+    return F.when(apart <= bound, near).otherwise(False)
+
+
+def _far(found: DataFrame, words_per_edit: int) -> DataFrame:
+    """(h1, h2) of lines with a bound of 2 or more that an earlier one is within."""
+    bound = lambda n, m: F.floor(F.least(n, m) / words_per_edit).cast("int")
+    long = found.where(F.col("n") >= 2 * words_per_edit)
+    seeds = long.select("h1", F.explode(_seeds(F.col("words"), F.col("n"), words_per_edit)).alias("g"))
+    seeds = seeds.select("h1", F.shiftright("g", PLACE_BITS).alias("seed"), F.col("g").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("at"))
+    same = Window.partitionBy("seed")
+    common = stored(seeds.select("*", F.min("h1").over(same).alias("lo"), F.max("h1").over(same).alias("hi")).where("lo < hi").select("h1", "seed", "at"), "line-seeds")
+    own = common.groupBy("h1").agg(F.count(F.lit(1)).alias("c"))
+    keys = long.select("h1", "h2", "first", "n").join(own, "h1").where(F.col("c") >= _least(F.col("n"), words_per_edit)).drop("c")
+    keys = stored(keys, "line-keys")
+    shared = stored(keys.join(common, "h1"), "line-shared")
+    long = stored(long.select("h1", "h2", "words").join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi"), "line-long")
+    dropped(common, keys)
+    freed(found)
+
+    mine = long.select("h1", "h2", F.col("words").alias("x"))
+    other = long.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("y"))
+
+    def settled(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"])
+        return stored(both.where(_within(F.col("x"), F.col("y"), bound(F.size("x"), F.size("y")))).select("h1", "h2").distinct(), name)
+
+    firsts = shared.groupBy("seed").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"))
+    fits = F.abs(F.col("n") - F.col("one.n")) <= bound(F.col("n"), F.col("one.n"))
+    told = shared.join(firsts, "seed").where((F.col("one.first") < F.col("first")) & fits)
+    told = stored(told.select("h1", "h2", F.col("one.h1").alias("g1"), F.col("one.h2").alias("g2")).distinct(), "line-firsts")
+    early = settled(told, "line-early")
+
+    open_lines = shared.join(early, ["h1", "h2"], "left_anti")
+    theirs = shared.select("seed", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("before"), F.col("n").alias("m"), F.col("at").alias("there"))
+    b = bound(F.col("n"), F.col("m"))
+    near_place = (F.abs(F.col("at") - F.col("there")) <= b) | (F.least("n", "m") >= 1 << PLACE_BITS - 1)
+    pairs = open_lines.join(theirs, "seed").where((F.col("before") < F.col("first")) & (F.abs(F.col("n") - F.col("m")) <= b) & near_place)
+    pairs = pairs.groupBy("h1", "h2", "g1", "g2", F.least("n", "m").alias("n")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _least(F.col("n"), words_per_edit))
+    late = settled(pairs.select("h1", "h2", "g1", "g2").join(told, ["h1", "h2", "g1", "g2"], "left_anti"), "line-late")
+    late = stored(early.union(late), "line-far")
+    dropped(shared, told, long)
+    freed(found)
+    return late
+
+
+def _removals(docs: DataFrame, words_per_edit: int | None) -> DataFrame:
     """(k, cut, near): places of the lines to remove from rows (k, doc_id, text), and of those that are not equal copies."""
     order = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id"), F.col("k"), F.col("at"))
     each = docs.select("k", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("k", "doc_id", "at", _words(F.col("line")).alias("words"))
     lines = each.where(F.size("words") > 0).select(
-        "k", "doc_id", "at", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), _halves(F.col("words")).alias("halves"),
+        "k", "doc_id", "at", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), _halves(F.col("words")).alias("halves"), F.size("words").alias("n"),
     )
     lines = stored(lines, "lines")
-    unique = stored(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.first("halves").alias("halves"), F.count(F.lit(1)).alias("copies")), "line-classes")
+    unique = stored(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.first("halves").alias("halves"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "line-classes")
 
     halves = unique.select("h1", "h2", F.explode("halves").alias("half"))
     common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    maybe = halves.join(common, "half").select("h1", "h2").distinct()
-    maybe = unique.join(maybe, ["h1", "h2"], "left_semi").select("first.k", F.struct("first.at", "h1", "h2", F.col("first").alias("first")).alias("x"))
+    maybe = halves.join(common, "half").select("h1", "h2", F.lit(True).alias("half")).distinct()
+    if words_per_edit:  # long lines have partners beyond one edit
+        maybe = unique.join(maybe, ["h1", "h2"], "left").where(F.col("half") | (F.col("n") >= 2 * words_per_edit))
+    else:
+        maybe = unique.join(maybe, ["h1", "h2"])
+    maybe = maybe.select("first.k", F.struct("first.at", "h1", "h2", F.col("first").alias("first"), F.coalesce("half", F.lit(False)).alias("half")).alias("x"))
     wanted = maybe.groupBy("k").agg(F.array_sort(F.collect_set("x")).alias("own"))  # a text's own lines
     found = docs.select("k", "text").dropDuplicates(["k"]).join(wanted, "k").select(F.split("text", "\n").alias("lines"), F.explode("own").alias("x"))
-    found = found.select("x.h1", "x.h2", "x.first", _words(F.expr("lines[x.at]")).alias("words"))
-    found = stored(found.select("h1", "h2", "first", "words", F.size("words").alias("n")), "line-words")
+    found = found.select("x.h1", "x.h2", "x.first", "x.half", _words(F.expr("lines[x.at]")).alias("words"))
+    found = stored(found.select("h1", "h2", "first", "half", "words", F.size("words").alias("n")), "line-words")
+    far = None
+    if words_per_edit:
+        freed(found)
+        far = _far(found, words_per_edit)
+        every, found = found, stored(found.where("half"), "line-halves")
+        dropped(every)
+        freed(found)
 
-    hashed = found.withColumn("ahead", _blocks(F.col("words"))).withColumn("back", F.reverse("words")).withColumn("behind", _blocks(F.col("back")))
+    hashed = found.where("half").withColumn("ahead", _blocks(F.col("words"))).withColumn("back", F.reverse("words")).withColumn("behind", _blocks(F.col("back")))
     gaps = hashed.select("*", F.explode(_gaps()).alias("gap"))
     gaps = gaps.withColumn("shared", F.xxhash64("gap.m", "gap.g", _prefix(F.col("words"), F.col("ahead"), F.col("gap.a")), _prefix(F.col("back"), F.col("behind"), F.col("n") - F.col("gap.b"))))
     gaps = stored(gaps.select("h1", "h2", "shared", "gap"), "line-gaps")
+    freed(found)
     open_gaps = gaps.join(gaps.groupBy("shared").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shared"), "shared")
     open_gaps = open_gaps.groupBy("h1", "h2").agg(F.collect_set("gap").alias("gaps"))  # at most 2 * GAPS of a line
     cuts = F.array_distinct(F.flatten(F.transform("gaps", lambda g: F.sequence(g["a"], F.greatest(g["b"], g["a"])))))
@@ -105,6 +214,8 @@ def _removals(docs: DataFrame) -> DataFrame:
     )
     near = near.withColumn("head", _prefix(F.col("words"), F.col("ahead"), F.col("i"))).select("h1", "h2", "first", "i", "head", F.explode(F.array_compact(variants)).alias("v"))
     keys = stored(near.select("h1", "h2", "first", "i", "head", "v.tail", "v.left"), "line-variants")
+    dropped(gaps)
+    freed(found)
 
     key = ["head", "tail", "left", "i"]
     firsts = keys.groupBy(*key).agg(F.min(F.struct("first", "h1", "h2")).alias("one"), F.max("first").alias("most")).where("one.first < most").select(*key, "one")
@@ -115,26 +226,33 @@ def _removals(docs: DataFrame) -> DataFrame:
     other = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("y"))
     tail_of = lambda w: F.slice(w, F.size(w) - (F.col("left") - F.col("i")) + 1, F.col("left") - F.col("i"))
     same = (F.slice("x", F.lit(1), F.col("i")) == F.slice("y", F.lit(1), F.col("i"))) & (tail_of(F.col("x")) == tail_of(F.col("y")))
-    edited = match.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"]).where(same).select("h1", "h2", F.lit(True).alias("near"))
+    edited = match.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"]).where(same).select("h1", "h2")
+    if far is not None:
+        edited = edited.union(far).distinct()
+    edited = edited.withColumn("near", F.lit(True))
 
     doomed = unique.join(edited, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", F.col("first"), F.coalesce("near", F.lit(False)).alias("near"))
     out = lines.select("k", "doc_id", "at", "h1", "h2").join(doomed, ["h1", "h2"])
     out = out.where(F.col("near") | (order > F.col("first"))).groupBy("k")
     out = stored(out.agg(F.collect_set("at").alias("cut"), F.collect_set(F.when(F.col("near"), F.col("at"))).alias("near")), "line-cuts")  # a text's own lines
-    dropped(lines, unique, found, gaps, keys)
+    dropped(lines, unique, found, keys)
     return out
 
 
-def dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, counts: bool = True, words_per_edit: int | None = None) -> DataFrame:
     """docs with repeated and near-repeated lines taken out of `text`, and n_lines, n_removed, n_near (lines) added.
 
+    Lines may differ in one word, or with words_per_edit (4 at least) in one for each so many words of the shorter line.
+
     Null texts count as empty: one blank line, nothing removed, text stays null. Null doc_ids come last in the order. Rows that
     repeat doc_id and text are one document. A document may lose all its lines; it stays with empty text. All columns of docs
     stay; n_lines, n_removed and n_near replace columns of that name. Without counts no column is added.
     """
+    if words_per_edit is not None and words_per_edit < 4:
+        raise ValueError("words_per_edit must be 4 at least")
     key, cut, near = (free_name(docs, n) for n in ("_k", "_cut", "_near"))
     rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    removed = _removals(rows.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")))
+    removed = _removals(rows.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")), words_per_edit)
     both = rows.join(removed.select(F.col("k").alias(key), F.col("cut").alias(cut), F.size("near").alias(near)), key, "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, i))
     new = {"text": F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}

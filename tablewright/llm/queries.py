@@ -18,7 +18,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), words_per_edit=lines.WORDS_PER_EDIT)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

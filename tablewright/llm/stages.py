@@ -17,7 +17,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its repeated and near-repeated lines; n_chars follows the text."""
-    return lines.dedup(docs, counts=False).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return lines.dedup(docs, counts=False, words_per_edit=lines.WORDS_PER_EDIT).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
