@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys with one in so many rows of a table, or more, are joined by broadcast; there can be no more than that many.
+HEAVY = 2000
+#: Keys of so few rows are never worth it.
+CROWDED = 500
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. Where the cluster names none (tests), a temporary one."""
+    """The folder that the driver and all executors see. In local mode, where none is named, a temporary one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="tablewright-")
         spark.conf.set("spark.checkpoint.dir", conf)
         spark.sparkContext.setCheckpointDir(conf)
@@ -59,6 +67,19 @@ def dropped(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.stored_at)
 
 
+def heavy_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows joined with keyed, which is stored and has one row for each key, with the number of rows of that key in `count`.
+
+    Keys with at least one in HEAVY of all counted rows, which are HEAVY at most, are sent to every task, so their rows are
+    not brought together; all others are joined as usual.
+    """
+    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    heavy = F.col(count) * HEAVY >= total
+    hot = F.broadcast(keyed.where(heavy & (F.col(count) > CROWDED)))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(~(heavy & (F.col(count) > CROWDED))), on)
+    return rest.unionByName(rows.join(hot, on))
+
+
 def freed(df: DataFrame) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs, which it does for plans that the JVM has collected."""
     df.sparkSession.sparkContext._jvm.System.gc()

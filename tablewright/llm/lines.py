@@ -2,114 +2,98 @@
 
 Two lines are duplicates if they are equal word for word, or if both have at least `MIN_WORDS` words and the edit distance
 between their word sequences (insert, delete, replace a word) is at most the bound: 1, or with `words_per_edit` one for each
-so many words of the shorter line, 1 at least. A line goes when an earlier line, by doc_id and place, is its duplicate; so the
-earliest of equal lines stays. Blank lines stay always.
-
-1. Equal lines: 128-bit hashes, pre-aggregated to the earliest place.
-2. Deletion neighbourhood: a line's variants are itself and itself without one word. A variant's key is the pair of the chained
-   hashes of the words before and after the gap, plus the number of words left, so lines that share a key differ in that gap
-   alone. For each key only the earliest line is sought (a pre-aggregated minimum): no pairs within a key are formed.
-3. Only lines that can have a partner make variants. If two lines differ by one edit, they agree in the first or in the last
-   half, so lines without a common half are passed over; the same holds for finer gaps, which is applied to the rest.
-4. Every match is verified on the words.
-5. Bounds above 1: b edits cut a line into at most b + 1 parts, so two such lines share a run of `_run` words. The least gram
-   of every window of that many words is a seed; a pair shares at least `_least` of them at like places. Each line is compared
-   with the earliest of each of its seeds, and only lines that this does not settle with all others that share enough.
+so many words of the shorter line, 1 at least. So about one word in eight may differ at most; in shorter lines one word would
+be more, and they count as different. A line goes when an earlier line, by doc_id and place, is its duplicate; so the earliest
+of equal lines stays. Blank lines stay always.
+
+1. One scan hashes each line and gives its filter keys. Equal lines are merged to the earliest, pre-aggregated.
+2. Filter keys, so that lines without a possible partner are read no further. Bound 1: the first and the last half of a line;
+   a pair agrees in one of them. Higher bounds: a variant is the line without up to 2 b of its chunks (an edit touches two
+   chunks at most), and a pair has a variant in common. All variants together have only 2 b + 1 different least chunks,
+   whatever order of chunks is taken, so a variant's key is its least chunk, and the keys number 2 b + 1.
+3. Bound 1: a candidate's variants are itself and itself without one word. The key is the text before and after the gap, so
+   lines that share a key differ in that gap alone; only the earliest line of a key is sought, and no pairs are formed.
+4. Higher bounds: chunks are ordered by their frequency among candidates, so keys are rare. A line with more chunks of its own
+   than the bound allows is done. The others are compared with the earliest line of each of their keys, and those that this
+   does not settle with the other earlier ones.
+5. Every match is verified: equal text around the gap, or the edit distance of the words.
+
+Chunks end after words whose last letter is in a fixed class. A line with too few chunks takes its words as chunks as well; an
+edit touches one of those, so b + 1 keys do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, free_name, freed, stored, whole
+from .common import dropped, free_name, freed, heavy_join, stored, whole
 
 MIN_WORDS = 8
-#: Gaps of the second filter.
+#: Gaps of the second filter for bound 1.
 GAPS = 8
 #: Words of a line for one edit, in the registered queries.
 WORDS_PER_EDIT = 20
-#: Low bits of a gram's hash that hold its place in the line.
-PLACE_BITS = 20
-#: Words per block of the two-level prefix hashes.
-STRIDE = 32
+#: A chunk ends after a word that ends in one of these: every third code point of the scripts that put spaces between words.
+CHUNK_END = "".join(map(chr, [c for c in range(0x30, 0x700) if c % 3 == 1 and chr(c) not in "[\\]^&-"]))
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "\t\u000b\f\r", "    "), " "), lambda w: w != "")
+def _normal(line: Column) -> Column:
+    """The words with one space between them."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\u000b\f\r":
+        odd = odd | line.contains(c)
+    return F.when(odd, F.trim(F.regexp_replace(line, "[\t\u000b\f\r ]+", " "))).otherwise(line)
 
 
-def _first(n: Column, words: Column) -> Column:
-    return F.slice(words, 1, n)
+def _first(s: Column, n: Column) -> Column:
+    """The first n words of a normal line."""
+    return F.call_function("substring_index", s, F.lit(" "), n)
 
 
-def _last(n: Column, words: Column) -> Column:
-    return F.slice(words, F.size(words) - n + 1, n)
+def _last(s: Column, n: Column) -> Column:
+    return _first(s, -n)
 
 
-def _halves(words: Column) -> Column:
-    """Keys of the first and last m words for m = n/2 and (n-1)/2: a line may be the longer or the shorter of a pair."""
-    n = F.size(words)
-    both = F.array_distinct(F.array((n / 2).cast("int"), ((n - 1) / 2).cast("int")))
-    each = F.transform(both, lambda m: F.array(F.xxhash64(F.lit("f"), m, _first(m, words)), F.xxhash64(F.lit("l"), m, _last(m, words))))
-    return F.when(n >= MIN_WORDS, F.flatten(each)).otherwise(F.expr("cast(array() as array<bigint>)"))
-
-
-def _prefix(words: Column, blocks: Column, n: Column) -> Column:
-    """The chained hash of the first n words, from the hashes of whole blocks of STRIDE words."""
-    whole_blocks = (n / STRIDE).cast("int")
-    return F.xxhash64(F.slice(blocks, 1, whole_blocks), F.slice(words, whole_blocks * STRIDE + 1, n - whole_blocks * STRIDE))
-
-
-def _blocks(words: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), (F.size(words) / STRIDE).cast("int")), lambda b: F.xxhash64(F.slice(words, b * STRIDE + 1, F.lit(STRIDE))))
-
-
-def _gaps() -> Column:
-    """For base length m = n and n-1, GAPS gaps [a, b) of the first m words; in a line of m+1 words a gap is one longer."""
-    def of(m: Column) -> Column:
-        def one(g: Column) -> Column:
-            a = F.floor(m * g / GAPS).cast("int")
-            b = F.floor(m * (g + 1) / GAPS).cast("int")
-            left = F.col("n") - m
-            return F.struct(a.alias("a"), (b + left).alias("b"), m.alias("m"), g.alias("g"))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(GAPS - 1)), one)
+def _bind(value: Column, f) -> Column:
+    """f(value) with value evaluated once."""
+    return F.transform(F.array(value), f)[0]
 
-    return F.concat(of(F.col("n")), of(F.col("n") - 1))
 
+def _halves(s: Column, n: Column) -> Column:
+    """Keys of the first and last m words for m = n/2 and (n-1)/2: a line may be the longer or the shorter of a pair."""
+    def of(m: Column) -> list[Column]:
+        return [F.xxhash64(F.lit("f"), m, _first(s, m)), F.xxhash64(F.lit("l"), m, _last(s, m))]
 
-def _run(words_per_edit: int) -> int:
-    """Words in a row that two lines with a bound of 2 or more share at least: (n - b) / (b + 1), least for b = 2."""
-    return -(-2 * (words_per_edit - 1) // 3)
+    return F.array_distinct(F.array(*of((n / 2).cast("int")), *of(((n - 1) / 2).cast("int"))))
 
 
-def _gram(words_per_edit: int) -> int:
-    return max(2, _run(words_per_edit) // 2 - 1)
+def _token(chunk: Column, tag: str) -> Column:
+    """A chunk's hash below its length, so that long chunks, which are rarer, come first in order."""
+    return F.shiftleft(F.greatest(F.lit(127) - F.octet_length(chunk), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(tag), chunk), 8))
 
 
-def _least(n: Column, words_per_edit: int) -> Column:
-    """Seeds that a line of n words shares at least with a partner: an edit breaks one window for each word of a window."""
-    run = _run(words_per_edit)
-    return F.greatest(F.lit(1), F.ceil((n - run + 1 - F.floor(n / words_per_edit) * run) / (run - _gram(words_per_edit) + 1)))
+def _tokens(parts: Column, tag: str) -> Column:
+    return F.array_distinct(F.transform(parts, lambda c: _token(c, tag)))
 
 
-def _bind(value: Column, f) -> Column:
-    """f(value) with value evaluated once."""
-    return F.transform(F.array(value), f)[0]
+def _chunks(s: Column) -> Column:
+    return F.split(s, f"(?<=[{CHUNK_END}]) ")
 
 
-def _seeds(words: Column, n: Column, words_per_edit: int) -> Column:
-    run, gram = _run(words_per_edit), _gram(words_per_edit)
-    low = (1 << PLACE_BITS) - 1
+def _least(tokens: Column, n: Column) -> Column:
+    return F.slice(F.array_sort(tokens), F.lit(1), n)
 
-    def grams(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), n - gram), lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(gram))).bitwiseAND(F.lit(~low)).bitwiseOR(i.bitwiseAND(F.lit(low)).cast("long")))
 
-    def least(g: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), n - run), lambda j: F.array_min(F.slice(g, j + 1, F.lit(run - gram + 1)))))
-
-    return _bind(_bind(F.transform(words, lambda w: F.xxhash64(w)), grams), least)
+def _filter_keys(s: Column, n: Column, per: int | None) -> Column:
+    none = F.expr("cast(array() as array<bigint>)")
+    if not per:
+        return F.when(n >= MIN_WORDS, _halves(s, n)).otherwise(none)
+    b = (n / per).cast("int")
+    sparse = _least(_tokens(F.split(s, " "), "w"), b + 1)
+    dense = _bind(_chunks(s), lambda c: F.concat(_least(_tokens(c, "c"), 2 * b + 1), F.when(F.size(c) > 2 * b, none).otherwise(sparse)))
+    long = F.when(n > 2 * per, dense).when(n == 2 * per, F.concat(dense, _halves(s, n)))
+    return long.when(n >= MIN_WORDS, _halves(s, n)).otherwise(none)
 
 
 def _within(x: Column, y: Column, bound: Column) -> Column:
@@ -126,20 +110,26 @@ def _within(x: Column, y: Column, bound: Column) -> Column:
     return F.when(apart <= bound, near).otherwise(False)
 
 
-def _far(found: DataFrame, words_per_edit: int) -> DataFrame:
+def _far(found: DataFrame, per: int) -> DataFrame:
     """(h1, h2) of lines with a bound of 2 or more that an earlier one is within."""
-    bound = lambda n, m: F.floor(F.least(n, m) / words_per_edit).cast("int")
-    long = found.where(F.col("n") >= 2 * words_per_edit)
-    seeds = long.select("h1", F.explode(_seeds(F.col("words"), F.col("n"), words_per_edit)).alias("g"))
-    seeds = seeds.select("h1", F.shiftright("g", PLACE_BITS).alias("seed"), F.col("g").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("at"))
-    same = Window.partitionBy("seed")
-    common = stored(seeds.select("*", F.min("h1").over(same).alias("lo"), F.max("h1").over(same).alias("hi")).where("lo < hi").select("h1", "seed", "at"), "line-seeds")
-    own = common.groupBy("h1").agg(F.count(F.lit(1)).alias("c"))
-    keys = long.select("h1", "h2", "first", "n").join(own, "h1").where(F.col("c") >= _least(F.col("n"), words_per_edit)).drop("c")
-    keys = stored(keys, "line-keys")
-    shared = stored(keys.join(common, "h1"), "line-shared")
-    long = stored(long.select("h1", "h2", "words").join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi"), "line-long")
-    dropped(common, keys)
+    bound = lambda n, m: F.floor(F.least(n, m) / per).cast("int")
+    long = found.where(F.col("n") >= 2 * per)
+    b = (F.col("n") / per).cast("int")
+    chunked = long.select("h1", "h2", "s", b.alias("b"), _chunks(F.col("s")).alias("parts"))
+    kinds = F.array(
+        F.struct(_tokens(F.col("parts"), "c").alias("tokens"), (2 * F.col("b")).alias("spare")),
+        F.when(F.size("parts") <= 2 * F.col("b"), F.struct(_tokens(F.split("s", " "), "w").alias("tokens"), F.col("b").alias("spare"))),
+    )
+    each = chunked.select("h1", "h2", F.posexplode(F.array_compact(kinds)).alias("kind", "of"))
+    each = each.select("h1", "h2", "kind", "of.spare", F.size("of.tokens").alias("all"), F.explode("of.tokens").alias("token"))
+    often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-chunks")
+    shared = heavy_join(each, often, ["token"], "c").groupBy("h1", "h2", "kind", "spare", "all").agg(F.collect_list(F.struct("c", "token")).alias("own"))  # a line's own chunks
+    open_lines = shared.where(F.col("all") - F.size("own") <= F.col("spare"))
+    rarest = F.slice(F.array_sort("own"), F.lit(1), F.col("spare") + 1 - (F.col("all") - F.size("own")))
+    keys = stored(open_lines.select("h1", "h2", F.explode(rarest).alias("k")).select("h1", "h2", "k.token"), "line-keys")
+    long = stored(long.join(keys.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "first", "n", F.split("s", " ").alias("words")), "line-long")
+    keys, spent = stored(keys.join(long.select("h1", "h2", "first", "n"), ["h1", "h2"]), "line-keys"), keys
+    dropped(often, spent)
     freed(found)
 
     mine = long.select("h1", "h2", F.col("words").alias("x"))
@@ -149,93 +139,100 @@ def _far(found: DataFrame, words_per_edit: int) -> DataFrame:
         both = pairs.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"])
         return stored(both.where(_within(F.col("x"), F.col("y"), bound(F.size("x"), F.size("y")))).select("h1", "h2").distinct(), name)
 
-    firsts = shared.groupBy("seed").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"))
+    firsts = keys.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1")
     fits = F.abs(F.col("n") - F.col("one.n")) <= bound(F.col("n"), F.col("one.n"))
-    told = shared.join(firsts, "seed").where((F.col("one.first") < F.col("first")) & fits)
+    told = keys.join(firsts, "token").where((F.col("one.first") < F.col("first")) & fits)
     told = stored(told.select("h1", "h2", F.col("one.h1").alias("g1"), F.col("one.h2").alias("g2")).distinct(), "line-firsts")
     early = settled(told, "line-early")
 
-    open_lines = shared.join(early, ["h1", "h2"], "left_anti")
-    theirs = shared.select("seed", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("before"), F.col("n").alias("m"), F.col("at").alias("there"))
-    b = bound(F.col("n"), F.col("m"))
-    near_place = (F.abs(F.col("at") - F.col("there")) <= b) | (F.least("n", "m") >= 1 << PLACE_BITS - 1)
-    pairs = open_lines.join(theirs, "seed").where((F.col("before") < F.col("first")) & (F.abs(F.col("n") - F.col("m")) <= b) & near_place)
-    pairs = pairs.groupBy("h1", "h2", "g1", "g2", F.least("n", "m").alias("n")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _least(F.col("n"), words_per_edit))
-    late = settled(pairs.select("h1", "h2", "g1", "g2").join(told, ["h1", "h2", "g1", "g2"], "left_anti"), "line-late")
+    rest = keys.join(early, ["h1", "h2"], "left_anti")
+    theirs = keys.select("token", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("before"), F.col("n").alias("m"))
+    close = F.abs(F.col("n") - F.col("m")) <= bound(F.col("n"), F.col("m"))
+    pairs = rest.join(theirs, "token").where((F.col("before") < F.col("first")) & close).select("h1", "h2", "g1", "g2").distinct()
+    late = settled(pairs.join(told, ["h1", "h2", "g1", "g2"], "left_anti"), "line-late")
     late = stored(early.union(late), "line-far")
-    dropped(shared, told, long)
+    dropped(keys, told, long)
     freed(found)
     return late
 
 
-def _removals(docs: DataFrame, words_per_edit: int | None) -> DataFrame:
-    """(k, cut, near): places of the lines to remove from rows (k, doc_id, text), and of those that are not equal copies."""
-    order = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id"), F.col("k"), F.col("at"))
-    each = docs.select("k", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("k", "doc_id", "at", _words(F.col("line")).alias("words"))
-    lines = each.where(F.size("words") > 0).select(
-        "k", "doc_id", "at", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), _halves(F.col("words")).alias("halves"), F.size("words").alias("n"),
-    )
-    lines = stored(lines, "lines")
-    unique = stored(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.first("halves").alias("halves"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "line-classes")
-
-    halves = unique.select("h1", "h2", F.explode("halves").alias("half"))
-    common = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
-    maybe = halves.join(common, "half").select("h1", "h2", F.lit(True).alias("half")).distinct()
-    if words_per_edit:  # long lines have partners beyond one edit
-        maybe = unique.join(maybe, ["h1", "h2"], "left").where(F.col("half") | (F.col("n") >= 2 * words_per_edit))
-    else:
-        maybe = unique.join(maybe, ["h1", "h2"])
-    maybe = maybe.select("first.k", F.struct("first.at", "h1", "h2", F.col("first").alias("first"), F.coalesce("half", F.lit(False)).alias("half")).alias("x"))
-    wanted = maybe.groupBy("k").agg(F.array_sort(F.collect_set("x")).alias("own"))  # a text's own lines
-    found = docs.select("k", "text").dropDuplicates(["k"]).join(wanted, "k").select(F.split("text", "\n").alias("lines"), F.explode("own").alias("x"))
-    found = found.select("x.h1", "x.h2", "x.first", "x.half", _words(F.expr("lines[x.at]")).alias("words"))
-    found = stored(found.select("h1", "h2", "first", "half", "words", F.size("words").alias("n")), "line-words")
-    far = None
-    if words_per_edit:
-        freed(found)
-        far = _far(found, words_per_edit)
-        every, found = found, stored(found.where("half"), "line-halves")
-        dropped(every)
-        freed(found)
-
-    hashed = found.where("half").withColumn("ahead", _blocks(F.col("words"))).withColumn("back", F.reverse("words")).withColumn("behind", _blocks(F.col("back")))
-    gaps = hashed.select("*", F.explode(_gaps()).alias("gap"))
-    gaps = gaps.withColumn("shared", F.xxhash64("gap.m", "gap.g", _prefix(F.col("words"), F.col("ahead"), F.col("gap.a")), _prefix(F.col("back"), F.col("behind"), F.col("n") - F.col("gap.b"))))
-    gaps = stored(gaps.select("h1", "h2", "shared", "gap"), "line-gaps")
-    freed(found)
-    open_gaps = gaps.join(gaps.groupBy("shared").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shared"), "shared")
-    open_gaps = open_gaps.groupBy("h1", "h2").agg(F.collect_set("gap").alias("gaps"))  # at most 2 * GAPS of a line
-    cuts = F.array_distinct(F.flatten(F.transform("gaps", lambda g: F.sequence(g["a"], F.greatest(g["b"], g["a"])))))
-    near = hashed.join(open_gaps, ["h1", "h2"]).withColumn("i", F.explode(cuts))
-    tail = lambda n: _prefix(F.col("back"), F.col("behind"), n)
+def _near(found: DataFrame) -> DataFrame:
+    """(h1, h2) of lines that an earlier one is within one edit of."""
+    n = F.col("n")
+
+    def gaps(m: Column) -> Column:
+        """GAPS gaps [a, b) of the first m words; in a line of m + 1 words a gap is one longer."""
+        def one(g: Column) -> Column:
+            return F.struct(F.floor(m * g / GAPS).cast("int").alias("a"), (F.floor(m * (g + 1) / GAPS) + n - m).cast("int").alias("b"), m.alias("m"), g.alias("g"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(GAPS - 1)), one)
+
+    cut = found.select("*", F.explode(F.concat(gaps(n), gaps(n - 1))).alias("gap"))
+    around = F.xxhash64("gap.m", "gap.g", _first(F.col("s"), F.col("gap.a")), _last(F.col("s"), n - F.col("gap.b")))
+    cut = stored(cut.select("h1", "h2", around.alias("shared"), "gap"), "line-gaps")
+    often = stored(cut.groupBy("shared").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-shared")
+    some = heavy_join(cut, often, ["shared"], "c").groupBy("h1", "h2").agg(F.collect_set("gap").alias("gaps"))  # at most 2 * GAPS of a line
+    places = F.array_distinct(F.flatten(F.transform("gaps", lambda g: F.sequence(g["a"], F.greatest(g["b"], g["a"])))))
+    near = found.join(some, ["h1", "h2"]).select("h1", "h2", "first", "s", "n", F.explode(places).alias("i"))
+    tail = lambda left: F.xxhash64(_last(F.col("s"), left))
     variants = F.array(
-        F.struct(tail(F.col("n") - F.col("i")).alias("tail"), F.col("n").alias("left")),
-        F.when(F.col("i") < F.col("n"), F.struct(tail(F.greatest(F.col("n") - F.col("i") - 1, F.lit(0))).alias("tail"), (F.col("n") - 1).alias("left"))),
+        F.struct(tail(n - F.col("i")).alias("tail"), n.alias("left")),
+        F.when(F.col("i") < n, F.struct(tail(n - F.col("i") - 1).alias("tail"), (n - 1).alias("left"))),
     )
-    near = near.withColumn("head", _prefix(F.col("words"), F.col("ahead"), F.col("i"))).select("h1", "h2", "first", "i", "head", F.explode(F.array_compact(variants)).alias("v"))
+    near = near.select("h1", "h2", "first", "i", F.xxhash64(_first(F.col("s"), F.col("i"))).alias("head"), F.explode(F.array_compact(variants)).alias("v"))
+    key = ["head", "tail", "left", "i"]
     keys = stored(near.select("h1", "h2", "first", "i", "head", "v.tail", "v.left"), "line-variants")
-    dropped(gaps)
+    dropped(cut, often)
     freed(found)
 
-    key = ["head", "tail", "left", "i"]
-    firsts = keys.groupBy(*key).agg(F.min(F.struct("first", "h1", "h2")).alias("one"), F.max("first").alias("most")).where("one.first < most").select(*key, "one")
-    match = keys.join(firsts, key).where("one.first < first")
+    firsts = stored(keys.groupBy(*key).agg(F.min(F.struct("first", "h1", "h2")).alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1"), "line-firsts")
+    match = heavy_join(keys, firsts, key, "c").where("one.first < first")
     match = match.groupBy("h1", "h2").agg(F.min(F.struct(F.col("one.first").alias("first"), F.col("one.h1").alias("g1"), F.col("one.h2").alias("g2"), "i", "left")).alias("m"))
     match = match.select("h1", "h2", "m.g1", "m.g2", "m.i", "m.left")
-    mine = found.select("h1", "h2", F.col("words").alias("x"))
-    other = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("y"))
-    tail_of = lambda w: F.slice(w, F.size(w) - (F.col("left") - F.col("i")) + 1, F.col("left") - F.col("i"))
-    same = (F.slice("x", F.lit(1), F.col("i")) == F.slice("y", F.lit(1), F.col("i"))) & (tail_of(F.col("x")) == tail_of(F.col("y")))
-    edited = match.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"]).where(same).select("h1", "h2")
-    if far is not None:
-        edited = edited.union(far).distinct()
-    edited = edited.withColumn("near", F.lit(True))
-
-    doomed = unique.join(edited, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", F.col("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    out = lines.select("k", "doc_id", "at", "h1", "h2").join(doomed, ["h1", "h2"])
-    out = out.where(F.col("near") | (order > F.col("first"))).groupBy("k")
-    out = stored(out.agg(F.collect_set("at").alias("cut"), F.collect_set(F.when(F.col("near"), F.col("at"))).alias("near")), "line-cuts")  # a text's own lines
-    dropped(lines, unique, found, keys)
+    mine = found.select("h1", "h2", F.col("s").alias("x"))
+    other = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("s").alias("y"))
+    same = lambda f, k: f(F.col("x"), k) == f(F.col("y"), k)
+    agree = same(_first, F.col("i")) & same(_last, F.col("left") - F.col("i"))
+    out = stored(match.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"]).where(agree).select("h1", "h2"), "line-near")
+    dropped(keys, firsts)
+    return out
+
+
+def _removals(docs: DataFrame, per: int | None) -> DataFrame:
+    """(k1, k2, cut, near): places of the lines to remove from rows (k1, k2, doc_id, text), and the number that are not equal copies."""
+    order = F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "k1", "k2", "at")
+    lines = docs.select("k1", "k2", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("k1", "k2", "doc_id", "at", _normal(F.col("line")).alias("s"))
+    lines = lines.where("s <> ''").withColumn("n", F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1)
+    lines = lines.select("k1", "k2", "doc_id", "at", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "n", _filter_keys(F.col("s"), F.col("n"), per).alias("keys"))
+    lines = stored(lines, "lines")
+    unique = lines.groupBy("h1", "h2").agg(F.min(F.struct(order.alias("first"), "n", "keys")).alias("u"), F.count(F.lit(1)).alias("copies"))
+    unique = stored(unique.select("h1", "h2", "u.first", "u.n", "u.keys", "copies"), "line-classes")
+    freed(docs)
+
+    keyed = unique.select("h1", "h2", F.explode("keys").alias("key"))
+    often = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-often")
+    maybe = stored(heavy_join(keyed, often, ["key"], "c").select("h1", "h2").distinct(), "line-maybe")
+    freed(docs)
+    own = unique.join(maybe, ["h1", "h2"]).select("first.k1", "first.k2", F.struct("first.at", "h1", "h2", "first", "n").alias("x"))
+    own = own.groupBy("k1", "k2").agg(F.collect_list("x").alias("own"))  # a text's own lines
+    found = docs.select("k1", "k2", "text").join(own, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), F.explode("own").alias("x"))
+    found = found.select("x.h1", "x.h2", "x.first", "x.n", _normal(F.expr("lines[x.at]")).alias("s")).dropDuplicates(["h1", "h2"])
+    found = stored(found, "line-words")
+    dropped(often, maybe)
+    freed(docs)
+
+    spent = [_near(found.where(F.col("n") <= 2 * per) if per else found)]
+    freed(docs)
+    if per:
+        spent.append(_far(found, per))
+    edited = spent[0].union(spent[1]).distinct() if per else spent[0]
+    doomed = unique.join(edited.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("copies > 1 or near")
+    doomed = stored(doomed.select("h1", "h2", "first", "copies", F.coalesce("near", F.lit(False)).alias("near")), "line-doomed")
+    out = heavy_join(lines.select("k1", "k2", "doc_id", "at", "h1", "h2"), doomed, ["h1", "h2"], "copies")
+    out = out.where(F.col("near") | (order > F.col("first"))).groupBy("k1", "k2")
+    out = stored(out.agg(F.collect_set("at").alias("cut"), F.size(F.collect_set(F.when(F.col("near"), F.col("at")))).alias("near")), "line-cuts")  # a text's own lines
+    dropped(lines, unique, found, doomed, *spent)
+    freed(docs)
     return out
 
 
@@ -244,16 +241,17 @@ def dedup(docs: DataFrame, counts: bool = True, words_per_edit: int | None = Non
 
     Lines may differ in one word, or with words_per_edit (4 at least) in one for each so many words of the shorter line.
 
-    Null texts count as empty: one blank line, nothing removed, text stays null. Null doc_ids come last in the order. Rows that
-    repeat doc_id and text are one document. A document may lose all its lines; it stays with empty text. All columns of docs
-    stay; n_lines, n_removed and n_near replace columns of that name. Without counts no column is added.
+    Null texts count as empty: one blank line, nothing removed, text stays null. Null doc_ids come last in the order. Ties of
+    doc_id go by a hash of the text. Rows that repeat doc_id and text are one document. A document may lose all its lines; it
+    stays with empty text. Texts and lines of any length are read whole. An empty table gives an empty result. All columns of
+    docs stay; n_lines, n_removed and n_near replace columns of that name. Without counts no column is added.
     """
     if words_per_edit is not None and words_per_edit < 4:
         raise ValueError("words_per_edit must be 4 at least")
-    key, cut, near = (free_name(docs, n) for n in ("_k", "_cut", "_near"))
-    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    removed = _removals(rows.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")), words_per_edit)
-    both = rows.join(removed.select(F.col("k").alias(key), F.col("cut").alias(cut), F.size("near").alias(near)), key, "left")
+    one, two, cut, near = (free_name(docs, n) for n in ("_k1", "_k2", "_cut", "_near"))
+    rows = docs.withColumns({one: F.xxhash64("doc_id", "text"), two: F.xxhash64(F.lit(1), "doc_id", "text")})
+    removed = _removals(rows.select(F.col(one).alias("k1"), F.col(two).alias("k2"), F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")), words_per_edit)
+    both = rows.join(removed.select(F.col("k1").alias(one), F.col("k2").alias(two), F.col("cut").alias(cut), F.col("near").alias(near)), [one, two], "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(cut, i))
     new = {"text": F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
     if counts:

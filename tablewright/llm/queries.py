@@ -70,9 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-#: Words of a line, each variant with its gap written out, and for each variant the earliest line that has it.
+#: Words of a line; for lines that may differ in one word, each variant with its gap written out and the earliest line that has
+#: it; for longer ones, pairs that share one of their bound + 1 rarest words and the edit distance row by row.
 LINE_DEDUP_SQL = """
-with l as (
+with recursive l as (
     select doc_id, pos, line, list_filter(string_split(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda w: w <> '') as w
     from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as pos from documents)
 ), u as (
@@ -83,8 +84,29 @@ with l as (
     select w, earliest, i || '#' || array_to_string(w[1:i], ' ') || '#' || array_to_string(w[i+1:], ' ') as key from v
     union all
     select w, earliest, i || '#' || array_to_string(w[1:i], ' ') || '#' || array_to_string(w[i+2:], ' ') from v where i < len(w)
+), g as (
+    select w, earliest, len(w) as n, row_number() over (order by earliest) as id from u where len(w) >= 40
+), t as (
+    select id, n, word, unnest(range(0, c)) as occ from (select id, n, word, count(*) as c from (select id, n, unnest(w) as word from g) group by all)
+), r as (
+    select id, n, word, occ from t join (select word, occ, count(*) as c from t group by all) using (word, occ)
+    qualify row_number() over (partition by id order by c, word, occ) <= n // 20 + 1
+), p as (
+    select distinct a.id as x, b.id as y, a.n as n, b.n as m, least(a.n, b.n) // 20 as bound
+    from r a join r b using (word, occ) where a.id < b.id and abs(a.n - b.n) <= least(a.n, b.n) // 20
+), q as (
+    select p.x, p.y, p.n, p.m, bound from p join t a on a.id = p.x join t b on b.id = p.y and a.word = b.word and a.occ = b.occ
+    group by p.x, p.y, p.n, p.m, bound having count(*) >= greatest(p.n, p.m) - bound
+), dp as (
+    select x, y, n, m, bound, 0 as i, range(0, m + 1) as row from q
+    union all
+    select x, y, dp.n, m, bound, i + 1, list_transform(range(0, m + 1), lambda j: j + list_min(list_transform(range(0, j + 1),
+        lambda h: least(row[h + 1] + 1, case when h = 0 then 1000000 else row[h] + cast(b.w[h] <> a.w[i + 1] as bigint) end) - h)))
+    from dp join g a on a.id = x join g b on b.id = y where i < dp.n
 ), near as (
-    select distinct w from k join (select key, min(earliest) as f from k group by key) using (key) where f < earliest
+    select w from k join (select key, min(earliest) as f from k group by key) using (key) where f < earliest
+    union
+    select w from dp join g on g.id = y where i = dp.n and row[m + 1] <= bound
 ), marked as (
     select l.doc_id, l.pos, l.line, coalesce(near.w is not null, false) as near, coalesce(near.w is not null or struct_pack(d := l.doc_id, a := l.pos) > u.earliest, false) as gone
     from l left join u on l.w = u.w left join near on l.w = near.w
