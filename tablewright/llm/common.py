@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys with one in so many rows of a table, or more, are joined by broadcast; there can be no more than that many.
+#: Keys with one in so many rows of a table, or more, are dealt over SALTS groups; there can be no more than that many.
 HEAVY = 2000
+SALTS = 64
 #: Keys of so few rows are never worth it.
 CROWDED = 500
 
@@ -67,17 +68,31 @@ def dropped(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t.stored_at)
 
 
+def _heavy(keyed: DataFrame, count: str):
+    """Whether a key of keyed, which is stored, has at least one in HEAVY of all counted rows."""
+    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    return (F.col(count) * HEAVY >= total) & (F.col(count) > CROWDED)
+
+
 def heavy_join(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
     """rows joined with keyed, which is stored and has one row for each key, with the number of rows of that key in `count`.
 
-    Keys with at least one in HEAVY of all counted rows, which are HEAVY at most, are sent to every task, so their rows are
-    not brought together; all others are joined as usual.
+    Heavy keys, which are HEAVY at most, are told to every task and dealt over SALTS groups, so their rows are not brought
+    together.
     """
-    total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
-    heavy = F.col(count) * HEAVY >= total
-    hot = F.broadcast(keyed.where(heavy & (F.col(count) > CROWDED)))
-    rest = rows.join(hot.select(*on), on, "left_anti").join(keyed.where(~(heavy & (F.col(count) > CROWDED))), on)
-    return rest.unionByName(rows.join(hot, on))
+    heavy = _heavy(keyed, count)
+    hot = F.broadcast(keyed.where(heavy).select(*on, F.lit(True).alias("_hot")))
+    plain = [F.col(c) for c, kind in rows.dtypes if "<" not in kind]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS))).otherwise(0)
+    dealt = rows.join(hot, on, "left").withColumn("_salt", salt.cast("int")).drop("_hot")
+    copies = keyed.withColumn("_salt", F.explode(F.when(heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def heavy_anti(rows: DataFrame, keyed: DataFrame, on: list[str], count: str) -> DataFrame:
+    """The rows whose key is not in keyed; heavy keys are told to every task."""
+    heavy = _heavy(keyed, count)
+    return rows.join(F.broadcast(keyed.where(heavy).select(*on)), on, "left_anti").join(keyed.where(~heavy).select(*on), on, "left_anti")
 
 
 def freed(df: DataFrame) -> None:

@@ -19,7 +19,8 @@ of equal lines stays. Blank lines stay always.
 5. Every match is verified: equal text around the gap, or the edit distance of the words.
 
 Chunks end after words with certain last letters. A line with too few chunks takes its words as chunks as well; an
-edit touches one of those, so b + 1 keys do.
+edit touches one of those, so b + 1 keys do. In step 4 a line with many, so short, chunks takes each with the next one (an edit
+touches three of those); lines near the limits, which a partner may be beyond, take both.
 """
 
 from __future__ import annotations
@@ -83,8 +84,13 @@ def _chunks(s: Column) -> Column:
     return F.split(s, "\n")
 
 
+def _pairs(parts: Column) -> Column:
+    """Each chunk with the next one."""
+    return F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda c, d: F.xxhash64(F.lit("p"), c, d))
+
+
 def _least(tokens: Column, n: Column) -> Column:
-    return F.slice(F.array_sort(tokens), F.lit(1), n)
+    return F.slice(F.sort_array(tokens), F.lit(1), n)
 
 
 def _filter_keys(s: Column, n: Column, per: int | None) -> Column:
@@ -99,17 +105,27 @@ def _filter_keys(s: Column, n: Column, per: int | None) -> Column:
 
 
 def _within(x: Column, y: Column, bound: Column) -> Column:
-    """Whether the edit distance between two word lists is at most bound: each word becomes a character of its own."""
-    def text(words: Column, known: Column) -> Column:
-        def char(w: Column) -> Column:
-            at = F.array_position(known, w) + 255
-            return F.decode(F.unhex(F.lpad(F.hex(F.when(at >= 0xD800, at + 0x800).otherwise(at)), 8, "0")), "UTF-32")
+    """Whether the edit distance between two word lists is at most bound: each word becomes a character of its own.
+
+    The character follows from the word's hash; words of one hash get characters by their place in the list of such words.
+    """
+    code = lambda w: (F.pmod(F.xxhash64(w), F.lit(0xE0000)) + 0x10000).cast("int")
+
+    def near(known: Column) -> Column:
+        twins = _bind(F.sort_array(F.transform(known, code)), lambda codes: F.filter(codes, lambda v, i: v == F.get(codes, i - 1)))
+
+        def told(twin: Column) -> Column:
+            def text(words: Column, alike: Column) -> Column:
+                own = lambda w: F.when(F.array_contains(twin, code(w)), (F.array_position(alike, w) + 0xF0000).cast("int")).otherwise(code(w))
+                return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(own(w)), 8, "0")), "")), "UTF-32")
+
+            alike = F.filter(known, lambda w: F.array_contains(twin, code(w)))
+            return _bind(alike, lambda a: F.call_function("levenshtein", text(x, a), text(y, a), bound))
 
-        return F.array_join(F.transform(words, char), "")
+        return _bind(twins, told)
 
-    near = _bind(F.array_distinct(F.concat(x, y)), lambda known: F.call_function("levenshtein", text(x, known), text(y, known), bound)) >= 0
     apart = F.greatest(F.size(F.array_except(x, y)), F.size(F.array_except(y, x)))
-    return F.when(apart <= bound, near).otherwise(False)
+    return F.when(apart <= bound, _bind(F.array_distinct(F.concat(x, y)), near) >= 0).otherwise(False)
 
 
 def _far(found: DataFrame, per: int) -> DataFrame:
@@ -117,28 +133,30 @@ def _far(found: DataFrame, per: int) -> DataFrame:
     bound = lambda n, m: F.floor(F.least(n, m) / per).cast("int")
     long = found.where(F.col("n") >= 2 * per)
     b = (F.col("n") / per).cast("int")
-    chunked = long.select("h1", "h2", "s", b.alias("b"), _chunks(F.col("s")).alias("parts"))
+    chunked = long.select("h1", "h2", "s", b.alias("b"), _chunks(F.col("s")).alias("parts")).withColumn("c", F.size("parts"))
+    spare = F.col("b")
     kinds = F.array(
-        F.struct(_tokens(F.col("parts"), "c").alias("tokens"), (2 * F.col("b")).alias("spare")),
-        F.when(F.size("parts") <= 2 * F.col("b"), F.struct(_tokens(F.split("s", " "), "w").alias("tokens"), F.col("b").alias("spare"))),
+        F.when(F.col("c") < 5 * spare + 2, F.struct(_tokens(F.col("parts"), "c").alias("tokens"), (2 * spare).alias("spare"))),
+        F.when(F.col("c") >= 4 * spare + 2, F.struct(F.array_distinct(_pairs(F.col("parts"))).alias("tokens"), (3 * spare).alias("spare"))),
+        F.when(F.col("c") <= 2 * spare, F.struct(_tokens(F.split("s", " "), "w").alias("tokens"), spare.alias("spare"))),
     )
-    each = chunked.select("h1", "h2", F.posexplode(F.array_compact(kinds)).alias("kind", "of"))
-    each = each.select("h1", "h2", "kind", "of.spare", F.size("of.tokens").alias("all"), F.explode("of.tokens").alias("token"))
+    each = chunked.select("h1", "h2", F.explode(F.array_compact(kinds)).alias("of"))
+    each = each.select("h1", "h2", "of.spare", F.size("of.tokens").alias("all"), F.explode("of.tokens").alias("token"))
     often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-chunks")
-    shared = heavy_join(each, often, ["token"], "c").groupBy("h1", "h2", "kind", "spare", "all").agg(F.collect_list(F.struct("c", "token")).alias("own"))  # a line's own chunks
+    shared = heavy_join(each, often, ["token"], "c").groupBy("h1", "h2", "spare", "all").agg(F.collect_list(F.struct("c", "token")).alias("own"))  # a line's own chunks
     open_lines = shared.where(F.col("all") - F.size("own") <= F.col("spare"))
-    rarest = F.slice(F.array_sort("own"), F.lit(1), F.col("spare") + 1 - (F.col("all") - F.size("own")))
+    rarest = F.slice(F.sort_array("own"), F.lit(1), F.col("spare") + 1 - (F.col("all") - F.size("own")))
     keys = stored(open_lines.select("h1", "h2", F.explode(rarest).alias("k")).select("h1", "h2", "k.token"), "line-keys")
-    long = stored(long.join(keys.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "first", "n", F.split("s", " ").alias("words")), "line-long")
+    long = stored(long.join(keys.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "first", "n", "s"), "line-long")
     keys, spent = stored(keys.join(long.select("h1", "h2", "first", "n"), ["h1", "h2"]), "line-keys"), keys
     dropped(often, spent)
     freed(found)
 
-    mine = long.select("h1", "h2", F.col("words").alias("x"))
-    other = long.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("y"))
+    mine = long.select("h1", "h2", F.col("s").alias("x"))
+    other = long.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("s").alias("y"))
 
     def settled(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"])
+        both = pairs.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"]).withColumns({"x": F.split("x", " "), "y": F.split("y", " ")})
         return stored(both.where(_within(F.col("x"), F.col("y"), bound(F.size("x"), F.size("y")))).select("h1", "h2").distinct(), name)
 
     firsts = keys.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1")
