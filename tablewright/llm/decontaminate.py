@@ -2,8 +2,8 @@
 
 Tokens are runs of Unicode letters and digits in folded case, single characters in scripts without spaces, so punctuation,
 layout and case do not matter. Documents and benchmark items that share a seed of `SEED` tokens in a row are candidates. A candidate pair is tiled:
-the longest match of tokens that are not yet covered is marked, again and again, down to the seed's length. Matches of a given
-length come from running Karp-Rabin hashes and are verified token by token. Tiles may lie in any order, so reordered passages
+the longest match of tokens that are not yet covered is marked, again and again, down to the seed's length. The length comes
+from running Karp-Rabin hashes by bisection, and matches are verified token by token; repeats cost no more than their number. Tiles may lie in any order, so reordered passages
 count. A pair whose tiles cover `COVERAGE` percent of the item's tokens is contaminated. An item of fewer than `SEED` tokens
 is its own seed: it counts where all its tokens stand in a row.
 
@@ -21,28 +21,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
-from .shingles import mix, runs, tokens
+from .common import free_name, stored, whole
+from .shingles import runs, tokens
 
 SEED = 5
 COVERAGE = 80
 HELD_TOKENS = 1_000_000
 
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
+#: Two primes below 2**31 and a base for each.
+_FIELDS = ((2147483647, 1103515245), (2147483629, 362437069))
+
+
+def _powers(prime: int, base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+    return out[:n]
 
 
 class _Rolling:
-    """Karp-Rabin hashes of any run of tokens in constant time, modulo 2**64."""
+    """Karp-Rabin hashes of any run of tokens in constant time, modulo two primes."""
 
     def __init__(self, token: np.ndarray):
-        n = len(token)
-        up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
-        self.down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BACK, np.uint64)]), dtype=np.uint64)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(token * up[:n], dtype=np.uint64)])
+        self.fields = []
+        for prime, base in _FIELDS:
+            p = np.uint64(prime)
+            terms = (token % p) * _powers(prime, base, len(token)) % p
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)]) % p
+            self.fields.append((p, sums, _powers(prime, pow(base, -1, prime), len(token) + 1)))
 
     def of(self, start: np.ndarray, length: int) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.down[start])
+        one, two = ((sums[start + length] + p - sums[start]) % p * down[start] % p for p, sums, down in self.fields)
+        return one << np.uint64(31) | two
 
 
 def _free(covered: np.ndarray, length: int) -> np.ndarray:
@@ -51,45 +61,62 @@ def _free(covered: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(total[length:] == total[: len(total) - length])
 
 
-def _matches(item, doc, item_hash, doc_hash, in_item, in_doc, length: int) -> list[tuple[int, int, int]]:
-    """(length, place in item, place in doc) of matches of at least `length` free tokens that cannot be made longer."""
-    p, t = _free(in_item, length), _free(in_doc, length)
-    if not len(p) or not len(t):
-        return []
-    hp, ht = item_hash.of(p, length), doc_hash.of(t, length)
-    order = np.argsort(hp, kind="stable")
-    low, high = np.searchsorted(hp[order], ht, "left"), np.searchsorted(hp[order], ht, "right")
-    n = high - low
-    if not n.any():
-        return []
-    d = np.repeat(t, n)
-    i = p[order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]]
-    true = np.ones(len(d), bool)
-    for j in range(length):  # verification
-        true &= item[i + j] == doc[d + j]
-    d, i = d[true], i[true]
-    by = np.lexsort((i, d - i))
-    d, i = d[by], i[by]
-    first = np.flatnonzero((np.diff(d - i, prepend=np.iinfo(np.int64).min) != 0) | (np.diff(i, prepend=-9) != 1))
-    size = np.diff(np.append(first, len(d))) + length - 1
-    return sorted(zip(size.tolist(), i[first].tolist(), d[first].tolist()), key=lambda m: (-m[0], m[1], m[2]))
+def _marked(item, doc, p, t, hp, ht, length: int, in_item, in_doc) -> list[tuple[int, int, int]]:
+    """Tiles of the length, first in item and then in doc; their tokens are marked. p and t are free starts with hashes hp, ht.
+
+    Each item window takes the first window of doc of its hash that is free. Windows that are not stay so, so each list of
+    places is gone through once, whatever the number of pairs.
+    """
+    shared = np.intersect1d(hp, ht)
+    at_item, at_doc = np.isin(hp, shared), np.isin(ht, shared)
+    p, hp, t, ht = p[at_item], hp[at_item], t[at_doc], ht[at_doc]
+    by = np.argsort(ht, kind="stable")
+    t, low = t[by], np.searchsorted(ht[by], shared)
+    high = np.append(low[1:], len(t))
+    next_one, tiles = low.copy(), []
+    for i, kind in zip(p.tolist(), np.searchsorted(shared, hp).tolist()):
+        if in_item[i : i + length].any():
+            continue
+        at = next_one[kind]
+        while at < high[kind] and in_doc[t[at] : t[at] + length].any():
+            at += 1
+        next_one[kind] = at
+        while at < high[kind]:
+            d = int(t[at])
+            if not in_doc[d : d + length].any() and np.array_equal(item[i : i + length], doc[d : d + length]):  # verification
+                in_item[i : i + length] = in_doc[d : d + length] = True
+                tiles.append((length, i, d))
+                break
+            at += 1
+    return tiles
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles (length, place in item, place in doc), longest first; each token of either side is in one tile at most."""
+    """Tiles (length, place in item, place in doc), longest first; each token of either side is in one tile at most.
+
+    The longest match of free tokens is marked, the first in item and then in doc, again and again. Its length is found by
+    bisection: where a run is shared, so are its shorter parts.
+    """
     in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
-    hashes = _Rolling(item), _Rolling(doc)
-    length, tiles = max(least, min(len(item), len(doc))), []
-    while True:
-        found = _matches(item, doc, *hashes, in_item, in_doc, length)
-        for size, i, d in found:
-            if not in_item[i : i + size].any() and not in_doc[d : d + size].any():
-                in_item[i : i + size] = in_doc[d : d + size] = True
-                tiles.append((size, i, d))
-        if not found:
-            if length == least:
-                return tiles
-            length = max(least, length // 2 if length > 2 * least else length - 1)
+    one, two = _Rolling(item), _Rolling(doc)
+    most, tiles = min(len(item), len(doc)), []
+
+    def windows(length: int):
+        p, t = _free(in_item, length), _free(in_doc, length)
+        return p, t, one.of(p, length), two.of(t, length)
+
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            _, _, hp, ht = windows(mid)
+            low, high = (mid, high) if np.isin(hp, ht).any() else (low, mid - 1)
+        if low < least:
+            break
+        p, t, hp, ht = windows(low)
+        tiles += _marked(item, doc, p, t, hp, ht, low, in_item, in_doc)
+        most = low - 1
+    return tiles
 
 
 @dataclass(frozen=True)
@@ -210,8 +237,8 @@ def find(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, seed:
     """doc_id, item_id, covered, item_tokens, tiles, longest of every contaminated pair.
 
     Null texts count as empty. Items of fewer than `seed` tokens are sought as one whole run; items without a token or without
-    id take no part; equal items with different ids each report. Repeated rows of docs each report. Empty tables give an empty result. Only doc_id, item_id and
-    text are read.
+    id take no part; equal items with different ids each report. Repeated rows of docs each report. Empty tables give an empty result. Texts of any length are read whole. Only
+    doc_id, item_id and text are read.
     """
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), whole().alias("item")).distinct()
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
@@ -233,6 +260,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: int = COVERAGE, seed:
             return pd.Series([bool(bench.search(t, coverage)) for t in text], dtype=bool)
 
         return docs.where(~dirty(whole()))
-    texts = docs.select(whole().alias("text")).distinct().select(F.xxhash64("text").alias("doc_id"), "text")
-    hits = _joined(texts, items, coverage, seed).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(hits, F.xxhash64(whole()) == F.col("_dirty"), "left_anti")
+    texts = docs.select(whole().alias("text")).distinct().select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    texts = stored(texts, "texts")
+    dirty = _joined(texts, items, coverage, seed).select("doc_id").distinct().join(texts, "doc_id")
+    one, two = free_name(docs, "_t1"), free_name(docs, "_t2")
+    keys = {one: F.xxhash64(whole()), two: F.xxhash64(F.lit(1), whole())}
+    dirty = dirty.select(*[c.alias(n) for n, c in keys.items()])
+    return docs.withColumns(keys).join(dirty, [one, two], "left_anti").drop(one, two)

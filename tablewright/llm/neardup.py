@@ -4,8 +4,8 @@ Two small collections of `half` half keys (each of two minima) are combined pair
 minima, so the number of minima grows with the square root of the number of tables. Texts that share a table key are
 candidates; every link is confirmed on the full shingle sets. Steps:
 
-1. Texts with equal shingle sets form a class; its smallest doc_id stands for it (counts are pre-aggregated, so a class of any
-   size costs one row per task).
+1. Texts with equal shingle sets form a class with a number of its own (pre-aggregated, so a class of any size costs one row
+   per task).
 2. Round 1: within each table key, each class is compared with one class, chosen by a hash that differs from key to key, so a
    class meets many others. Confirmed links give components.
 3. Round 2: classes of one table key that are still in different components are compared with each other, so no link between
@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import dropped, stored, whole
+from .common import dropped, free_name, heavy_join, stored, whole
 from .shingles import mix, shingle_set
 
 MISS = 1e-4
@@ -65,11 +65,18 @@ def table_keys(shingles: np.ndarray, half: int) -> np.ndarray:
     return mix(np.repeat(halves[:half], half) * np.uint64(0x9FB21C651E98DF25) + np.tile(halves[half:], half) + pair)
 
 
-SIGNATURE = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>"
+SIGNATURE = "doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>"
+#: Columns that a class of equal sets has in common.
+SET = ["n_shingles", "set_a", "set_b"]
+
+
+def _row_keys() -> list[Column]:
+    """A 128-bit key of doc_id and text: a doc_id may stand for several texts."""
+    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2")]
 
 
 def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """For every row: set size, a 128-bit hash of the set and the table keys (null where there are no shingles)."""
+    """For every row: its key, set size, a 128-bit hash of the set and the table keys (null where there are no shingles)."""
     k, half = scheme.shingle, scheme.half
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,13 +88,14 @@ def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 a.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(7)), initial=np.uint64(0)).view(np.int64)))
                 b.append(int(mix(s ^ np.uint64(0x5555555555555555)).sum(dtype=np.uint64).view(np.int64)))
                 keys.append(table_keys(s, half).view(np.int64) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "set_a": a, "set_b": b, "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "k1": batch["k1"], "k2": batch["k2"], "n_shingles": n, "set_a": a, "set_b": b, "keys": keys})
 
-    return docs.select(F.col("doc_id").cast("long"), whole().alias("text")).mapInPandas(sign, SIGNATURE)
+    rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
+    return rows.select("doc_id", *_row_keys(), "text").mapInPandas(sign, SIGNATURE)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, n, s): the sorted shingle set, as bytes, of each wanted id."""
+    """(id, n, s): the sorted shingle set, as bytes, of each wanted class (id, k1, k2)."""
     k = scheme.shingle
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,8 +103,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, scheme: Scheme) -> DataFrame:
             found = [shingle_set(t, k) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in found], "s": [s.tobytes() for s in found]})
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), whole().alias("text")).join(wanted, "id", "left_semi")
-    return picked.mapInPandas(sets, "id bigint, n bigint, s binary").dropDuplicates(["id"])
+    rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text")).select(*_row_keys(), "text")
+    return rows.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("id", "text").mapInPandas(sets, "id bigint, n bigint, s binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,31 +200,27 @@ def _crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def link(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs; only doc_id and text are read.
-
-    Null text and text without words have no shingles and link with nothing. Texts with equal sets are one class. A null
-    doc_id is never linked: its component is null and it is kept. Rows that repeat a doc_id are one node; each is returned.
-    """
+def _grouped(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Stored: doc_id, k1, k2, n_shingles and group (a number for each component; null without doc_id or shingles)."""
     signed = stored(signatures(docs, scheme), "signatures")
     known = signed.where("doc_id is not null and n_shingles > 0")
-    same = ["n_shingles", "set_a", "set_b"]
-    classes = stored(known.groupBy(*same).agg(F.min("doc_id").alias("id")), "classes")
-    keyed = known.join(classes.withColumnRenamed("id", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_a"])
-    keyed = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    several = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("center")).where("least < most")
-    shared = stored(several.select("key", F.col("center.id").alias("center")), "keys")
-    members = stored(keyed.join(shared, "key"), "members")
-    sets = stored(_sets(docs, members.select("id").distinct(), scheme), "sets")
+    classes = known.groupBy(*SET).agg(F.min(F.struct("doc_id", "k1", "k2")).alias("one"), F.first("keys").alias("keys"))  # equal sets have equal keys
+    classes = stored(classes.select(*SET, "one.k1", "one.k2", "keys", F.monotonically_increasing_id().alias("id")), "classes")  # written once, so numbers stay
+    keyed = classes.select(F.explode("keys").alias("key"), "id")
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("center")).where("size > 1")
+    shared = stored(several.select("key", "size", F.col("center.id").alias("center")), "keys")
+    members = stored(heavy_join(keyed, shared, ["key"], "size").select("key", "id", "center"), "members")
+    sets = stored(_sets(docs, classes.select("id", "k1", "k2").join(members.select("id").distinct(), "id", "left_semi"), scheme), "sets")
 
     stars = members.where("id <> center").select(F.least("center", "id").alias("u"), F.greatest("center", "id").alias("v")).distinct()
     links = stored(_confirmed(stars, sets, scheme.percent), "links")
     parts = graph.components(links)
     spent = [parts]
 
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = stored(members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
-    rest = stored(placed.join(open_keys.select("key", "size"), "key"), "rest")
+    open_keys = stored(open_keys.select("key", "size"), "open-keys")
+    rest = stored(heavy_join(placed, open_keys, ["key"], "size"), "rest")
     x, y = rest.where(F.col("size") <= CROWD).alias("x"), rest.where(F.col("size") <= CROWD).alias("y")
     pairs = x.join(y, "key").where("x.id < y.id and x.component <> y.component").select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
     more = stored(_confirmed(pairs, sets, scheme.percent), "links")
@@ -229,15 +233,42 @@ def link(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
         parts = graph.components(more.union(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         spent.append(parts)
 
-    named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("_part"))
-    out = signed.drop("keys").join(named, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_part", "doc_id")).alias("component_id"))
+    named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select(*SET, F.coalesce("component", "id").alias("part"))
+    part = F.when(F.col("doc_id").isNotNull(), F.col("part"))
+    out = stored(signed.drop("keys").join(named, SET, "left").select("doc_id", "k1", "k2", "n_shingles", part.alias("group")), "groups")
+    dropped(signed, classes, shared, members, sets, links, placed, open_keys, rest, *spent)
+    return out
+
+
+def link(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; only doc_id and text are read.
+
+    Null text and text without words have no shingles and link with nothing. Texts with equal sets are one class. A null
+    doc_id is never linked: its component is null and it is kept. Rows link by their texts, also where a doc_id has several;
+    rows that repeat are each returned. Texts of any length are read whole. An empty table gives an empty result.
+    """
+    grouped = _grouped(docs, scheme)
+    least = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = grouped.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
-    dropped(signed, classes, shared, members, sets, links, rest, *spent)
+    dropped(grouped)
     return out
 
 
 def representatives(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id. Rows without doc_id stay; all columns stay."""
-    kept = link(docs, scheme).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    return known.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """docs with one row of each group: one of the smallest doc_id, ties by a hash of the text; all columns stay.
+
+    Rows without doc_id and rows without words stay. Of rows that repeat doc_id and text one stays.
+    """
+    one, two = free_name(docs, "_k1"), free_name(docs, "_k2")
+    grouped = _grouped(docs, scheme)
+    best = grouped.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("one")).select("one.k1", "one.k2")
+    rows = grouped.where("group is not null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    best = best.join(rows, ["k1", "k2"])
+    free = grouped.where("group is null").select("k1", "k2").distinct()
+    single = stored(best.where("copies = 1").select("k1", "k2").union(free).select(F.col("k1").alias(one), F.col("k2").alias(two)), "kept-rows")
+    again = best.where("copies > 1").select(F.col("k1").alias(one), F.col("k2").alias(two))
+    text = whole()
+    rows = docs.withColumns({one: F.xxhash64(F.col("doc_id").cast("long"), text), two: F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text)})
+    kept = rows.join(single, [one, two], "left_semi").unionByName(rows.join(again, [one, two], "left_semi").dropDuplicates([one, two]))
+    return kept.drop(one, two)

@@ -1,22 +1,17 @@
-"""Word and shingle hashes of whole texts, vectorised over the UTF-8 bytes (words) or code points (tokens)."""
+"""Word, token and shingle hashes of whole texts."""
 
 from __future__ import annotations
 
 import unicodedata
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
-#: White space between words: space, tab, line feed, vertical tab, form feed, carriage return.
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 #: Ranges of scripts that write no spaces between words (Han, kana, bopomofo, Yi, Thai, Lao, Burmese, Khmer and kin).
 _UNSPACED = (
     (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
     (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
 )
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -27,31 +22,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers = np.cumprod(np.full(256, _BASE, np.uint64))
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * _powers[-1]])
-    return _powers
-
-
 def words(text: str) -> np.ndarray:
-    """A hash of each word between white space; upper and lower case A-Z count as equal."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(data):
-        return np.empty(0, np.uint64)
-    inside = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    first, last = edge[0::2], edge[1::2]
-    if not len(first):
-        return np.empty(0, np.uint64)
-    length = last - first
-    at = np.flatnonzero(inside)
-    place = at - np.repeat(first, length)
-    terms = (_LOWER[data[at]].astype(np.uint64) + np.uint64(1)) * _power(int(length.max()))[place]
-    return mix(np.add.reduceat(terms, np.cumsum(length) - length) + length.astype(np.uint64))
+    """A hash of each word between white space (space, tab to carriage return); upper and lower case A-Z count as equal."""
+    found = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
 
 
 def _kinds() -> np.ndarray:
@@ -74,17 +48,16 @@ def tokens(text: str) -> np.ndarray:
     if _kind is None:
         _kind = _kinds()
     folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
-    data = np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _kind[data]
+    data = folded.encode("utf-32-le", "surrogatepass")
+    kind = _kind[np.frombuffer(data, np.uint32)]
     at = np.flatnonzero(kind)
     if not len(at):
         return np.empty(0, np.uint64)
     new = (np.diff(at, prepend=-2) != 1) | (kind[at] == 2) | (kind[np.maximum(at - 1, 0)] == 2)
     start = np.flatnonzero(new)
-    length = np.diff(np.append(start, len(at)))
-    place = np.arange(len(at)) - np.repeat(start, length)
-    terms = (data[at].astype(np.uint64) + np.uint64(1)) * _power(int(length.max()))[place]
-    return mix(np.add.reduceat(terms, start) + length.astype(np.uint64))
+    first, last = (4 * at[start]).tolist(), (4 * at[np.append(start[1:], len(at)) - 1] + 4).tolist()
+    raw = memoryview(data)
+    return np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(first, last)), np.uint64, len(first))
 
 
 def runs(word: np.ndarray, k: int) -> np.ndarray:

@@ -83,3 +83,43 @@ def test_words_split_like_the_pattern():
     text = "Ab  ä\x0b\x1cx\tZ q\n"
     assert len(shingles.words(text)) == len(re.findall(r"[^\x20\x09-\x0D]+", text))
     assert np.array_equal(shingles.words("ABC d"), shingles.words("abc D")) and not np.array_equal(shingles.words("Ä"), shingles.words("ä"))
+
+
+def test_structured_words_are_told_apart(spark):
+    """A Thue-Morse string and its complement, whose polynomial hashes modulo a power of two agree."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    df = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.link(df).collect()) == [(1, 1), (2, 2)]
+    assert neardup.representatives(df).count() == 2
+
+
+def test_one_id_on_several_texts(spark):
+    rows = [(1, "a b c d e f g h i j"), (1, "k l m n o p q r s t"), (0, "k l m n o p q r s t"), (2, "a b c d e f g h i j"), (3, ""), (3, ""), (4, "x y z x y z"), (4, "x y z x y z"), (None, "x y z x y z")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, group int")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1, r.kept) for r in neardup.link(df).collect())
+    assert got == sorted([(1, 1, True), (1, 0, False), (0, 0, True), (2, 1, False), (3, 3, True), (3, 3, True), (4, 4, True), (4, 4, True), (-1, -1, True)])
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in neardup.representatives(df).collect())
+    assert kept == sorted([(1, rows[0][1]), (0, rows[1][1]), (3, ""), (3, ""), (4, rows[6][1]), (-1, rows[6][1])])
+    assert neardup.representatives(df).columns == df.columns
+
+
+def test_measured_recall(spark, sf):
+    """Links of all documents of a small table against all pairs."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: set(neardup.shingle_set(r.text, 3).tolist()) for r in rows}
+    ids = sorted(i for i in sets if sets[i])
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.link(df).collect()} == {i: find(i) for i in sets}
