@@ -22,7 +22,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(read(spark, sf_dir, "documents")).drop("kept")
+    return substrings.dedup(read(spark, sf_dir, "documents"), passage=substrings.PASSAGE).drop("kept")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +33,36 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(read(spark, sf_dir, "documents"), vocabulary())
 
 
-def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _changed(spark: SparkSession, sf_dir: str, vocabularies: dict[str, str]) -> DataFrame:
+    """Totals after every document came, documents of over 5,000 characters lost their first line and those of under 200 went.
+
+    The first batch is compacted, and each batch runs twice.
+    """
+    docs = read(spark, sf_dir, "documents").select("source", "lang", "text")
+    old = [F.col(c).alias(f"old_{c}") for c in docs.columns]
+    revised = docs.where(F.length("text") > 5000).select(F.lit("revise").alias("op"), "source", "lang", F.regexp_replace("text", r"\A[^\n]*\n?", "").alias("text"), *old)
+    deleted = docs.where(F.length("text") < 200).select(F.lit("delete").alias("op"), *[F.lit(None).cast("string").alias(c) for c in docs.columns], *old)
+    batches = {
+        "insert": docs.select(F.lit(1).alias("sign"), "*"),
+        "revise and delete": rollup.signed(revised.unionByName(deleted)),
+    }
     totals = rollup.TokenRollup(spark, scratch(spark, "rollup"))
-    docs = read(spark, sf_dir, "documents")
-    counted = rollup.counted(docs.select(F.lit(1).alias("sign"), "source", "lang", "text"), {"byte_bpe_50k": vocabulary()})
-    totals.commit("documents", counted)
+    for name, rows in batches.items():
+        for _ in range(2):
+            totals.commit(name, rollup.counted(rows, vocabularies))
+        totals.compact()
     return totals.totals()
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir, {"byte_bpe_50k": vocabulary()})
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op5_token_counts, without the tokenizer that SQL cannot express."""
+    return _changed(spark, sf_dir, {})
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents"), pii.train(spark)))
 
@@ -67,7 +89,7 @@ def op10_proportional_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"token_rollup_words": token_rollup_words}
 
 
 #: Words of a line; for lines that may differ in one word, each variant with its gap written out and the earliest line that has
@@ -130,5 +152,17 @@ from scored qualify row_number() over (partition by query_id order by score desc
 """
 
 
+#: Words of what is left of each document.
+ROLLUP_SQL = """
+with kept as (
+    select source, lang, case when length(text) > 5000 then regexp_replace(text, '^[^\\n]*\\n?', '') else coalesce(text, '') end as text
+    from documents where text is null or length(text) >= 200
+)
+select source, lang, 'words_v1' as tokenizer_version, count(*) as docs,
+    cast(sum(len(list_filter(string_split(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> ''))) as bigint) as tokens
+from kept group by source, lang
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op7_exact_top_k": TOP_K_SQL}
+    return {"token_rollup_words": ROLLUP_SQL, "op1_line_dedup": LINE_DEDUP_SQL, "op7_exact_top_k": TOP_K_SQL}

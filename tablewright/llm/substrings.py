@@ -1,41 +1,74 @@
-"""Suffix-array dedup: bytes covered by a long string that also starts elsewhere are removed.
+"""Suffix-array dedup: what long strings cover that also start elsewhere is removed (bytes) or told (passages of words).
 
-Sorting every suffix of a corpus would move each byte many times, so the suffixes are first thinned without loss. Every string
-of LENGTH bytes contains an anchor: the smallest of its GRAM-byte hashes (a minimizer). Equal strings have the same anchor at the
+Sorting every suffix of a corpus would move each unit many times, so the suffixes are first thinned without loss. Every string
+of LENGTH units contains an anchor: the smallest of its GRAM-unit hashes (a minimizer). Equal strings have the same anchor at the
 same place, so a string can only repeat where its anchor's gram repeats.
 
-1. One scan finds the anchors with the range of window starts that each serves, and hashes gram and served range.
+1. One scan finds the anchors with the range of window starts that each serves, the gram's hash and a digest of the range.
 2. Anchors whose gram occurs once are done: nothing there repeats. Anchors whose whole served range is equal to another's are
-   done as well: all of it repeats. Both follow from pre-aggregated counts, whatever the size of a group of copies.
+   done as well: all of it repeats. Equal means an equal 128-bit BLAKE2 digest of the units. Both follow from pre-aggregated
+   counts, whatever the size of a group of copies.
 3. For the rest, the suffixes at the served window starts are sorted, per gram and place, by a merge sort whose comparisons
    find the common extension by binary search over prefix polynomial hashes. Neighbours with a common extension of LENGTH are
-   verified byte by byte. Grams with more than CROWD different contexts are not brought together: blocks of BLOCK windows, and
-   then the windows that blocks leave open, are counted by 128-bit hashes instead, pre-aggregated before the shuffle.
+   verified unit by unit. Grams with more than CROWD different contexts are not brought together: blocks of BLOCK windows, and
+   then the windows that blocks leave open, are counted by their digests instead, pre-aggregated before the shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from .common import dropped, stored, whole
+from .common import dropped, freed, heavy_anti, heavy_join, stored, whole
 from .shingles import mix
 
 LENGTH = 400
 GRAM = 208
 CROWD = 256
 BLOCK = 12
+#: Words of a passage, and of its anchors.
+PASSAGE = 50
+PASSAGE_GRAM = 26
 CHUNK = 1 << 18
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
+
+
+@dataclass(frozen=True)
+class Units:
+    """What a string is made of: an array of numbers for a text."""
+
+    of: Callable[[str], np.ndarray]
+    dtype: type
+
+
+BYTES = Units(lambda text: np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), np.uint8)
+
+
+def _words(text: str) -> np.ndarray:
+    found = text.encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(xxh3_64_intdigest, found), np.uint64, len(found))
+
+
+#: Words between white space, each as a 64-bit hash.
+WORDS = Units(_words, np.uint64)
+
+
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests (n x 2 long) of data[start:end]."""
+    raw, size = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
+    joined = b"".join(hashlib.blake2b(raw[a * size : b * size], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist()))
+    return np.frombuffer(joined, np.int64).reshape(len(start), 2)
 
 
 class Hashes:
-    """Prefix polynomial hashes modulo 2**64 of a byte string; any substring's hash in constant time."""
+    """Prefix polynomial hashes modulo 2**64 of an array; any part's hash in constant time."""
 
     _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -79,41 +112,43 @@ def _leftmost_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.where(left <= right, back_at[s], ahead_at[s + w - 1])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first and last window start served, gram hash, two hashes of the served range) of each anchor."""
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Rows of place, first and last window start served, gram hash and digest (two numbers) of the served range, by anchor."""
     windows, w = len(data) - length + 1, length - gram + 1
     if windows < 1:
-        e = np.empty(0, np.int64)
-        return e, e, e, e, e, e
-    one, two = Hashes(data, BASES[0]), Hashes(data, BASES[1])
+        return np.empty((0, 6), np.int64)
+    hashes = Hashes(data, BASE)
     chosen = []
     for lo in range(0, windows, CHUNK):
         hi = min(windows, lo + CHUNK)
         starts = np.arange(lo, hi + w - 1)
-        chosen.append(_leftmost_minima(one.of(starts, starts + gram), w) + lo)
+        chosen.append(_leftmost_minima(hashes.of(starts, starts + gram), w) + lo)
     place = np.concatenate(chosen)
     first = np.flatnonzero(np.diff(place, prepend=-1))
     last = np.append(first[1:], windows) - 1
     at = place[first]
-    tag = mix((at - first).astype(np.uint64) * np.uint64(4096) + (last - first).astype(np.uint64))
-    return at, first, last, one.of(at, at + gram).view(np.int64), (one.of(first, last + length) ^ tag).view(np.int64), two.of(first, last + length).view(np.int64)
+    return np.column_stack([at, first, last, hashes.of(at, at + gram).view(np.int64), _digests(data, first, last + length)])
 
 
-ENTRY = "rid bigint, at bigint, first bigint, last bigint, gram bigint, range_a bigint, range_b bigint"
+ROW = ["k1", "k2"]
+RANGE = ["gram", "range_a", "range_b"]
+ENTRY = "k1 bigint, k2 bigint, at bigint, first bigint, last bigint, gram bigint, range_a bigint, range_b bigint"
 
 
-def _bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def _frame(rows: list[np.ndarray], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(np.concatenate(rows) if rows else np.empty((0, len(columns)), np.int64), columns=columns)
 
 
-def _entries(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _entries(docs: DataFrame, units: Units, length: int, gram: int) -> DataFrame:
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
-            for rid, text in zip(batch["rid"], batch["text"]):
-                at, first, last, g, a, b = anchors(_bytes(text), length, gram)
-                parts.append(np.column_stack([np.full(len(at), rid, np.int64), at, first, last, g, a, b]))
-            yield pd.DataFrame(np.concatenate(parts) if parts else np.empty((0, 7), np.int64), columns=[c.split()[0] for c in ENTRY.split(", ")])
+            for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"]):
+                found = anchors(units.of(text), length, gram)
+                parts.append(np.column_stack([np.full(len(found), k1, np.int64), np.full(len(found), k2, np.int64), found]))
+            yield _frame(parts, names)
 
     return docs.mapInPandas(scan, ENTRY)
 
@@ -164,13 +199,13 @@ def sort_suffixes(data: np.ndarray, one: Hashes, starts: np.ndarray, segment: np
     return order
 
 
-def repeated_windows(contexts: list[bytes], group: np.ndarray, offset: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For contexts (bytes over all windows that an anchor serves; offset is the anchor's place in its context), the first and
+def repeated_windows(contexts: list[bytes], group: np.ndarray, offset: np.ndarray, length: int = LENGTH, dtype: type = np.uint8) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts (units over all windows that an anchor serves; offset is the anchor's place in its context), the first and
     last window start, within each context, that repeats in its group; -1 where none does."""
-    sizes = np.array([len(c) for c in contexts])
+    data = np.frombuffer(b"".join(contexts), dtype)
+    sizes = np.array([len(c) for c in contexts]) // data.itemsize
     base = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    one = Hashes(data, BASES[0])
+    one = Hashes(data, BASE)
     count = sizes - length + 1
     owner = np.repeat(np.arange(len(contexts)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -194,17 +229,17 @@ def repeated_windows(contexts: list[bytes], group: np.ndarray, offset: np.ndarra
     return np.where(high < 0, -1, low), high
 
 
-FOUND = "rid bigint, low bigint, high bigint"
+FOUND = "k1 bigint, k2 bigint, low bigint, high bigint"
 
 
-def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
+def _sorted_groups(rows: DataFrame, units: Units, length: int) -> DataFrame:
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(part: pd.DataFrame) -> pd.DataFrame:
             group = pd.factorize(part["gram"])[0]
-            low, high = repeated_windows(list(part["context"]), group, (part["at"] - part["first"]).to_numpy(), length)
+            low, high = repeated_windows(list(part["context"]), group, (part["at"] - part["first"]).to_numpy(), length, units.dtype)
             hit = (high >= 0) & part["open"].to_numpy()
             first = part["first"].to_numpy()
-            return pd.DataFrame({"rid": part["rid"].to_numpy()[hit], "low": (first + low)[hit], "high": (first + high)[hit] + length})
+            return pd.DataFrame({"k1": part["k1"].to_numpy()[hit], "k2": part["k2"].to_numpy()[hit], "low": (first + low)[hit], "high": (first + high)[hit] + length})
 
         held: list[pd.DataFrame] = []
         waiting = 0
@@ -224,96 +259,101 @@ def _sorted_groups(rows: DataFrame, length: int) -> DataFrame:
             yield done(pd.concat(held, ignore_index=True))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "gram").sortWithinPartitions("gram", "rid", "at").mapInPandas(resolve, FOUND)
+    return rows.repartition(parts, "gram").sortWithinPartitions("gram", *ROW, "at").mapInPandas(resolve, FOUND)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted entries with the bytes of all windows that they serve."""
-    own = wanted.groupBy("rid").agg(F.collect_list(F.struct("at", "first", "last", "gram", "open", "crowded")).alias("own"))
-    schema = "rid bigint, at bigint, first bigint, last bigint, gram bigint, open boolean, crowded boolean, context binary"
+def _contexts(docs: DataFrame, wanted: DataFrame, units: Units, length: int) -> DataFrame:
+    """The wanted entries with the units of all windows that they serve."""
+    own = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("at", "first", "last", "gram", "open", "crowded")).alias("own"))  # a text's own anchors
+    schema = "k1 bigint, k2 bigint, at bigint, first bigint, last bigint, gram bigint, open boolean, crowded boolean, context binary"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for rid, text, own in zip(batch["rid"], batch["text"], batch["own"]):
-                data = text.encode("utf-8", "surrogatepass")
-                rows += [(rid, e["at"], e["first"], e["last"], e["gram"], e["open"], e["crowded"], data[e["first"] : e["last"] + length]) for e in own]
+            for k1, k2, text, own in zip(batch["k1"], batch["k2"], batch["text"], batch["own"]):
+                data = units.of(text)
+                rows += [(k1, k2, e["at"], e["first"], e["last"], e["gram"], e["open"], e["crowded"], data[e["first"] : e["last"] + length].tobytes()) for e in own]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return docs.dropDuplicates(["rid"]).join(own, "rid").mapInPandas(cut, schema)
+    return docs.join(own, ROW).dropDuplicates(ROW).mapInPandas(cut, schema)
 
 
-def _block_hashes(rows: DataFrame, length: int) -> DataFrame:
-    """For each block of BLOCK distances from the anchor: hashes of what all its windows share and, where all are served, of what they cover."""
-    schema = "rid bigint, at bigint, open boolean, block bigint, low bigint, high bigint, core_a bigint, core_b bigint, all_a bigint, all_b bigint"
+def _block_digests(rows: DataFrame, units: Units, length: int) -> DataFrame:
+    """For each block of BLOCK distances from the anchor: digests of what all its windows share and, where all are served, of what they cover."""
+    names = ["k1", "k2", "at", "open", "block", "low", "high", "core_a", "core_b", "all_a", "all_b"]
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rid, at, first, last, is_open, context in zip(batch["rid"], batch["at"], batch["first"], batch["last"], batch["open"], batch["context"]):
-                hashes = [Hashes(np.frombuffer(context, np.uint8), b) for b in BASES]
+            for k1, k2, at, first, last, is_open, context in zip(*[batch[c] for c in ("k1", "k2", "at", "first", "last", "open", "context")]):
+                data = np.frombuffer(context, units.dtype)
                 block = np.arange((at - last) // BLOCK, (at - first) // BLOCK + 1)
                 near, far = at - block * BLOCK, at - (block + 1) * BLOCK + 1  # last and first window start of the block
-                core = [h.of(near - first, far - first + length).view(np.int64) for h in hashes]
-                whole_block = (far >= first) & (near <= last)
+                core = _digests(data, near - first, far - first + length)
                 low, high = np.maximum(far, first), np.minimum(near, last)
-                cover = [np.where(whole_block, h.of(low - first, high - first + length).view(np.int64), 0) for h in hashes]
-                yield pd.DataFrame({"rid": rid, "at": at, "open": is_open, "block": block, "low": low, "high": high, "core_a": core[0], "core_b": core[1], "all_a": cover[0], "all_b": cover[1]})
+                cover = np.where(((far >= first) & (near <= last))[:, None], _digests(data, low - first, high - first + length), 0)
+                yield pd.DataFrame(np.column_stack([np.full(len(block), k1), np.full(len(block), k2), np.full(len(block), at), np.full(len(block), is_open), block, low, high, core, cover]), columns=names).astype({"open": bool})
 
-    return rows.mapInPandas(blocks, schema)
+    return rows.mapInPandas(blocks, ", ".join(f"{n} {'boolean' if n == 'open' else 'bigint'}" for n in names))
 
 
-def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
-    """Hashes of the windows in `ranges` (first and last start) of each context."""
+def _window_digests(rows: DataFrame, units: Units, length: int) -> DataFrame:
+    """Digests of the windows in `ranges` (first and last start) of each context."""
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rid, at, first, is_open, context, ranges in zip(batch["rid"], batch["at"], batch["first"], batch["open"], batch["context"], batch["ranges"]):
-                data = np.frombuffer(context, np.uint8)
+            for k1, k2, at, first, is_open, context, ranges in zip(*[batch[c] for c in ("k1", "k2", "at", "first", "open", "context", "ranges")]):
                 s = np.unique(np.concatenate([np.arange(r["low"], r["high"] + 1) for r in ranges])) - first
-                hashes = [Hashes(data, b).of(s, s + length).view(np.int64) for b in BASES]
-                yield pd.DataFrame({"rid": rid, "at": at, "open": is_open, "start": first + s, "a": hashes[0], "b": hashes[1]})
+                found = _digests(np.frombuffer(context, units.dtype), s, s + length)
+                yield pd.DataFrame({"k1": k1, "k2": k2, "at": at, "open": is_open, "start": first + s, "a": found[:, 0], "b": found[:, 1]})
 
-    return rows.mapInPandas(windows, "rid bigint, at bigint, open boolean, start bigint, a bigint, b bigint")
+    return rows.mapInPandas(windows, "k1 bigint, k2 bigint, at bigint, open boolean, start bigint, a bigint, b bigint")
 
 
-def _crowded(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of grams with many contexts, by pre-aggregated counts of hashes, from blocks of windows down to windows.
+def _crowded(rows: DataFrame, units: Units, length: int) -> DataFrame:
+    """Repeated windows of grams with many contexts, by pre-aggregated counts of digests, from blocks of windows down to windows.
 
     Blocks whose common part occurs once are done, and blocks whose whole cover occurs again repeat as they are; of each such
     cover one block stays as a partner for the others. Only the windows of the remaining blocks are looked at one by one.
     """
-    blocks = stored(_block_hashes(rows, length), "blocks")
-    core, cover = ["core_a", "core_b"], ["all_a", "all_b"]
-    shared = blocks.join(blocks.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*core), core)
-    covers = shared.where("all_a <> 0 or all_b <> 0").groupBy(*cover).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at", "block")).alias("one")).where("n > 1").select(*cover, "one")
-    status = stored(shared.join(covers, cover, "left").withColumn("settled", F.col("one").isNotNull()), "block-status")
-    settled = status.where("settled and open").select("rid", "low", (F.col("high") + length).alias("high"))
-    looked_at = status.where(~F.col("settled") | (F.struct("rid", "at", "block") == F.col("one")))
-    ranges = looked_at.groupBy("rid", "at").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # blocks of one anchor
-    each = stored(_window_hashes(rows.join(ranges, ["rid", "at"]), length), "windows")
-    often = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    hit = each.where("open").join(often, ["a", "b"]).groupBy("rid", "at").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high"))
-    found = stored(settled.union(hit.select("rid", "low", "high")), "crowded-spans")
-    dropped(blocks, status, each)
+    blocks = stored(_block_digests(rows, units, length), "blocks")
+    core, cover, place = ["core_a", "core_b"], ["all_a", "all_b"], F.struct(*ROW, "at", "block")
+    cores = stored(blocks.groupBy(*core).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cores")
+    shared = stored(heavy_join(blocks, cores, core, "n").drop("n"), "shared-blocks")
+    covers = shared.where("all_a <> 0 or all_b <> 0").groupBy(*cover).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")).where("n > 1")
+    covers = stored(covers, "covers")
+    known = stored(heavy_join(shared, covers, cover, "n"), "known-blocks")
+    settled = known.where("open").select(*ROW, "low", (F.col("high") + length).alias("high"))
+    unknown = heavy_anti(shared, covers, cover, "n")
+    looked_at = unknown.select(*ROW, "at", "low", "high").union(known.where(place == F.col("one")).select(*ROW, "at", "low", "high"))
+    ranges = looked_at.groupBy(*ROW, "at").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # blocks of one anchor
+    each = stored(_window_digests(rows.join(ranges, [*ROW, "at"]), units, length), "windows")
+    often = stored(each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    hit = heavy_join(each.where("open"), often, ["a", "b"], "n").groupBy(*ROW, "at").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high"))
+    found = stored(settled.union(hit.select(*ROW, "low", "high")), "crowded-spans")
+    dropped(blocks, cores, shared, covers, known, each, often)
     return found
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(rid, spans): for rows (rid, text), the byte ranges that repeated strings cover, not yet merged."""
-    entries = _entries(docs, length, gram)
-    often = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    some = stored(entries.join(often, "gram"), "entries")
-    kinds = stored(some.groupBy("gram", "range_a", "range_b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at")).alias("one")), "ranges")
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, units: Units = BYTES) -> DataFrame:
+    """(k1, k2, spans): for rows (k1, k2, text), the ranges of units that repeated strings cover, not yet merged."""
+    entries = stored(_entries(docs, units, length, gram), "anchors")
+    often = stored(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    some = stored(heavy_join(entries, often, ["gram"], "n").drop("n"), "entries")
+    dropped(entries, often)
+    freed(docs)
+    kinds = stored(some.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "at", "first", "last")).alias("one")), "ranges")
+    clear = heavy_join(some, stored(kinds.where("n > 1").select(*RANGE, "n"), "copies"), RANGE, "n")
+    clear = clear.select(*ROW, F.col("first").alias("low"), (F.col("last") + length).alias("high"))
     contexts = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("rarest"))
-    unclear = contexts.where("kinds > 1 and rarest = 1").select("gram", (F.col("kinds") > crowd).alias("crowded"))
-    clear = some.join(kinds.where("n > 1").select("gram", "range_a", "range_b"), ["gram", "range_a", "range_b"]).select("rid", F.col("first").alias("low"), (F.col("last") + length).alias("high"))
-    picked = kinds.join(unclear, "gram").select("gram", "range_a", "range_b", (F.col("n") == 1).alias("open"), "crowded", F.col("one.rid").alias("rid"), F.col("one.at").alias("at"))
-    wanted = some.dropDuplicates(["gram", "range_a", "range_b", "rid", "at"]).join(picked, ["gram", "range_a", "range_b", "rid", "at"])
-    rows = stored(_contexts(docs, wanted, length), "contexts")
-    crowded = _crowded(rows.where("crowded"), length)
-    found = clear.union(_sorted_groups(rows.where("not crowded"), length)).union(crowded)
-    spans = stored(found.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")  # a text's own spans
-    dropped(some, kinds, rows, crowded)
+    unclear = stored(contexts.where("kinds > 1 and rarest = 1").select("gram", "kinds", (F.col("kinds") > crowd).alias("crowded")), "unclear")
+    wanted = heavy_join(kinds, unclear, ["gram"], "kinds").select("gram", (F.col("n") == 1).alias("open"), "crowded", "one.*")
+    rows = stored(_contexts(docs, wanted, units, length), "contexts")
+    freed(docs)
+    crowded = _crowded(rows.where("crowded"), units, length)
+    found = clear.union(_sorted_groups(rows.where("not crowded"), units, length)).union(crowded)
+    spans = stored(found.groupBy(*ROW).agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")  # a text's own spans
+    dropped(some, kinds, unclear, rows, crowded)
+    freed(docs)
     return spans
 
 
@@ -327,23 +367,32 @@ def _merged(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-DEDUPED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+DEDUPED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_words bigint, kept binary"
+
 
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, passage: int | None = None, passage_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """For every row: size, removed bytes and runs, hash of the rest, repeated passages and their words, the rest as bytes (`kept`).
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """For every row: size, removed bytes and runs, hash of the rest, and the rest as bytes (`kept`).
+    Passages are maximal runs of words that strings of `passage` words cover which also start elsewhere; they are told, not
+    removed (null without `passage`).
 
     Texts are UTF-8 bytes, null counts as empty; matches never cross rows. Rows that repeat, with or without equal doc_id, are
-    different places, so their long strings repeat. Null doc_ids are kept. Only doc_id and text are read.
+    different places, so their long strings repeat. Null doc_ids are kept. Texts of any length are read whole. An empty table
+    gives an empty result. Only doc_id and text are read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    long_rows = rows.where(F.octet_length("text") >= length).select("rid", "text")
-    spans = repeated_spans(long_rows, length, gram, crowd)
+    rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
+    spans = repeated_spans(rows.where(F.octet_length("text") >= length).select(*ROW, "text"), length, gram, crowd)
+    passages = F.lit(None).cast("array<struct<low:bigint,high:bigint>>")
+    if passage:
+        told = repeated_spans(rows.where(F.octet_length("text") >= 2 * passage - 1).select(*ROW, "text"), passage, passage_gram, crowd, WORDS)
+        spans = spans.join(told.withColumnRenamed("spans", "passages"), ROW, "full")
+        passages = F.coalesce("passages", F.array().cast("array<struct<low:bigint,high:bigint>>"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text, own in zip(batch["doc_id"], batch["text"], batch["spans"]):
+            for doc, text, own, said in zip(batch["doc_id"], batch["text"], batch["spans"], batch["passages"]):
                 data = text.encode("utf-8", "surrogatepass")
                 runs = _merged(own) if own is not None else []
                 at, kept = 0, []
@@ -351,7 +400,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                out.append((doc, len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in DEDUPED.split(", ")]).astype({"doc_id": "Int64"})
+                told = _merged(said) if said is not None else None
+                out.append((doc, len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), None if told is None else len(told), None if told is None else sum(b - a for a, b in told), rest))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in DEDUPED.split(", ")]).astype({c: "Int64" for c in ("doc_id", "n_passages", "passage_words")})
 
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInPandas(cut, DEDUPED)
+    return rows.join(spans, ROW, "left").select("doc_id", "text", "spans", passages.alias("passages")).mapInPandas(cut, DEDUPED)

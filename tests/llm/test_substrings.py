@@ -58,7 +58,7 @@ def test_suffix_sort_orders_like_bytes():
     data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(400)), np.uint8)
     starts = np.array(sorted(r.sample(range(360), 80)))
     segment = np.repeat([1, 2, 3], [30, 1, 49])
-    order = substrings.sort_suffixes(data, substrings.Hashes(data, substrings.BASES[0]), starts, segment, 40)
+    order = substrings.sort_suffixes(data, substrings.Hashes(data, substrings.BASE), starts, segment, 40)
     for k in (1, 2, 3):
         own = [bytes(data[s : s + 40]) for s in starts[order][segment == k]]
         assert own == sorted(own)
