@@ -13,14 +13,14 @@ of equal lines stays. Blank lines stay always.
    whatever order of chunks is taken, so a variant's key is its least chunk, and the keys number 2 b + 1.
 3. Bound 1: a candidate's variants are itself and itself without one word. The key is the text before and after the gap, so
    lines that share a key differ in that gap alone; only the earliest line of a key is sought, and no pairs are formed.
-4. Higher bounds: chunks are ordered by their frequency among candidates, so keys are rare. A line with more chunks of its own
-   than the bound allows is done. The others are compared with the earliest line of each of their keys, and those that this
-   does not settle with the other earlier ones.
+4. Higher bounds: the lines of a key that few have are compared. Lines of crowded keys get keys again, with pairs of words in
+   place of chunks (an edit touches two), in order of their frequency: a line with more pairs of its own than the bound allows
+   is done, and keys are rare. The others are compared with the earliest line of each of their keys, and those that this does
+   not settle with the other earlier ones.
 5. Every match is verified: equal text around the gap, or the edit distance of the words.
 
 Chunks end after words with certain last letters. A line with too few chunks takes its words as chunks as well; an
-edit touches one of those, so b + 1 keys do. In step 4 a line with many, so short, chunks takes each with the next one (an edit
-touches three of those); lines near the limits, which a partner may be beyond, take both.
+edit touches one of those, so b + 1 keys do.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import dropped, free_name, freed, heavy_join, stored, whole
 MIN_WORDS = 8
 #: Gaps of the second filter for bound 1.
 GAPS = 8
+#: Lines of a key that are compared with each other as they are.
+FEW = 8
 #: Words of a line for one edit, in the registered queries.
 WORDS_PER_EDIT = 20
 #: A chunk ends after a word that ends in one of these.
@@ -84,11 +86,6 @@ def _chunks(s: Column) -> Column:
     return F.split(s, "\n")
 
 
-def _pairs(parts: Column) -> Column:
-    """Each chunk with the next one."""
-    return F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda c, d: F.xxhash64(F.lit("p"), c, d))
-
-
 def _least(tokens: Column, n: Column) -> Column:
     return F.slice(F.sort_array(tokens), F.lit(1), n)
 
@@ -128,52 +125,58 @@ def _within(x: Column, y: Column, bound: Column) -> Column:
     return F.when(apart <= bound, _bind(F.array_distinct(F.concat(x, y)), near) >= 0).otherwise(False)
 
 
-def _far(found: DataFrame, per: int) -> DataFrame:
-    """(h1, h2) of lines with a bound of 2 or more that an earlier one is within."""
-    bound = lambda n, m: F.floor(F.least(n, m) / per).cast("int")
-    long = found.where(F.col("n") >= 2 * per)
-    b = (F.col("n") / per).cast("int")
-    chunked = long.select("h1", "h2", "s", b.alias("b"), _chunks(F.col("s")).alias("parts")).withColumn("c", F.size("parts"))
-    spare = F.col("b")
-    kinds = F.array(
-        F.when(F.col("c") < 5 * spare + 2, F.struct(_tokens(F.col("parts"), "c").alias("tokens"), (2 * spare).alias("spare"))),
-        F.when(F.col("c") >= 4 * spare + 2, F.struct(F.array_distinct(_pairs(F.col("parts"))).alias("tokens"), (3 * spare).alias("spare"))),
-        F.when(F.col("c") <= 2 * spare, F.struct(_tokens(F.split("s", " "), "w").alias("tokens"), spare.alias("spare"))),
-    )
-    each = chunked.select("h1", "h2", F.explode(F.array_compact(kinds)).alias("of"))
-    each = each.select("h1", "h2", "of.spare", F.size("of.tokens").alias("all"), F.explode("of.tokens").alias("token"))
-    often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-chunks")
-    shared = heavy_join(each, often, ["token"], "c").groupBy("h1", "h2", "spare", "all").agg(F.collect_list(F.struct("c", "token")).alias("own"))  # a line's own chunks
-    open_lines = shared.where(F.col("all") - F.size("own") <= F.col("spare"))
-    rarest = F.slice(F.sort_array("own"), F.lit(1), F.col("spare") + 1 - (F.col("all") - F.size("own")))
-    keys = stored(open_lines.select("h1", "h2", F.explode(rarest).alias("k")).select("h1", "h2", "k.token"), "line-keys")
-    long = stored(long.join(keys.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "first", "n", "s"), "line-long")
+def _bound(n: Column, m: Column, per: int) -> Column:
+    return F.floor(F.least(n, m) / per).cast("int")
+
+
+def _settled(pairs: DataFrame, found: DataFrame, per: int, name: str) -> DataFrame:
+    """(h1, h2) of the later line of each pair (h1, h2, g1, g2) within the bound."""
+    mine = found.select("h1", "h2", "first", F.col("s").alias("x"))
+    other = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("before"), F.col("s").alias("y"))
+    both = pairs.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"]).withColumns({"x": F.split("x", " "), "y": F.split("y", " ")})
+    both = both.where(_within(F.col("x"), F.col("y"), _bound(F.size("x"), F.size("y"), per)))
+    late = F.when(F.col("before") < F.col("first"), F.struct("h1", "h2")).otherwise(F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2")))
+    return stored(both.select(late.alias("late")).select("late.h1", "late.h2").distinct(), name)
+
+
+def _close_pairs(shared: DataFrame, per: int) -> DataFrame:
+    """Pairs (h1, h2, g1, g2) of long lines that share a key of at most FEW lines and may be within the bound by their lengths."""
+    few = shared.where((F.col("c") <= FEW) & (F.col("n") >= 2 * per)).select("key", "h1", "h2", "n")
+    other = few.select("key", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("m"))
+    close = F.abs(F.col("n") - F.col("m")) <= _bound(F.col("n"), F.col("m"), per)
+    pairs = few.join(other, "key").where((F.struct("h1", "h2") < F.struct(F.col("g1").alias("h1"), F.col("g2").alias("h2"))) & close)
+    return pairs.select("h1", "h2", "g1", "g2").distinct()
+
+
+def _far(long: DataFrame, per: int) -> DataFrame:
+    """(h1, h2) of lines, all with a bound of 2 or more and a crowded key, that an earlier one of them is within."""
+    words = long.select("h1", "h2", (2 * (F.col("n") / per).cast("int")).alias("spare"), F.split("s", " ").alias("w"))
+    two = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda v, w: F.xxhash64(v, w))
+    each = words.select("h1", "h2", "spare", F.array_distinct(two).alias("tokens"))
+    each = each.select("h1", "h2", "spare", F.size("tokens").alias("all"), F.explode("tokens").alias("token"))
+    often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-tokens")
+    shared = heavy_join(each, often, ["token"], "c").groupBy("h1", "h2", "spare", "all").agg(F.collect_list(F.struct("c", "token")).alias("own"))  # a line's own words
+    alone = F.col("all") - F.size("own")
+    rarest = F.slice(F.sort_array("own"), F.lit(1), F.col("spare") + 1 - alone)
+    keys = stored(shared.where(alone <= F.col("spare")).select("h1", "h2", F.explode(rarest).alias("k")).select("h1", "h2", "k.token"), "line-keys")
     keys, spent = stored(keys.join(long.select("h1", "h2", "first", "n"), ["h1", "h2"]), "line-keys"), keys
     dropped(often, spent)
-    freed(found)
-
-    mine = long.select("h1", "h2", F.col("s").alias("x"))
-    other = long.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("s").alias("y"))
+    freed(long)
 
-    def settled(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(mine, ["h1", "h2"]).join(other, ["g1", "g2"]).withColumns({"x": F.split("x", " "), "y": F.split("y", " ")})
-        return stored(both.where(_within(F.col("x"), F.col("y"), bound(F.size("x"), F.size("y")))).select("h1", "h2").distinct(), name)
-
-    firsts = keys.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    fits = F.abs(F.col("n") - F.col("one.n")) <= bound(F.col("n"), F.col("one.n"))
-    told = keys.join(firsts, "token").where((F.col("one.first") < F.col("first")) & fits)
-    told = stored(told.select("h1", "h2", F.col("one.h1").alias("g1"), F.col("one.h2").alias("g2")).distinct(), "line-firsts")
-    early = settled(told, "line-early")
+    firsts = stored(keys.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1"), "line-firsts")
+    fits = F.abs(F.col("n") - F.col("one.n")) <= _bound(F.col("n"), F.col("one.n"), per)
+    told = heavy_join(keys, firsts, ["token"], "c").where((F.col("one.first") < F.col("first")) & fits)
+    told = stored(told.select("h1", "h2", F.col("one.h1").alias("g1"), F.col("one.h2").alias("g2")).distinct(), "line-told")
+    early = _settled(told, long, per, "line-early")
 
     rest = keys.join(early, ["h1", "h2"], "left_anti")
     theirs = keys.select("token", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("before"), F.col("n").alias("m"))
-    close = F.abs(F.col("n") - F.col("m")) <= bound(F.col("n"), F.col("m"))
+    close = F.abs(F.col("n") - F.col("m")) <= _bound(F.col("n"), F.col("m"), per)
     pairs = rest.join(theirs, "token").where((F.col("before") < F.col("first")) & close).select("h1", "h2", "g1", "g2").distinct()
-    late = settled(pairs.join(told, ["h1", "h2", "g1", "g2"], "left_anti"), "line-late")
-    late = stored(early.union(late), "line-far")
-    dropped(keys, told, long)
-    freed(found)
-    return late
+    late = _settled(pairs.join(told, ["h1", "h2", "g1", "g2"], "left_anti"), long, per, "line-late")
+    dropped(keys, firsts, told)
+    freed(long)
+    return early.union(late)
 
 
 def _near(found: DataFrame) -> DataFrame:
@@ -229,23 +232,33 @@ def _removals(docs: DataFrame, per: int | None) -> DataFrame:
     unique = stored(unique.select("h1", "h2", "u.first", "u.n", "u.keys", "copies"), "line-classes")
     freed(docs)
 
-    keyed = unique.select("h1", "h2", F.explode("keys").alias("key"))
+    keyed = unique.select("h1", "h2", "n", F.explode("keys").alias("key"))
     often = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-often")
-    maybe = stored(heavy_join(keyed, often, ["key"], "c").select("h1", "h2").distinct(), "line-maybe")
-    freed(docs)
-    own = unique.join(maybe, ["h1", "h2"]).select("first.k1", "first.k2", F.struct("first.at", "h1", "h2", "first", "n").alias("x"))
+    shared = stored(heavy_join(keyed, often, ["key"], "c"), "line-shared")
+    spent = [shared]
+    if per:
+        pairs = stored(_close_pairs(shared, per), "line-pairs")
+        crowded = stored(shared.where((F.col("c") > FEW) & (F.col("n") >= 2 * per)).select("h1", "h2").distinct(), "line-crowded")
+        maybe = shared.where(F.col("n") <= 2 * per).select("h1", "h2").union(pairs.select("h1", "h2")).union(pairs.select("g1", "g2")).union(crowded)
+        spent += [pairs, crowded]
+    else:
+        maybe = shared.select("h1", "h2")
+    own = unique.join(maybe.distinct(), ["h1", "h2"]).select("first.k1", "first.k2", F.struct("first.at", "h1", "h2", "first", "n").alias("x"))
     own = own.groupBy("k1", "k2").agg(F.collect_list("x").alias("own"))  # a text's own lines
     found = docs.select("k1", "k2", "text").join(own, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), F.explode("own").alias("x"))
     found = found.select("x.h1", "x.h2", "x.first", "x.n", _normal(F.expr("lines[x.at]")).alias("s")).dropDuplicates(["h1", "h2"])
     found = stored(found, "line-words")
-    dropped(often, maybe)
+    dropped(often)
     freed(docs)
 
-    spent = [_near(found.where(F.col("n") <= 2 * per) if per else found)]
+    edited = _near(found.where(F.col("n") <= 2 * per) if per else found)
+    spent.append(edited)
     freed(docs)
     if per:
-        spent.append(_far(found, per))
-    edited = spent[0].union(spent[1]).distinct() if per else spent[0]
+        long = stored(found.join(crowded, ["h1", "h2"], "left_semi"), "line-long")
+        spent.append(long)
+        edited = stored(edited.union(_settled(pairs, found, per, "line-close")).union(_far(long, per)).distinct(), "line-edited")
+        spent.append(edited)
     doomed = unique.join(edited.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("copies > 1 or near")
     doomed = stored(doomed.select("h1", "h2", "first", "copies", F.coalesce("near", F.lit(False)).alias("near")), "line-doomed")
     out = heavy_join(lines.select("k1", "k2", "doc_id", "at", "h1", "h2"), doomed, ["h1", "h2"], "copies")
