@@ -7,6 +7,7 @@ That needs no distinct counts, so partial aggregation applies. The lattice is wa
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -73,14 +74,17 @@ class Key:
 
 
 def check_keys(df: DataFrame, combos: list[list[str]]) -> DataFrame:
-    """One row per column set: distinct share among rows without nulls in it, and share of rows with a null in it."""
-    both = [F.expr(" and ".join(f"`{c}` is not null" for c in xs)) for xs in combos]
-    wide = df.agg(
-        F.count(F.lit(1)).alias("total"), *[F.count_if(b).alias(f"n{i}") for i, b in enumerate(both)],
-        *[F.count_distinct(F.when(b, F.struct(*[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(xs)]))).alias(f"d{i}") for i, (b, xs) in enumerate(zip(both, combos))],
-    )
-    rows = F.array(*[F.struct(F.array(*map(F.lit, xs)).alias("columns"), F.col(f"n{i}").alias("n"), F.col(f"d{i}").alias("d")) for i, xs in enumerate(combos)])
-    out = wide.select("total", F.explode(rows).alias("r")).select("total", "r.*")
+    """One row per column set: distinct share among rows without nulls in it, and share of rows with a null in it.
+
+    Each set is counted by itself over its own columns, merged before the shuffle; no row is multiplied.
+    """
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))  # one row
+    each = []
+    for xs in combos:
+        kept = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in xs)))
+        counts = kept.groupBy(*[F.col(f"`{c}`").alias(f"k{j}") for j, c in enumerate(xs)]).agg(F.count(F.lit(1)).alias("rows"))
+        each.append(counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d")).select(F.array(*map(F.lit, xs)).alias("columns"), "n", "d"))
+    out = reduce(DataFrame.unionByName, each).join(total)
     return out.select("columns", F.col("d").alias("distinct_keys"), F.when(F.col("n") > 0, F.col("d") / F.col("n")).otherwise(0.0).alias("uniqueness"), F.when(F.col("total") > 0, (F.col("total") - F.col("n")) * 100.0 / F.col("total")).otherwise(0.0).alias("null_pct"))
 
 

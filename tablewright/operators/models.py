@@ -145,7 +145,7 @@ def point_in_time(hub_rows: DataFrame, snapshots: DataFrame, hash_name: str, sat
 
     The as-of join runs over one ordered stream of satellite rows and snapshots per key, not over pairs.
     """
-    out = hub_rows.select(hash_name).crossJoin(F.broadcast(snapshots.select("snapshot")))  # the result itself is hub x snapshots
+    out = hub_rows.select(hash_name).crossJoin(snapshots.select("snapshot"))  # the result itself is hub x snapshots
     for name, sat in satellites.items():
         stream = out.select(hash_name, F.col("snapshot").alias("_at"), F.lit(1).alias("_ask")).unionByName(sat.select(hash_name, F.col("LOAD_DTS").alias("_at"), F.lit(0).alias("_ask")))
         seen = F.max(F.when(F.col("_ask") == 0, F.col("_at"))).over(Window.partitionBy(hash_name).orderBy("_at", "_ask").rowsBetween(Window.unboundedPreceding, 0))

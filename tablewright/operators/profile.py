@@ -1,8 +1,8 @@
-"""Column and table profiles in one scan per table.
+"""Column and table profiles in a few scans per table.
 
-All plain statistics of all columns come from one aggregation; distinct counts run beside it in groups of DISTINCT_GROUP
-columns, as each exact distinct count multiplies the rows that are shuffled. The wide result is one row; it is turned into one
-row per column inside the plan, so nothing is collected.
+All plain statistics of all columns come from one aggregation; exact distinct counts read one column each beside it, and exact
+quantiles two scans more. The wide result is one row; it is turned into one row per column inside the plan. Only the sketches
+that bracket quantiles, a few numbers for each column, come to the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from ..functions.patterns import PROFILE
 
-DISTINCT_GROUP = 8
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 BASIC = ("total", "non_null", "nulls", "null_pct", "distinct", "distinct_pct", "is_unique")
 NUMERIC = ("min", "max", "mean", "stddev", *QUANTILES)
@@ -31,13 +30,18 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.floor(part * 10000.0 / whole + 0.5) / 100.0)
 
 
+#: Relative rank error of the sketches that bracket exact quantiles.
+SKETCH = 10_000
+
+
 def _statistics(field: T.StructField, approximate: bool) -> dict[str, Column]:
     c = F.col(f"`{field.name}`")
     out = {"non_null": F.count(c)}
     if is_numeric(field.dataType):
         x = c.cast("double")
-        quantiles = F.percentile_approx(x, list(QUANTILES.values()), 100_000) if approximate else F.percentile(x, list(QUANTILES.values()))
-        out |= {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "stddev": F.stddev_samp(x), "quantiles": quantiles}
+        out |= {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "stddev": F.stddev_samp(x)}
+        if approximate:
+            out["quantiles"] = F.percentile_approx(x, list(QUANTILES.values()), 100_000)
     if isinstance(field.dataType, T.StringType):
         n = F.length(c)
         out |= {"min_len": F.min(n), "max_len": F.max(n), "avg_len": F.avg(n), "empties": F.count_if(c == "")}
@@ -45,25 +49,63 @@ def _statistics(field: T.StructField, approximate: bool) -> dict[str, Column]:
 
 
 def _distinct(df: DataFrame, fields: list[T.StructField], hashed: bool) -> DataFrame:
-    """One row of distinct counts; hashed counts from sketches instead (about 2 % off)."""
-    count = (lambda c: F.approx_count_distinct(c, 0.02)) if hashed else F.count_distinct
-    groups = [fields[i : i + DISTINCT_GROUP] for i in range(0, len(fields), DISTINCT_GROUP)]
-    rows = [df.agg(*[count(F.col(f"`{f.name}`")).alias(f"d{fields.index(f)}") for f in g]).withColumn("one", F.lit(1)) for g in groups]
-    return reduce(lambda a, b: a.join(b, "one"), rows)
+    """(position, distinct) by column; hashed counts from sketches instead (about 2 % off).
+
+    Each exact count reads its own column alone and merges equal values before they are shuffled.
+    """
+    if hashed:
+        wide = df.agg(*[F.approx_count_distinct(F.col(f"`{f.name}`"), 0.02).alias(f"d{i}") for i, f in enumerate(fields)])
+        return wide.select(F.posexplode(F.array(*[F.col(f"d{i}") for i in range(len(fields))])).alias("position", "distinct"))
+    each = [df.select(F.col(f"`{f.name}`").alias("v")).distinct().agg(F.count("v").alias("distinct")).select(F.lit(i).alias("position"), "distinct") for i, f in enumerate(fields)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _quantiles(df: DataFrame, names: list[str], shares: dict[str, float] = QUANTILES, accuracy: int = SKETCH) -> DataFrame:
+    """(name, k, value): exact interpolated quantiles of numeric columns in bounded memory; nulls and NaN take no part.
+
+    One aggregation of sketches brackets the two order statistics of each quantile. A second pass counts what is below each
+    bracket and how often each value inside it occurs, a few rows in ten thousand and their ties, which are merged before the
+    shuffle.
+    """
+    spark = df.sparkSession
+    x = {n: F.when(~F.isnan(F.col(f"`{n}`").cast("double")), F.col(f"`{n}`").cast("double")) for n in names}
+    slack = [min(1.0, max(0.0, p + d / accuracy)) for p in shares.values() for d in (-2, 2)]
+    told = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(x.values())], *[F.percentile_approx(c, slack, accuracy).alias(f"q{i}") for i, c in enumerate(x.values())]).first()
+    known, brackets = [], []
+    for i, name in enumerate(names):
+        n = told[f"n{i}"]
+        for k, (label, p) in enumerate(shares.items()):
+            if not n:
+                continue
+            place = p * (n - 1)
+            low, high = told[f"q{i}"][2 * k], told[f"q{i}"][2 * k + 1]
+            if low == high:
+                known.append((name, label, low))
+            else:
+                brackets.append((name, label, low, high, int(place), int(place) + (place > int(place)), place - int(place)))
+    out = spark.createDataFrame(known, "name string, k string, value double")
+    if not brackets:
+        return out
+    terms = spark.createDataFrame([(j, names.index(b[0]), *b[:6], float(b[6])) for j, b in enumerate(brackets)], "j int, i int, name string, k string, low double, high double, lower long, upper long, part double")
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(names.index(n)).alias("i"), c.alias("x")) for n, c in x.items()])).alias("r")).select("r.i", "r.x").where("x is not null")
+    # what is below a bracket counts as one value, before those inside
+    counts = values.join(F.broadcast(terms.select("i", "j", "low", "high")), "i").where("x <= high").groupBy("j", F.when(F.col("x") >= F.col("low"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("j").orderBy(F.asc_nulls_first("x"))))  # one bracket
+    at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("x")))
+    found = running.join(F.broadcast(terms), "j").groupBy("name", "k", "part").agg(at("lower").alias("a"), at("upper").alias("b"))
+    return out.unionByName(found.select("name", "k", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value")))
 
 
 def columns(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
     """One row per column: counts, distinct share, numeric and string statistics, and a quality score.
 
-    approximate takes sketches for quantiles and distinct counts, for tables where exact ones would cost too much: the exact
-    aggregate keeps a count for each distinct value, `exact_quantiles` does not. Columns that cannot be compared (maps) have no
-    distinct count. An empty table gives zeros.
+    approximate takes sketches for quantiles and distinct counts, for tables where exact ones would cost too much. Quantiles
+    leave out NaN. Columns that cannot be compared (maps) have no distinct count. An empty table gives zeros.
     """
     fields = [f for f in df.schema.fields]
     countable = [f for f in fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    numbers = [f.name for f in fields if is_numeric(f.dataType)]
     wide = df.agg(F.count(F.lit(1)).alias("total"), *[e.alias(f"c{i}_{k}") for i, f in enumerate(fields) for k, e in _statistics(f, approximate).items()])
-    wide = wide.withColumn("one", F.lit(1)).join(_distinct(df, countable, approximate), "one") if countable else wide
-    place = {f.name: i for i, f in enumerate(countable)}
     rows = []
     for i, f in enumerate(fields):
         have = _statistics(f, approximate)
@@ -71,11 +113,22 @@ def columns(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
         quantile = [(F.get(F.col(f"c{i}_quantiles"), F.lit(j)) if "quantiles" in have else F.lit(None)).cast("double").alias(k) for j, k in enumerate(QUANTILES)]
         rows.append(F.struct(
             F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(i).alias("position"), get("non_null", "long"),
-            (F.col(f"d{place[f.name]}") if f.name in place else F.lit(None)).cast("long").alias("distinct"),
             *[get(k, "double") for k in ("min", "max", "mean", "stddev")], *quantile,
             get("min_len", "long"), get("max_len", "long"), get("avg_len", "double"), get("empties", "long"),
         ))
     out = wide.select("total", F.explode(F.array(*rows)).alias("r")).select(F.lit(name).alias("table"), "total", "r.*")
+    order = ["table", "total", "column", "dtype", "position", "non_null", "distinct", *out.columns[6:]]
+    # from here on every table has a row per column
+    places = F.create_map(*[F.lit(x) for i, f in enumerate(countable) for x in (i, fields.index(f))]) if countable else None
+    if countable:
+        distinct = _distinct(df, countable, approximate).select(places[F.col("position")].alias("position"), F.col("distinct").cast("long").alias("distinct"))
+        out = out.join(F.broadcast(distinct), "position", "left")
+    else:
+        out = out.withColumn("distinct", F.lit(None).cast("long"))
+    if numbers and not approximate:
+        exact = _quantiles(df, numbers).groupBy(F.col("name").alias("column")).pivot("k", list(QUANTILES)).agg(F.first("value"))
+        out = out.drop(*QUANTILES).join(F.broadcast(exact), "column", "left")
+    out = out.select(*order)
     out = out.withColumn("nulls", F.col("total") - F.col("non_null"))
     out = out.withColumn("null_pct", percent(F.col("nulls"), F.col("total"))).withColumn("distinct_pct", percent(F.col("distinct"), F.col("non_null")))
     out = out.withColumn("is_unique", (F.col("distinct") == F.col("non_null")) & (F.col("non_null") > 0))
@@ -188,34 +241,7 @@ def strict_patterns(df: DataFrame, column: str, rules, least_pct: float = 50.0)
     return ranked.select("pattern", "n", percent(F.col("n"), F.col("values")).alias("pct"), level.alias("confidence"), "rank")
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], few: int = 100_000, accuracy: int = 10_000) -> list[float | None]:
-    """Exact interpolated quantiles in bounded memory: a sketch brackets each order statistic, rows below the bracket are
-    counted, and the bracket is narrowed in the same way until it holds few rows. Nulls and NaN take no part."""
-    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    total = rows.count()
-    if not total:
-        return [None] * len(shares)
-
-    def statistic(rank: int) -> float:
-        """The value of the given rank, from 0."""
-        inside, skipped, n = rows, 0, total
-        while n > few:
-            at = (rank - skipped) / n
-            low, high = inside.agg(F.percentile_approx("x", [max(0.0, at - 2 / accuracy), min(1.0, at + 2 / accuracy)], accuracy).alias("q")).first().q
-            r = inside.agg(F.count_if(F.col("x") < low).alias("below"), F.count_if((F.col("x") >= low) & (F.col("x") <= high)).alias("n")).first()
-            if low == high or not r.below <= rank - skipped < r.below + r.n or r.n == n:
-                if low == high and r.below <= rank - skipped < r.below + r.n:
-                    return low
-                break  # many equal values: counts per value are few
-            inside, skipped, n = inside.where((F.col("x") >= low) & (F.col("x") <= high)), skipped + r.below, r.n
-        counts = inside.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x")))  # at most `few` values, or the distinct ones
-        return running.where(F.col("upto") > rank - skipped).agg(F.min("x")).first()[0]
-
-    out = []
-    for p in shares:
-        place = p * (total - 1)
-        lower = int(place)
-        a = statistic(lower)
-        out.append(a if place == lower else a + (statistic(lower + 1) - a) * (place - lower))
-    return out
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], accuracy: int = SKETCH) -> list[float | None]:
+    """The exact interpolated quantiles of one numeric column, in bounded memory; None where it has no value."""
+    found = {r.k: r.value for r in _quantiles(df, [column], {str(p): p for p in shares}, accuracy).collect()}  # a row per quantile
+    return [found.get(str(p)) for p in shares]
