@@ -88,46 +88,55 @@ class Hashes:
                 cls._tables[base] = have
         return have
 
+    def order(self, start: int, end: int, size: int) -> np.ndarray:
+        """For each place from start to end a number that depends on the next `size` units, to choose the least from."""
+        x = (self.prefix[start + size : end + size] - self.prefix[start:end]) * self.downs[start:end]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x
+
     def of(self, start, end) -> np.ndarray:
         return mix((self.prefix[end] - self.prefix[start]) * self.downs[start] + np.uint64(0x51ED2701) * (np.asarray(end) - start).astype(np.uint64))
 
 
 def _leftmost_minima(x: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values the place of its leftmost minimum (two running minima per block of w)."""
-    n = len(x) - w + 1
-    size = -(-len(x) // w) * w
-    padded = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    blocks = padded.reshape(-1, w)
-    at = np.arange(size).reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1)
-    fresh = np.ones_like(blocks, bool)
-    fresh[:, 1:] = ahead[:, 1:] < ahead[:, :-1]
-    ahead_at = np.maximum.accumulate(np.where(fresh, at, 0), axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]
-    least = back == blocks  # here the minimum of the rest of the block is reached, leftmost where several are equal
-    back_at = np.minimum.accumulate(np.where(least, at, size)[:, ::-1], axis=1)[:, ::-1].ravel()
-    s = np.arange(n)
-    left, right = back.ravel()[s], ahead.ravel()[s + w - 1]
-    return np.where(left <= right, back_at[s], ahead_at[s + w - 1])
-
-
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """Rows of place, first and last window start served, gram hash and digest (two numbers) of the served range, by anchor."""
-    windows, w = len(data) - length + 1, length - gram + 1
-    if windows < 1:
-        return np.empty((0, 6), np.int64)
+    """For each window of w values the place of its minimum by the high bits, the leftmost of equals; x has CHUNK + w values at most.
+
+    The low bits give way to the place, so one minimum tells both; windows grow by doubling.
+    """
+    bits = np.uint64(max(1, len(x).bit_length()))
+    least = (x >> bits << bits) | np.arange(len(x), dtype=np.uint64)
+    width = 1
+    while width < w:
+        step = min(width, w - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def anchors(texts: list[np.ndarray], length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """Rows of text number, place, first and last window start served, gram hash and digest (two numbers) of the served range.
+
+    The texts are looked at as one array, as most are short; windows that reach into a next text are left out.
+    """
+    sizes = np.array([len(t) for t in texts])
+    base = np.cumsum(sizes) - sizes
+    data = np.concatenate(texts) if texts else np.empty(0, np.uint8)
+    starts = [b + np.arange(n - length + 1) for b, n in zip(base.tolist(), sizes.tolist()) if n >= length]
+    if not starts:
+        return np.empty((0, 7), np.int64)
+    starts, w = np.concatenate(starts), length - gram + 1
     hashes = Hashes(data, BASE)
     chosen = []
-    for lo in range(0, windows, CHUNK):
-        hi = min(windows, lo + CHUNK)
-        starts = np.arange(lo, hi + w - 1)
-        chosen.append(_leftmost_minima(hashes.of(starts, starts + gram), w) + lo)
-    place = np.concatenate(chosen)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    last = np.append(first[1:], windows) - 1
-    at = place[first]
-    return np.column_stack([at, first, last, hashes.of(at, at + gram).view(np.int64), _digests(data, first, last + length)])
+    for lo in range(0, len(data) - length + 1, CHUNK):
+        hi = min(len(data) - length + 1, lo + CHUNK)
+        chosen.append(_leftmost_minima(hashes.order(lo, hi + w - 1, gram), w) + lo)
+    place = np.concatenate(chosen)[starts]
+    new = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+    first, last, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], place[new]
+    owner = np.searchsorted(base, first, "right") - 1
+    own = base[owner]
+    return np.column_stack([owner, at - own, first - own, last - own, hashes.of(at, at + gram).view(np.int64), _digests(data, first, last + length)])
 
 
 ROW = ["k1", "k2"]
@@ -144,11 +153,15 @@ def _entries(docs: DataFrame, units: Units, length: int, gram: int) -> DataFrame
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for k1, k2, text in zip(batch["k1"], batch["k2"], batch["text"]):
-                found = anchors(units.of(text), length, gram)
-                parts.append(np.column_stack([np.full(len(found), k1, np.int64), np.full(len(found), k2, np.int64), found]))
-            yield _frame(parts, names)
+            keys = batch[ROW].to_numpy(np.int64)
+            held, at, size = [], 0, 0
+            for n, text in enumerate(batch["text"]):
+                held.append(units.of(text))
+                size += len(held[-1])
+                if size >= CHUNK or n == len(batch) - 1:
+                    found = anchors(held, length, gram)
+                    yield _frame([np.column_stack([keys[at + found[:, 0]], found[:, 1:]])], names)
+                    held, at, size = [], n + 1, 0
 
     return docs.mapInPandas(scan, ENTRY)
 

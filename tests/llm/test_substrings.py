@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tablewright.llm import substrings
+from tablewright.llm import queries, substrings
 
 
 def brute(texts, length):
@@ -62,3 +62,31 @@ def test_suffix_sort_orders_like_bytes():
     for k in (1, 2, 3):
         own = [bytes(data[s : s + 40]) for s in starts[order][segment == k]]
         assert own == sorted(own)
+
+
+def test_production_lengths_and_passages(spark, sf):
+    """The registered query against brute force over all 400-byte and 50-word windows of a small table."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    texts = [r.text for r in rows]
+    got = {r.doc_id: r for r in queries.op2_suffix_array_dedup(spark, sf).collect()}
+    for row, want in zip(rows, brute(texts, 400)):
+        r = got[row.doc_id]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want
+    words = [t.encode().split() for t in texts]
+    count = Counter(tuple(w[i : i + 50]) for w in words for i in range(len(w) - 49))
+    for row, w in zip(rows, words):
+        said = np.zeros(len(w), bool)
+        for i in range(len(w) - 49):
+            if count[tuple(w[i : i + 50])] > 1:
+                said[i : i + 50] = True
+        r = got[row.doc_id]
+        assert (r.n_passages, r.passage_words) == (int((np.diff(said.astype(int), prepend=0) == 1).sum()), int(said.sum()))
+
+
+def test_anchors_do_not_depend_on_neighbours():
+    r = random.Random(4)
+    texts = [np.frombuffer(bytes(r.choice(b"abc") for _ in range(r.choice((0, 5, 39, 40, 41, 100, 300)))), np.uint8) for _ in range(40)]
+    alone = [found for i, t in enumerate(texts) for found in [substrings.anchors([t], 40, 16)]]
+    for i, found in enumerate(alone):
+        found[:, 0] = i
+    assert (np.concatenate(alone) == substrings.anchors(texts, 40, 16)).all()
