@@ -114,3 +114,73 @@ def partial_dependencies(df: DataFrame, key: tuple[str, ...], table: str, fds) -
 def lookup(df: DataFrame, determinant: list[str], dependents: list[str]) -> tuple[DataFrame, DataFrame]:
     """Third normal form on data: (the table without the dependents, the lookup table of the determinant)."""
     return df.drop(*dependents).distinct(), df.select(*determinant, *dependents).distinct()
+
+
+def json_kind(df: DataFrame, column: str) -> str | None:
+    """object or array where all values of a text column are that; mixed where some are; None where none is."""
+    c = F.col(f"`{column}`")
+    objects, arrays = F.json_object_keys(c).isNotNull(), F.json_array_length(c).isNotNull()
+    row = df.agg(F.count(c).alias("n"), F.count_if(objects).alias("o"), F.count_if(arrays).alias("a")).first()
+    if not row.o and not row.a:
+        return None
+    return "object" if row.o == row.n else "array" if row.a == row.n else "mixed"
+
+
+#: Spark types of JSON types; a field with several, or with none of these, is text.
+JSON_TYPES = {"integer": "bigint", "number": "double", "boolean": "boolean"}
+
+
+def json_fields(df: DataFrame, column: str) -> dict[str, str]:
+    """Field names of the objects in a column, by name, with the type that holds all their values."""
+    kinds: dict[str, set[str]] = {}
+    for r in json_shape(df, column).collect():  # a row per field and type
+        kinds.setdefault(r.key, set()).add(r.type)
+    told = {k: types - {"null"} for k, types in kinds.items()}
+    return {k: "double" if told[k] == {"integer", "number"} else JSON_TYPES.get(next(iter(told[k])), "string") if len(told[k]) == 1 else "string" for k in sorted(told)}
+
+
+def first_form(
+    df: DataFrame, table: str, key: list[str], delimiters: dict[str, str] | None = None, compound: dict[str, str] | None = None, separate: bool = False, most_fields: int = 10,
+) -> dict[str, DataFrame]:
+    """A table in first normal form: the table itself and a table for each thing that it held several times.
+
+    In this order: columns that differ by a number become rows of `<table>_<base>`; arrays become `<table>_<column>` with a row
+    for each value; objects in JSON text become columns (with separate, or with more than most_fields fields, the table
+    `<table>_<column>`), JSON arrays a table like arrays, and mixed JSON goes; lists in text (column: delimiter) become tables;
+    compound columns (column: separator) become their parts. Keys keep their names with the table's before them.
+    """
+    from ..plans.violations import numbered_groups
+
+    out: dict[str, DataFrame] = {}
+    main = df
+    named = lambda part: part.select(*[F.col(f"`{k}`").alias(f"{table}_{k}") for k in key], *[f"`{c}`" for c in part.columns if c not in key])
+    for base, group in numbered_groups([c for c in df.columns if c not in key]).items():
+        if len({dict(df.dtypes)[c] for c in group}) == 1:  # values of one kind
+            out[f"{table}_{base}"] = named(unpivot_group(main, key, group, base).select(*key, f"{base}_type", base))
+            main = main.drop(*group)
+    for f in main.schema.fields:
+        if isinstance(f.dataType, T.ArrayType):
+            out[f"{table}_{f.name}"] = explode_array(main, key, f.name, table)
+            main = main.drop(f.name)
+    for f in main.schema.fields:
+        what = json_kind(main, f.name) if isinstance(f.dataType, T.StringType) and f.name not in key else None
+        if what == "object":
+            fields = json_fields(main, f.name)
+            if separate or len(fields) > most_fields:
+                side = json_columns(main.select(*key, f.name), f.name, fields)
+                out[f"{table}_{f.name}"] = named(side).toDF(*[f"{table}_{k}" for k in key], *fields)
+                main = main.drop(f.name)
+            else:
+                main = json_columns(main, f.name, fields)
+        elif what == "array":
+            parsed = main.where(F.col(f.name).isNotNull()).select(*key, F.from_json(f.name, "array<string>").alias(f.name))
+            out[f"{table}_{f.name}"] = explode_array(parsed, key, f.name, table)
+            main = main.drop(f.name)
+        elif what == "mixed":
+            main = main.drop(f.name)
+    for column, sign in (delimiters or {}).items():
+        out[f"{table}_{column}"] = split_values(main, key, column, table, sign)
+        main = main.drop(column)
+    for column, sign in (compound or {}).items():
+        main = split_compound(main, column, sign)
+    return {table: main} | out

@@ -78,7 +78,8 @@ def _quantiles(df: DataFrame, names: list[str], shares: dict[str, float] = QUANT
             if not n:
                 continue
             place = p * (n - 1)
-            low, high = told[f"q{i}"][2 * k], told[f"q{i}"][2 * k + 1]
+            few = n <= 10 * accuracy  # a bracket would not reach from one rank to the next
+            low, high = (float("-inf"), float("inf")) if few else (told[f"q{i}"][2 * k], told[f"q{i}"][2 * k + 1])
             if low == high:
                 known.append((name, label, low))
             else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators import dependencies, models, normalize, profile, relationships
 from .plans import semantics
@@ -13,7 +14,7 @@ from .plans.design import Design
 from .sources.catalog import TableSet
 
 
-def analyze(tables: TableSet, max_determinant: int = 1, max_key: int = 2) -> dict:
+def analyze(tables: TableSet, max_determinant: int = 3, max_key: int = 4) -> dict:
     """Profiles, dependencies, keys, references and semantic types of all tables."""
     prof = reduce(DataFrame.unionByName, [profile.columns(df, n) for n, df in tables.tables.items()]).persist()
     stats = {(r.table, r.column): r for r in prof.collect()}  # a row per column
@@ -25,6 +26,34 @@ def analyze(tables: TableSet, max_determinant: int = 1, max_key: int = 2) -> dic
     }
 
 
+def summary(analysis: dict) -> DataFrame:
+    """One row of an analysis: tables, columns, rows, mean quality, dependencies, keys, and tables by normal form."""
+    prof = analysis["profile"]
+    counts = {"dependencies": sum(map(len, analysis["dependencies"].values())), "keys": sum(map(len, analysis["keys"].values()))}
+    forms = [f for f in analysis["forms"].values()]
+    rows = prof.groupBy("table").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("columns"), F.sum("quality").alias("quality"))
+    row = rows.agg(F.count(F.lit(1)).alias("tables"), F.sum("columns").alias("columns"), F.sum("total").alias("rows"), (F.sum("quality") / F.sum("columns")).alias("mean_quality"))
+    return row.select("*", *[F.lit(n).alias(k) for k, n in counts.items()], *[F.lit(forms.count(f)).alias(f"form_{f.lower()}") for f in ("UNNORMALIZED", "1NF", "2NF", "3NF", "BCNF")])
+
+
+def document(df: DataFrame, name: str, values: int = 5, samples: int = 5, patterns: int = 3) -> dict:
+    """A table's profile as a document: statistics of each column with its best patterns, most frequent values and samples.
+
+    Reports of a fixed size for each column; only they come to the driver.
+    """
+    out = {"table": name, "columns": []}
+    for r in sorted(profile.columns(df, name).collect(), key=lambda r: r.position):
+        column = r.asDict()
+        text = dict(df.dtypes)[r.column] == "string"
+        found = profile.patterns(df, r.column).orderBy(F.desc("pct"), "pattern").limit(patterns).collect() if text else []
+        column["patterns"] = [p.asDict() for p in found]
+        simple = not any(sign in dict(df.dtypes)[r.column] for sign in ("array", "map", "struct"))
+        column["top_values"] = [v.asDict() for v in profile.top_values(df, r.column, values).collect()] if simple else []
+        column["samples"] = [v.value for v in profile.sample_values(df.select(F.col(f"`{r.column}`").cast("string").alias(r.column)), r.column).limit(samples).collect()] if simple else []
+        out["columns"].append(column)
+    return out | {"rows": out["columns"][0]["total"] if out["columns"] else 0}
+
+
 def normalize_3nf(df: DataFrame, fds) -> dict[str, DataFrame]:
     """The relations of a table in third normal form, named by their keys."""
     parts = synthesize_3nf(df.columns, fds)

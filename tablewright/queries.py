@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import patterns
 from .functions.keys import hash_diff
-from .operators import dependencies, models, normalize, profile, quality, relationships
+from .operators import dependencies, models, normalize, profile, quality, relationships, vault
+from .plans import keys
 from .plans.dependencies import Dependency, synthesize_3nf
+from .plans.design import Design, DesignColumn, DesignTable, Relation
 from .sources.catalog import TableMeta, TableSet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,7 +224,7 @@ query("fd_violations_lineitem", "select l.* from lineitem l join (select l_order
     lambda spark, sf_dir: dependencies.violations(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey", tie=["l_suppkey"])
 )
 query("fd_discover_nation")(lambda spark, sf_dir: dependencies.as_frame(spark, dependencies.discover(read(spark, sf_dir, "nation"))))
-query("fd_discover_documents")(lambda spark, sf_dir: dependencies.as_frame(spark, dependencies.discover(read(spark, sf_dir, "documents"), ["text", "lang", "n_chars"], max_size=2, min_confidence=1.0)))
+query("fd_discover_documents")(lambda spark, sf_dir: dependencies.as_frame(spark, dependencies.discover(read(spark, sf_dir, "documents"))))
 
 KEY_SETS = [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey"], ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]]
 
@@ -237,16 +241,74 @@ query("key_check_lineitem", key_sql("lineitem", KEY_SETS))(lambda spark, sf_dir:
 query("key_check_with_nulls", key_sql(f"({HOLED})", [["o_orderkey"], ["o_custkey"], ["o_custkey", "o_orderpriority"]]))(lambda spark, sf_dir: dependencies.check_keys(holed(spark, sf_dir), [["o_orderkey"], ["o_custkey"], ["o_custkey", "o_orderpriority"]]))
 
 
+def keys_sql(table: str, most: int = 4) -> str:
+    """Column sets that are unique and without nulls, but for those that contain a smaller one."""
+    names = [c for c, _ in fields(table)]
+    sets = [xs for size in range(1, most + 1) for xs in combinations(names, size)]
+    tests = " union all ".join(f"select [{', '.join(map(repr, xs))}] as columns, (select count(*) > 0 and count(*) = count(distinct row({', '.join(xs)})) and count(*) = count(*) filter (where {' and '.join(f'{x} is not null' for x in xs)}) from {table}) as key" for xs in sets)
+    return f"with k as ({tests}) select '{table}' as \"table\", columns from k where key and not exists (select 1 from k s where s.key and len(s.columns) < len(k.columns) and list_has_all(k.columns, s.columns))"
+
+
 def _keys(table: str):
     def run(spark, sf_dir):
-        found = dependencies.find_keys(read(spark, sf_dir, table), max_size=2)
+        found = dependencies.find_keys(read(spark, sf_dir, table))
         return spark.createDataFrame([(table, list(k.columns)) for k in found], "table string, columns array<string>")
 
     return run
 
 
 for _t in ("orders", "nation", "conversations"):
-    query(f"candidate_keys_{_t}")(_keys(_t))
+    query(f"candidate_keys_{_t}", keys_sql(_t))(_keys(_t))
+
+
+_OWN = {"region": "r_regionkey", "nation": "n_nationkey", "orders": "o_orderkey"}
+
+
+@query("recommended_keys", " union all ".join(f"select '{t}' as \"table\", ['{c}'] as columns from {t} having count(distinct {c}) = count(*)" for t, c in _OWN.items()))
+def recommended_keys(spark, sf_dir):
+    found = {t: dependencies.find_keys(read(spark, sf_dir, t), max_size=2) for t in _OWN}
+    return spark.createDataFrame([(t, list(keys.recommend(k, table=t).columns)) for t, k in found.items()], "table string, columns array<string>")
+
+
+#: events with numbered columns, an array and a JSON array put in.
+WIDE_EVENTS = "select event_id, event_type, props, value as value_1, case when event_id % 3 = 0 then null else value * 2 end as value_2, {array} as tags, '[' || (event_id % 4) || ',\"x\"]' as codes from events"
+
+
+def _first_form(part: str):
+    def run(spark, sf_dir):
+        read(spark, sf_dir, "events").createOrReplaceTempView("events")
+        return normalize.first_form(spark.sql(WIDE_EVENTS.format(array="array(event_type, cast(event_id % 2 as string))")), "events", ["event_id"])[part]
+
+    return run
+
+
+_WIDE = WIDE_EVENTS.format(array="[event_type, cast(event_id % 2 as varchar)]")
+query("first_form_events", "select event_id, event_type, cast(json_extract(props, '$.k') as bigint) as props_k from events")(_first_form("events"))
+query("first_form_events_value", f"select event_id as events_event_id, 'value_1' as value_type, value_1 as value from ({_WIDE}) where value_1 is not null union all select event_id, 'value_2', value_2 from ({_WIDE}) where value_2 is not null")(_first_form("events_value"))
+query("first_form_events_tags", f"select event_id as events_event_id, unnest(tags) as tags_value, cast(generate_subscripts(tags, 1) as integer) as sequence from ({_WIDE})")(_first_form("events_tags"))
+query("first_form_events_codes", f"select event_id as events_event_id, unnest([cast(event_id % 4 as varchar), 'x']) as codes_value, unnest([1, 2]) as sequence from ({_WIDE})")(_first_form("events_codes"))
+
+VAULT = Design("data_vault", (
+    DesignTable("dim_customer", "dimension", (DesignColumn("c_custkey", role="business_key"), DesignColumn("c_name"), DesignColumn("c_acctbal")), "customer"),
+    DesignTable("dim_nation", "dimension", (DesignColumn("n_nationkey", role="business_key"), DesignColumn("n_name")), "nation"),
+    DesignTable("fact_home", "fact", (DesignColumn("c_mktsegment"),), "customer"),
+), (Relation("fact_home", ("c_custkey",), "dim_customer", ("c_custkey",)), Relation("fact_home", ("c_nationkey",), "dim_nation", ("n_nationkey",))))
+
+
+def built_vault(spark, sf_dir) -> dict[str, DataFrame]:
+    return vault.build({t: read(spark, sf_dir, t) for t in ("customer", "nation")}, VAULT, F.lit("2024-01-01").cast("timestamp_ntz"), "crm")
+
+
+_RESTRICT = [("HUB_customer", "select distinct c_custkey from customer where c_custkey is not null"), ("SAT_customer", "select distinct c_custkey from customer"), ("HUB_nation", "select distinct n_nationkey from nation"), ("SAT_nation", "select distinct n_nationkey from nation"), ("LINK_home", "select distinct c_custkey, c_nationkey from customer where c_nationkey is not null"), ("SAT_home", "select distinct c_custkey, c_nationkey from customer where c_nationkey is not null")]
+
+
+@query("vault_tables", " union all ".join(f"select '{t}' as \"table\", count(*) as rows from ({q})" for t, q in _RESTRICT))
+def vault_tables(spark, sf_dir):
+    return reduce(DataFrame.unionByName, [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows") for t, df in built_vault(spark, sf_dir).items()])
+
+
+_CHECKS = [("HUB_customer", "HK_customer", "not_null"), ("HUB_customer", "HK_customer", "unique"), ("HUB_nation", "HK_nation", "not_null"), ("HUB_nation", "HK_nation", "unique"), ("LINK_home", "LK_home", "not_null"), ("LINK_home", "LK_home", "unique"), ("LINK_home", "HK_customer", "refers"), ("LINK_home", "HK_nation", "refers"), ("SAT_customer", "HK_customer", "refers"), ("SAT_customer", "HK_customer", "unique_at_a_time"), ("SAT_home", "LK_home", "refers"), ("SAT_home", "LK_home", "unique_at_a_time"), ("SAT_nation", "HK_nation", "refers"), ("SAT_nation", "HK_nation", "unique_at_a_time")]
+query("vault_checks", " union all ".join(f"select '{t}' as \"table\", '{c}' as \"column\", '{k}' as test, {'(select count(*) from customer where c_nationkey not in (select n_nationkey from nation))' if (c, k) == ('HK_nation', 'refers') and t == 'LINK_home' else '0'}::bigint as failures" for t, c, k in _CHECKS))(lambda spark, sf_dir: vault.checks(built_vault(spark, sf_dir)))
 
 
 def measure_sql(source: str, c: str, target: str, k: str, names: tuple[str, str], likeness: float) -> str:
@@ -289,7 +351,8 @@ query("orphan_values", "select c_custkey as value, count(*) as n from customer w
 # ---------------------------------------------------------------- catalog
 
 query("list_tables", " union all ".join(f"select '{t}' as \"table\", (select count(*) from {t}) as rows, cast({len(fields(t))} as integer) as columns" for t in TABLES))(lambda spark, sf_dir: tableset(spark, sf_dir, tuple(TABLES)).list_tables())
-query("list_columns")(lambda spark, sf_dir: tableset(spark, sf_dir).list_columns())
+_COLUMNS = " union all ".join(f"select '{t}' as \"table\", '{c}' as \"column\", {i + 1}::integer as position, '{k}' as type, {str(c not in DECLARED.get(t, ())).lower()} or true as nullable, {str(c in DECLARED.get(t, ())).lower()} as primary_key, cast(null as varchar) as \"references\"" for t in TABLES for i, (c, k) in enumerate(fields(t)))
+query("list_columns", _COLUMNS)(lambda spark, sf_dir: tableset(spark, sf_dir, tuple(TABLES)).list_columns())
 query("adhoc_sql", "select c_mktsegment, count(*) as n from customer where c_acctbal > 5000 group by 1")(lambda spark, sf_dir: tableset(spark, sf_dir).query("select c_mktsegment, count(*) as n from customer where c_acctbal > :least group by 1", {"least": 5000}))
 
 # ---------------------------------------------------------------- quality rules
