@@ -248,10 +248,11 @@ def link(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     rows that repeat are each returned. Texts of any length are read whole. An empty table gives an empty result.
     """
     grouped = _grouped(docs, scheme)
-    least = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = grouped.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = stored(grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows")), "components")
+    linked = heavy_join(grouped.where("group is not null"), least, ["group"], "rows").select("doc_id", "n_shingles", "component_id")
+    out = linked.unionByName(grouped.where("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     out = stored(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
-    dropped(grouped)
+    dropped(grouped, least)
     return out
 
 

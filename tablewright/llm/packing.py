@@ -109,6 +109,10 @@ def _placed(rows: pd.DataFrame, packer: SumOfSquares, base: int) -> pd.DataFrame
 
 
 def best_fit(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """Tokenise, cut and pack whole documents. Only doc_id and text are read, so other columns cannot clash."""
+    """Tokenise, cut and pack whole documents of any length. Only doc_id and text are read, so other columns cannot clash.
+
+    Null and empty texts are one token; rows that repeat are packed each. Pieces of equal length go in the order of doc_id and
+    piece; of gaps that suit equally, the smallest is taken. An empty table gives an empty result.
+    """
     cut = stored(pieces(docs, vocabulary, capacity), "pieces")
     return pack(cut, cut.count(), capacity, group)

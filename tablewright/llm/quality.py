@@ -141,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: RuleModel, accept: float = ACCEPT) -> DataFrame:
-    """docs with `_score` (0 to 1) and `_accepted` added; every row is scored, null text as empty.
+    """docs with `_score` (0 to 1) and `_accepted` added; every row is scored, null text as empty, long texts as a whole.
+
+    Equal texts score equally, whatever their doc_id; rows that repeat are each scored. An empty table gives an empty result.
 
     All columns of docs stay, but for columns of these two names, which are replaced.
     """

@@ -15,21 +15,27 @@ from pyspark.sql import functions as F
 
 from .common import dropped, stored, whole
 
+#: Groups of a source and of the global order are 2 ** BUCKET_BITS, and more where they would hold over BUCKET_ROWS rows.
 BUCKET_BITS = 10
+BUCKET_ROWS = 1 << 20
 
 
-def interleave(docs: DataFrame, n_shards: int = 40, seed: str = "interleave-1", bucket_bits: int = BUCKET_BITS) -> DataFrame:
+def interleave(docs: DataFrame, n_shards: int = 40, seed: str = "interleave-1", bucket_bits: int | None = None) -> DataFrame:
     """Assign every row to a shard; returns doc_id, source, size, text_crc32, position, shard, slot.
 
     Null text counts as empty (size 16, CRC 0); null source is a stratum of its own; null or repeated doc_id are allowed
-    (rows equal in every ordering column are interchangeable). An empty table gives an empty result. Other columns are
-    ignored, so their names cannot clash. `bucket_bits` sets the groups per source and of the global order (2 ** bits).
+    (rows without doc_id are dealt by their place in the table; rows equal in every ordering column are interchangeable). Ties
+    of the shuffle go by doc_id, CRC and size. Texts of any length are read whole. An empty table gives an empty result. Other
+    columns are ignored, so their names cannot clash. `bucket_bits` sets the groups per source and of the global order
+    (2 ** bits); without it they follow from the number of rows.
     """
+    if bucket_bits is None:
+        bucket_bits = max(BUCKET_BITS, (docs.count() // BUCKET_ROWS).bit_length())
     text = F.encode(whole(), "UTF-8")
     stratum = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     rows = docs.select(
         "doc_id", "source", (F.octet_length(whole()) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        stratum.alias("stratum"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("mix"),
+        stratum.alias("stratum"), F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), whole()).alias("mix"),
     ).withColumn("bucket", F.shiftrightunsigned("mix", 64 - bucket_bits))
     rows = stored(rows, "shard-rows")
 

@@ -154,7 +154,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     Null ids, null vectors and vectors with null, NaN or infinite components take no part. Rows compare with rows of the same
     length; a row with the query's own id is no candidate. Repeated rows of another id each count. Fewer than k candidates
-    give fewer rows; an empty table gives none. Only the two named columns are read. Scores beyond 64 bits saturate. Pivots,
+    give fewer rows; an empty table gives none. Only the two named columns are read; texts take no part. Scores beyond 64 bits saturate. Pivots,
     and the rows that a query meets first, come from the `sample` rows of least hash.
     """
     rows = vectors.withColumn("_query", F.coalesce(is_query, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), "_query")

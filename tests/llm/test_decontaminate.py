@@ -64,3 +64,15 @@ def test_tiles_follow_the_definition(seed):
     got = decontaminate.tile(tokens(" ".join(item)), tokens(" ".join(doc)), 3)
     assert sorted(t[0] for t in got) == sorted(t[0] for t in greedy(item, doc, 3))
     assert all(item[i : i + n] == doc[j : j + n] for n, i, j in got)
+
+
+@pytest.mark.parametrize("held", [10**6, 0])
+def test_long_repeats_and_clashing_columns(spark, held):
+    """An item of one word over and over against a document of it, and columns named like the operator's own."""
+    item = "x " + "a " * 2000 + "y"
+    docs = [(1, "a " * 20_000, True, 1, 1), (2, "b " * 20_000, False, 2, 2), (2, "b " * 20_000, False, 2, 2), (None, "a " * 2001, True, 3, 3), (4, None, None, None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _dirty boolean, _t1 long, key long")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.item_id, r.covered, r.tiles) for r in decontaminate.find(d, b, held_tokens=held).collect()) == [(0, 7, 2000, 1), (1, 7, 2000, 1)]
+    kept = decontaminate.clean(d, b, held_tokens=held)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [2, 2, 4]

@@ -62,3 +62,16 @@ def test_oracle(spark, sf):
     c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     want = sorted(c.sql(queries.LINE_DEDUP_SQL).select("doc_id, n_lines, n_removed, n_near, text").fetchall())
     assert sorted(map(tuple, queries.op1_line_dedup(spark, sf).select("doc_id", "n_lines", "n_removed", "n_near", "text").collect())) == want
+
+
+def test_one_line_in_most_documents(spark, monkeypatch):
+    """A line and a near copy of it in nearly all documents: only the earliest stays, and heavy keys are dealt out."""
+    from tablewright.llm import common
+
+    monkeypatch.setattr(common, "CROWDED", 5)
+    common_line, near = " ".join(f"w{i}" for i in range(45)), " ".join("v" if i == 20 else f"w{i}" for i in range(45))
+    docs = [(i, f"{common_line if i % 2 else near}\nown line number {i} of this text, which has some more words {i}") for i in range(60)] + [(None, common_line), (61, None), (62, ""), (61, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id long, text string, s int")
+    got = {r.s: r.text for r in lines.dedup(df, words_per_edit=20).collect()}
+    assert got[0] == docs[0][1] and all(got[k].startswith("own line") or got[k] == "" for k in range(1, 60)) and got[60] == "" and got[61] is None and got[62] == ""
+    assert lines.dedup(df.where("false"), words_per_edit=20).count() == 0

@@ -203,3 +203,26 @@ def test_shards_match_the_mixture(spark):
     assert sharding.interleave(df.where("false"), 10).count() == 0
     twice = sharding.interleave(df.union(df), 10).collect()
     assert len(twice) == 8000 and {r.size for r in twice} == {16} and {r.text_crc32 for r in twice} == {0}
+
+
+def test_shards_of_rows_without_ids(spark):
+    """Equal rows without doc_id are spread over the groups, and the number of groups follows from the rows."""
+    df = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "'s' as source", "'same' as text")
+    rows = sharding.interleave(df, 7).collect()
+    counts = Counter(r.shard for r in rows)
+    assert len(rows) == 3000 and set(counts) == set(range(7)) and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted(r.position for r in rows) == list(range(3000))
+
+
+def test_quality_query_against_its_rules(spark, sf):
+    """The registered query's columns from the model's rules and statistics in plain Python, for every document."""
+    big = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{big}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.op9_quality_classifier(spark, big).collect()}
+    for d in docs.collect():
+        x = quality._statistics(d.text or "")
+        z = model.intercept + sum(w for rule, w in model.rules if all((x[f] <= cut) == at_most for f, at_most, cut in rule))
+        score = 1 / (1 + np.exp(-min(35, max(-35, z))))
+        r = got[d.doc_id]
+        assert abs(r.score - score) < 1e-9 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
