@@ -41,11 +41,24 @@ def measure(source: DataFrame, column: str, target: DataFrame, key: str, names:
     )
 
 
-def infer(tables: dict[str, DataFrame], info: dict[str, list[ColumnInfo]], min_overlap: float = 0.8, declared: set[tuple[str, str]] = frozenset(), strip_prefix: bool = False) -> DataFrame | None:
-    """All references that names and types allow and whose overlap reaches the threshold; declared ones are not measured."""
-    found: list[Candidate] = [c for c in candidates(info, strip_prefix) if compatible(c.source.type, c.target.type) and (c.source.table, c.source.name) not in declared]
+def infer(
+    tables: dict[str, DataFrame], info: dict[str, list[ColumnInfo]], min_overlap: float = 0.8, declared: set[tuple[str, str]] = frozenset(), strip_prefix: bool = False,
+    references: tuple[tuple[str, str, str, str], ...] = (),
+) -> DataFrame | None:
+    """All references that names and types allow and whose overlap reaches the threshold; declared ones are not measured.
+
+    references (table, column, table, column) are declared ones that come into the result as they are, 1:N and HIGH, with an
+    overlap and share of nulls that are not known.
+    """
+    known = set(declared) | {(t, c) for t, c, _, _ in references}
+    found: list[Candidate] = [c for c in candidates(info, strip_prefix) if compatible(c.source.type, c.target.type) and (c.source.table, c.source.name) not in known]
     rows = [measure(tables[c.source.table], c.source.name, tables[c.target.table], c.target.name, (c.source.table, c.target.table), c.similarity) for c in found]
-    return reduce(DataFrame.unionByName, rows).where(F.col("overlap") >= min_overlap) if rows else None
+    parts = [reduce(DataFrame.unionByName, rows).where(F.col("overlap") >= min_overlap)] if rows else []
+    if references:
+        spark = next(iter(tables.values())).sparkSession
+        told = [(t, c, u, k, None, "1:N", None, 1.0, "HIGH") for t, c, u, k in references]
+        parts.append(spark.createDataFrame(told, "from_table string, from_column string, to_table string, to_column string, overlap double, cardinality string, null_pct double, score double, confidence string"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def orphans(source: DataFrame, column: str, target: DataFrame, key: str) -> DataFrame:

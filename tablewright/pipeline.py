@@ -20,9 +20,10 @@ def analyze(tables: TableSet, max_determinant: int = 3, max_key: int = 4) -> dic
     stats = {(r.table, r.column): r for r in prof.collect()}  # a row per column
     found = {n: dependencies.discover(df, max_size=max_determinant) for n, df in tables.tables.items()}
     types = [semantics.infer(c, r.dtype, (), semantics.Statistics(r.total, r.distinct or 0, r.null_pct, bool(r.is_unique))) for (_, c), r in stats.items()]
+    declared = tuple((n, c, t, k) for n, m in tables.meta.items() for c, t, k in m.foreign_keys)
     return {
         "profile": prof, "scores": profile.table_scores(prof), "dependencies": found, "keys": {n: dependencies.find_keys(df, max_size=max_key) for n, df in tables.tables.items()},
-        "forms": {n: verdict(tables[n].columns, fds)["form"] for n, fds in found.items()}, "references": relationships.infer(tables.tables, tables.infos(), strip_prefix=True), "types": types,
+        "forms": {n: verdict(tables[n].columns, fds)["form"] for n, fds in found.items()}, "references": relationships.infer(tables.tables, tables.infos(), strip_prefix=True, references=declared), "types": types,
     }
 
 

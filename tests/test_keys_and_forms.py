@@ -79,3 +79,14 @@ def test_same_noun(word, table, same):
     from tablewright.plans.names import same_noun
 
     assert same_noun(word, table) == same
+
+
+def test_declared_references_are_told_and_not_measured(spark):
+    from tablewright.operators import relationships
+    from tablewright.plans.names import ColumnInfo
+
+    tables = {"users": spark.createDataFrame([(1,), (2,)], "id int"), "orders": spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "id int, user_id int")}
+    info = {"users": [ColumnInfo("users", "id", "int", True, True, False)], "orders": [ColumnInfo("orders", "id", "int", True, True, False), ColumnInfo("orders", "user_id", "int")]}
+    assert [(r.overlap, r.confidence) for r in relationships.infer(tables, info).collect()] == [(1.0, "HIGH")]
+    got = relationships.infer(tables, info, references=(("orders", "user_id", "users", "id"),)).collect()
+    assert [(r.from_column, r.to_table, r.cardinality, r.overlap, r.confidence) for r in got] == [("user_id", "users", "1:N", None, "HIGH")]
