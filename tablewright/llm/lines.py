@@ -87,6 +87,14 @@ def _chunks(s: Column) -> Column:
     return F.split(s, "\n")
 
 
+def _word_pairs(s: Column) -> Column:
+    """A hash of each different word with its next one."""
+    def of(w: Column) -> Column:
+        return F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda v, x: F.xxhash64(v, x))
+
+    return F.array_distinct(_bind(F.split(s, " "), of))
+
+
 def _least(tokens: Column, n: Column) -> Column:
     return F.slice(F.sort_array(tokens), F.lit(1), n)
 
@@ -150,18 +158,15 @@ def _close_pairs(shared: DataFrame, per: int) -> DataFrame:
 
 
 def _far(long: DataFrame, per: int) -> DataFrame:
-    """(h1, h2) of lines, all with a bound of 2 or more and a crowded key, that an earlier one of them is within."""
-    words = long.select("h1", "h2", (2 * (F.col("n") / per).cast("int")).alias("spare"), F.split("s", " ").alias("w"))
-    two = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda v, w: F.xxhash64(v, w))
-    each = words.select("h1", "h2", "spare", F.array_distinct(two).alias("tokens"))
-    each = each.select("h1", "h2", "spare", F.size("tokens").alias("all"), F.explode("tokens").alias("token"))
+    """(h1, h2) of numbered lines, all with a bound of 2 or more and a crowded key, that an earlier one of them is within."""
+    each = long.select("id", F.explode("tokens").alias("token"))
     often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-tokens")
-    shared = heavy_join(each, often, ["token"], "c").groupBy("h1", "h2", "spare", "all").agg(F.collect_list(F.struct("c", "token")).alias("own"))  # a line's own words
-    alone = F.col("all") - F.size("own")
-    rarest = F.slice(F.sort_array("own"), F.lit(1), F.col("spare") + 1 - alone)
-    keys = stored(shared.where(alone <= F.col("spare")).select("h1", "h2", F.explode(rarest).alias("k")).select("h1", "h2", "k.token"), "line-keys")
-    keys, spent = stored(keys.join(long.select("h1", "h2", "first", "n"), ["h1", "h2"]), "line-keys"), keys
-    dropped(often, spent)
+    shared = heavy_join(each, often, ["token"], "c").groupBy("id").agg(F.collect_list(F.struct("c", "token")).alias("own"))  # a line's own words
+    shared = shared.join(long.select("id", "h1", "h2", "first", "n", F.size("tokens").alias("all")), "id")
+    spare, alone = 2 * (F.col("n") / per).cast("int"), F.col("all") - F.size("own")
+    rarest = F.slice(F.sort_array("own"), F.lit(1), spare + 1 - alone)
+    keys = stored(shared.where(alone <= spare).select("h1", "h2", "first", "n", F.explode(rarest).alias("k")).select("h1", "h2", "first", "n", "k.token"), "line-keys")
+    dropped(often)
     freed(long)
 
     firsts = stored(keys.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1"), "line-firsts")
@@ -256,7 +261,7 @@ def _removals(docs: DataFrame, per: int | None) -> DataFrame:
     spent.append(edited)
     freed(docs)
     if per:
-        long = stored(found.join(crowded, ["h1", "h2"], "left_semi"), "line-long")
+        long = stored(found.join(crowded, ["h1", "h2"], "left_semi").select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "n", "s", _word_pairs(F.col("s")).alias("tokens")), "line-long")
         spent.append(long)
         edited = stored(edited.union(_settled(pairs, found, per, "line-close")).union(_far(long, per)).distinct(), "line-edited")
         spent.append(edited)
