@@ -1,10 +1,12 @@
 """Each stage on its own input against plain Python, and the stages on awkward rows."""
 
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
 from tablewright.llm import neardup
-from tests.llm.test_lines import brute as brute_lines
+from tests.llm.test_lines_bound import distance
 from tests.llm.test_neardup import brute as brute_groups
 
 
@@ -36,6 +38,26 @@ def test_quality_keeps_rows_as_they_are(results, spark, sf):
     assert kept >= 0.95 * before.join(good, "doc_id", "left_semi").count()
 
 
+def brute_lines(docs, per=20):
+    """All pairs of lines under the stage's bound; pairs whose words differ too much are not measured."""
+    every = [(doc, at, tuple(line.split())) for doc, text in docs for at, line in enumerate(text.split("\n"))]
+    counts = [Counter(words) for _, _, words in every]
+    gone, seen = set(), set()
+    for i, (doc, at, x) in enumerate(every):
+        if x in seen:
+            gone.add((doc, at))
+            continue
+        seen.update([x] if x else [])
+        for j in range(i):
+            y = every[j][2]
+            least = min(len(x), len(y))
+            bound = max(1, least // per) if least > 7 else 0
+            if bound and abs(len(x) - len(y)) <= bound and (counts[i] - counts[j]).total() <= bound and distance(x, y) <= bound:
+                gone.add((doc, at))
+                break
+    return ["\n".join(line for at, line in enumerate(text.split("\n")) if (doc, at) not in gone) for doc, text in docs]
+
+
 def test_lines_equal_all_pairs(results):
     _, before, after = results[1]
     docs = rows(before)
