@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, neardup, packing, pii, quality, rollup, sharding, substrings, topk
+from . import decontaminate, lines, neardup, packing, periodic, pii, quality, rollup, sharding, substrings, topk
 from .common import read, scratch
 
 
@@ -88,6 +88,10 @@ def op10_proportional_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(periodic.planted(read(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"token_rollup_words": token_rollup_words}
 
