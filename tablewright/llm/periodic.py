@@ -122,7 +122,7 @@ def runs(ids: np.ndarray) -> list[tuple[int, int, int]]:
         most = max(_served(b))
         keyed = np.flatnonzero(worst <= most) * b
         # within a run of a period of b words or fewer, a block only occurs at multiples of its smallest period
-        keyed = keyed[(known_period[keyed] > b) | (known_end[keyed] < keyed + most + b)]
+        keyed = keyed[(known_period[keyed] > b) | (known_end[keyed] < np.minimum(keyed + most + b, n))]
         if not len(keyed):
             continue
         listed = listed or ids.tolist()
