@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, neardup, packing, periodic, pii, quality, rollup, sharding, substrings, topk
+from . import decontaminate, licenses, lines, neardup, packing, periodic, pii, prefixtree, quality, rollup, sharding, substrings, topk
 from .common import read, scratch
 
 
@@ -96,6 +96,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.find(read(spark, sf_dir, "documents")))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtree.digest(*prefixtree.tree(prefixtree.rebuilt(read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"token_rollup_words": token_rollup_words}
 
