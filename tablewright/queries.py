@@ -327,16 +327,16 @@ _inclusion("inclusion_lineitem_part", "lineitem", "l_partkey", "part", "p_partke
 _inclusion("inclusion_labels_documents", "labels", "doc_id", "documents", "doc_id")
 _inclusion("inclusion_customer_supplier", "customer", "c_custkey", "supplier", "s_suppkey")
 
-DECLARED = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",)}
+DECLARED = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",), "events": ("event_id",), "documents": ("doc_id",), "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",)}
 
 
-def tableset(spark: SparkSession, sf_dir: str, names=("region", "nation", "customer", "supplier", "part", "orders", "lineitem")) -> TableSet:
+def tableset(spark: SparkSession, sf_dir: str, names=tuple(TABLES)) -> TableSet:
     out = TableSet.parquet(spark, sf_dir, list(names))
     out.meta = {n: TableMeta(primary_key=DECLARED.get(n, ())) for n in names}
     return out
 
 
-_FOUND = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+_FOUND = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id")]
 _INFER = " union all ".join(f"select * from ({measure_sql(s, c, t, k, (s, t), 0.85)})" for s, c, t, k in _FOUND)
 
 
@@ -346,13 +346,23 @@ def infer_relationships(spark, sf_dir):
     return relationships.infer(tables.tables, tables.infos(), strip_prefix=True)
 
 
+_DOMAINS = {"int": "i", "bigint": "i", "double": "d", "string": "s"}
+_VALUES = " union all ".join(f"select distinct '{t}' as t, '{c}' as c, '{_DOMAINS.get(k, k)}' as k, cast({c} as varchar) as v from {t} where {c} is not null" for t in TABLES for c, k in fields(t))
+
+
+@query("inclusion_dependencies", f"with v as ({_VALUES}), n as (select t, c, count(*) as n from v group by 1, 2), m as (select a.t, a.c, b.t as u, b.c as d, count(*) as hit from v a join v b on a.k = b.k and a.v = b.v and (a.t <> b.t or a.c <> b.c) group by 1, 2, 3, 4) select m.t as from_table, m.c as from_column, u as to_table, d as to_column, n as n_values, 1.0::double as overlap from m join n on m.t = n.t and m.c = n.c where hit = n")
+def inclusion_dependencies(spark, sf_dir):
+    """Columns of all tables whose values are all in another column."""
+    return relationships.inclusions(tableset(spark, sf_dir).tables)
+
+
 query("orphan_values", "select c_custkey as value, count(*) as n from customer where c_custkey not in (select s_suppkey from supplier) group by 1")(lambda spark, sf_dir: relationships.orphans(read(spark, sf_dir, "customer"), "c_custkey", read(spark, sf_dir, "supplier"), "s_suppkey"))
 
 # ---------------------------------------------------------------- catalog
 
-query("list_tables", " union all ".join(f"select '{t}' as \"table\", (select count(*) from {t}) as rows, cast({len(fields(t))} as integer) as columns" for t in TABLES))(lambda spark, sf_dir: tableset(spark, sf_dir, tuple(TABLES)).list_tables())
+query("list_tables", " union all ".join(f"select '{t}' as \"table\", (select count(*) from {t}) as rows, cast({len(fields(t))} as integer) as columns" for t in TABLES))(lambda spark, sf_dir: tableset(spark, sf_dir).list_tables())
 _COLUMNS = " union all ".join(f"select '{t}' as \"table\", '{c}' as \"column\", {i + 1}::integer as position, '{k}' as type, {str(c not in DECLARED.get(t, ())).lower()} or true as nullable, {str(c in DECLARED.get(t, ())).lower()} as primary_key, cast(null as varchar) as \"references\"" for t in TABLES for i, (c, k) in enumerate(fields(t)))
-query("list_columns", _COLUMNS)(lambda spark, sf_dir: tableset(spark, sf_dir, tuple(TABLES)).list_columns())
+query("list_columns", _COLUMNS)(lambda spark, sf_dir: tableset(spark, sf_dir).list_columns())
 query("adhoc_sql", "select c_mktsegment, count(*) as n from customer where c_acctbal > 5000 group by 1")(lambda spark, sf_dir: tableset(spark, sf_dir).query("select c_mktsegment, count(*) as n from customer where c_acctbal > :least group by 1", {"least": 5000}))
 
 # ---------------------------------------------------------------- quality rules
