@@ -1,11 +1,13 @@
 """Functional dependencies and candidate keys mined from data.
 
 A left side is checked against all right sides in one groupBy: y depends on X where min(y) = max(y) in every group that has a y.
-That needs no distinct counts, so partial aggregation applies. The lattice is walked on the driver; every check is a job.
+That needs no distinct counts, so partial aggregation applies. The lattice is walked on the driver, a job for each level, after a
+bounded sample and counts have refuted what they can.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.dependencies import Dependency, classify
+from . import lattice
 
 DEPENDENCY = "determinant array<string>, dependent string, confidence double, support double, groups bigint, violations bigint, is_partial boolean, is_transitive boolean"
 
@@ -34,28 +37,118 @@ def check(df: DataFrame, determinant: list[str], dependents: list[str]) -> DataF
     return out.select(F.array(*map(F.lit, determinant)).alias("determinant"), "dependent", "groups", "violations", confidence.alias("confidence"))
 
 
-def discover(df: DataFrame, columns: list[str] | None = None, max_size: int = 3, min_confidence: float = 0.95) -> list[Dependency]:
-    """Dependencies with left sides of 1 to max_size columns; a right side that a smaller left side determines is skipped."""
+def _keyed(table: DataFrame, sets: list[tuple[int, tuple[int, ...]]], nulls: bool, ys: list[int]) -> DataFrame:
+    """(s, k1, k2, and the codes of ys): a row for each row of a coded table and numbered set of columns, keyed by 128 bits.
+
+    Rows with a null in the set count (nulls) or are left out.
+    """
+    part = lambda seed, k, xs: F.xxhash64(F.lit(seed), *[F.coalesce(F.col(f"{k}{x}"), F.lit(0)) for x in xs])
+    keys = []
+    for j, xs in sets:
+        key = F.struct(F.lit(j).alias("s"), part(1, "c", xs).alias("k1"), part(2, "d", xs).alias("k2"))
+        keys.append(key if nulls else F.when(F.expr(" and ".join(f"c{x} is not null" for x in xs)), key))
+    rows = table.select(F.explode(F.array(*keys)).alias("k"), *[f"c{y}" for y in ys]).select("k.*", *[f"c{y}" for y in ys])
+    return rows if nulls else rows.where("s is not null")
+
+
+def _branches(wanted: list) -> list[list]:
+    """Numbered parts of a level, small enough to compile well; all of them are one job."""
+    numbered = list(enumerate(wanted))
+    return [numbered[i : i + lattice.BATCH] for i in range(0, len(numbered), lattice.BATCH)]
+
+
+def _counted(table: DataFrame, wanted: list[tuple[tuple[int, ...], list[int]]]) -> list[tuple[int, dict[int, tuple[int, int]]]]:
+    """For each (X, ys) of a coded table: groups of X, and for each y its groups and violations. One job.
+
+    A row goes to the shuffle once for each X, after partial aggregation, as a number, a key of 128 bits and the least and greatest code of each y.
+    """
+    parts = []
+    for branch in _branches(wanted):
+        ys = sorted({y for _, (_, each) in branch for y in each})
+        groups = _keyed(table, [(j, xs) for j, (xs, _) in branch], True, ys).groupBy("s", "k1", "k2").agg(*[f(f"c{y}").alias(f"{name}{y}") for y in ys for f, name in ((F.min, "lo"), (F.max, "hi"))])
+        sums = groups.groupBy("s").agg(F.count(F.lit(1)).alias("groups"), *[F.count(f"lo{y}").alias(f"g{y}") for y in ys], *[F.count_if(F.col(f"lo{y}") != F.col(f"hi{y}")).alias(f"v{y}") for y in ys])
+        parts.append(sums.select("s", "groups", F.array(*[F.struct(F.lit(y).alias("y"), F.col(f"g{y}").alias("g"), F.col(f"v{y}").alias("v")) for y in ys]).alias("each")))
+    got = {r.s: r for r in reduce(DataFrame.unionAll, parts).collect()} if parts else {}  # a row for each X
+    return [(got[j].groups, {e.y: (e.g, e.v) for e in got[j].each}) for j in range(len(wanted))]
+
+
+def _confidence(groups: int, violations: int) -> float:
+    return math.floor((1 - violations / groups) * 10000 + 0.5) / 10000
+
+
+@dataclass
+class Work:
+    """What a search over column sets did: (X, y) or X that pruning left, that a sample or counts refuted, that were counted, and jobs."""
+
+    candidates: int = 0
+    refuted: int = 0
+    counted: int = 0
+    jobs: int = 0
+
+
+def discover(df: DataFrame, columns: list[str] | None = None, max_size: int = 3, min_confidence: float = 0.95, sample: int = lattice.SAMPLE, work: Work | None = None) -> list[Dependency]:
+    """Dependencies with left sides of 1 to max_size columns; a right side that a smaller left side determines is skipped.
+
+    Values are coded once. Each level's left sides are counted by one job, single columns first. From then on a candidate is refuted before any count where a sample of `sample` rows holds so many violations of X -> y
+    that the confidence cannot be reached, X having at most as many groups as the product of its parts'. A left side whose groups
+    are all single rows is a key and determines all, so no superset of it is looked at. Nulls in X form groups like values.
+    """
     columns = list(columns or df.columns)
-    if len(columns) < 2 or df.isEmpty():
+    work = Work() if work is None else work
+    if len(columns) < 2:
         return []
-    base = df.select(*[f"`{c}`" for c in columns]).persist()
+    table = lattice.spread(lattice.coded(df, columns)).persist()
     found: list[Dependency] = []
     try:
-        for size in range(1, min(max_size, len(columns) - 1) + 1):
-            level = []
-            for xs in combinations(columns, size):
-                done = {d.dependent for d in found if set(d.determinant) < set(xs)}
-                ys = [c for c in columns if c not in xs and c not in done]
-                for r in check(base, list(xs), ys).collect() if ys else []:  # a row per right side
-                    if r.confidence is not None and r.confidence >= min_confidence:
-                        level.append(Dependency(xs, r.dependent, r.confidence, r.groups, r.violations))
-            found += level
+        total = table.count()
+        work.jobs += 1
+        if not total:
+            return []
+        n, groups = len(columns), {}
+        seen = None
+        for size in range(1, min(max_size, n - 1) + 1):
+            wanted = []
+            for xs in combinations(range(n), size):
+                names = {columns[x] for x in xs}
+                done = {d.dependent for d in found if set(d.determinant) < names}
+                ys = [y for y in range(n) if y not in xs and columns[y] not in done]
+                work.candidates += len(ys)
+                if size > 1 and ys:
+                    if seen is None:
+                        seen = lattice.Sample(table, total, n, sample)
+                        work.jobs += 1 if seen.whole else 2
+                    most = min(total, *(math.prod(groups[part] for part in parts) for parts in _splits(xs, groups)))
+                    against = seen.violations(xs, ys)
+                    kept = [y for y, v in zip(ys, against) if not v or _confidence(max(most, v), v) >= min_confidence]
+                    work.refuted += len(ys) - len(kept)
+                    ys = kept
+                if ys:
+                    wanted.append((xs, ys))
+            work.jobs += bool(wanted)
+            for (xs, ys), (groups[xs], each) in zip(wanted, _counted(table, wanted)):
+                work.counted += len(ys)
+                for y in ys:
+                    g, v = each[y]
+                    if g and (c := _confidence(g, v)) >= min_confidence:
+                        found.append(Dependency(tuple(columns[x] for x in xs), columns[y], c, g, v))
     finally:
-        base.unpersist()
+        table.unpersist()
     return sorted(classify(found), key=lambda d: (len(d.determinant), -d.confidence, d.determinant, d.dependent))
 
 
+def _splits(xs: tuple[int, ...], groups: dict[tuple[int, ...], int]) -> list[list[tuple[int, ...]]]:
+    """Ways to cut X into single columns, and into one counted part and single columns."""
+    out = [[(x,) for x in xs]]
+    for size in range(2, len(xs)):
+        out += [[part, *((x,) for x in xs if x not in part)] for part in combinations(xs, size) if part in groups]
+    return out
+
+
+def verify(df: DataFrame, determinant: list[str], dependent: str, min_confidence: float = 0.95) -> DataFrame:
+    """The dependency's row of check() if it reaches the confidence, else none."""
+    return check(df, determinant, [dependent]).where(F.col("confidence") >= min_confidence)
+
+
 def as_frame(spark, found: list[Dependency]) -> DataFrame:
     return spark.createDataFrame([(list(d.determinant), d.dependent, d.confidence, d.confidence, d.groups, d.violations, d.partial, d.transitive) for d in found], DEPENDENCY)
 
@@ -88,20 +181,55 @@ def check_keys(df: DataFrame, combos: list[list[str]]) -> DataFrame:
     return out.select("columns", F.col("d").alias("distinct_keys"), F.when(F.col("n") > 0, F.col("d") / F.col("n")).otherwise(0.0).alias("uniqueness"), F.when(F.col("total") > 0, (F.col("total") - F.col("n")) * 100.0 / F.col("total")).otherwise(0.0).alias("null_pct"))
 
 
-def find_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 4, min_uniqueness: float = 1.0, max_null_pct: float = 0.0, batch: int = 8) -> list[Key]:
-    """Column sets that are unique and without nulls, by size; supersets of a key are skipped."""
+def find_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 4, min_uniqueness: float = 1.0, max_null_pct: float = 0.0, sample: int = lattice.SAMPLE, work: Work | None = None) -> list[Key]:
+    """Column sets that are unique and without nulls, by size; supersets of a key are skipped.
+
+    Values are coded once. Before any count of a set, it is refuted where one of its columns has too many nulls, where its parts
+    have too few values for that many rows, or (for full uniqueness) where two rows of a sample agree on it. What is left of a
+    level is counted by one job.
+    """
     columns = list(columns or df.columns)
-    base = df.select(*[f"`{c}`" for c in columns]).persist()
+    work = Work() if work is None else work
+    table = lattice.spread(lattice.coded(df, columns)).persist()
     keys: list[Key] = []
     try:
-        for size in range(1, min(max_size, len(columns)) + 1):
-            combos = [list(c) for c in combinations(columns, size) if not any(set(k.columns) <= set(c) for k in keys)]
-            level = []
-            for i in range(0, len(combos), batch):
-                for r in check_keys(base, combos[i : i + batch]).collect():  # a row per column set
-                    if r.uniqueness >= min_uniqueness and r.null_pct <= max_null_pct and r.distinct_keys:
-                        level.append(Key(tuple(r.columns), r.uniqueness, r.null_pct))
-            keys += level
+        n = len(columns)
+        row = table.agg(F.count(F.lit(1)).alias("total"), *[F.count(f"c{i}").alias(f"n{i}") for i in range(n)]).first()
+        work.jobs += 1
+        total, filled = row.total, [row[f"n{i}"] for i in range(n)]
+        if not total:
+            return []
+        seen = lattice.Sample(table, total, n, sample) if min_uniqueness >= 1 else None
+        work.jobs += (1 if seen.whole else 2) if seen else 0
+        values: dict[tuple[int, ...], int] = {}
+        for size in range(1, min(max_size, n) + 1):
+            wanted = []
+            for xs in lattice.level(range(n), [frozenset(columns.index(c) for c in k.columns) for k in keys], size):
+                work.candidates += 1
+                least = total - sum(total - filled[x] for x in xs)  # rows without a null in X, at least
+                few = size > 1 and all((x,) in values for x in xs) and min(math.prod(values[p] for p in parts) for parts in _splits(xs, values)) < min_uniqueness * least
+                if any((total - filled[x]) * 100.0 / total > max_null_pct for x in xs) or few or seen and seen.repeats(xs):
+                    work.refuted += 1
+                else:
+                    wanted.append(xs)
+            work.jobs += bool(wanted)
+            work.counted += len(wanted)
+            for xs, (values[xs], whole) in zip(wanted, _distinct(table, wanted)):
+                uniqueness, null_pct = values[xs] / whole if whole else 0.0, (total - whole) * 100.0 / total
+                if whole and uniqueness >= min_uniqueness and null_pct <= max_null_pct:
+                    keys.append(Key(tuple(columns[x] for x in xs), uniqueness, null_pct))
     finally:
-        base.unpersist()
+        table.unpersist()
     return keys
+
+
+def _distinct(table: DataFrame, sets: list[tuple[int, ...]]) -> list[tuple[int, int]]:
+    """For each set of columns of a coded table: its distinct values, and the rows without a null in it. One job."""
+    parts = [_keyed(table, branch, False, []).groupBy("s", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("whole")) for branch in _branches(sets)]
+    got = {r.s: (r.distinct, r.whole) for r in reduce(DataFrame.unionAll, parts).collect()} if parts else {}  # a row for each set
+    return [got.get(j, (0, 0)) for j in range(len(sets))]
+
+
+def find_single_keys(df: DataFrame, columns: list[str] | None = None, min_uniqueness: float = 1.0, max_null_pct: float = 0.0) -> list[Key]:
+    """Keys of one column."""
+    return find_keys(df, columns, 1, min_uniqueness, max_null_pct)

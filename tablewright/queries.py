@@ -223,8 +223,30 @@ query("fd_check_with_nulls", fd_sql(f"({HOLED})", ["o_custkey"], ["o_orderstatus
 query("fd_violations_lineitem", "select l.* from lineitem l join (select l_orderkey, l_linenumber from lineitem group by 1, 2 having count(distinct l_partkey) > 1) using (l_orderkey, l_linenumber) order by l_orderkey, l_linenumber, l_partkey, l_suppkey limit 100")(
     lambda spark, sf_dir: dependencies.violations(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey", tie=["l_suppkey"])
 )
-query("fd_discover_nation")(lambda spark, sf_dir: dependencies.as_frame(spark, dependencies.discover(read(spark, sf_dir, "nation"))))
-query("fd_discover_documents")(lambda spark, sf_dir: dependencies.as_frame(spark, dependencies.discover(read(spark, sf_dir, "documents"))))
+
+
+def discover_sql(table: str, most: int = 3, least: float = 0.95) -> str:
+    """Dependencies of every left side of up to `most` columns, but for those that a smaller left side has."""
+    names = [c for c, _ in fields(table)]
+    parts = []
+    for xs in (xs for size in range(1, min(most, len(names) - 1) + 1) for xs in combinations(names, size)):
+        ys = [c for c in names if c not in xs]
+        each = ", ".join(f"count(distinct {y}) as d{i}" for i, y in enumerate(ys))
+        told = ", ".join(f"count(*) filter (where d{i} > 0) as g{i}, count(*) filter (where d{i} > 1) as v{i}" for i in range(len(ys)))
+        inner = f"(select {told} from (select {each} from {table} group by {', '.join(xs)}))"
+        parts += [f"select [{', '.join(map(repr, xs))}] as determinant, '{y}' as dependent, g{i} as groups, v{i} as violations from {inner}" for i, y in enumerate(ys)]
+    return f"""with c as ({" union all ".join(parts)}), f as (select *, floor((1 - violations / groups) * 10000 + 0.5) / 10000 as confidence from c where groups > 0),
+    k as (select * from f where confidence >= {least}), m as (select * from k where not exists (select 1 from k s where s.dependent = k.dependent and len(s.determinant) < len(k.determinant) and list_has_all(k.determinant, s.determinant)))
+    select determinant, dependent, confidence, confidence as support, groups, violations, len(determinant) > 1 and exists (select 1 from m s where s.dependent = m.dependent and len(s.determinant) = 1 and list_has_all(m.determinant, s.determinant)) as is_partial,
+    exists (select 1 from m s where list_contains(m.determinant, s.dependent) and s.determinant <> m.determinant and not list_has_all(s.determinant, m.determinant)) as is_transitive from m"""
+
+
+def _discovered(table: str):
+    return lambda spark, sf_dir: dependencies.as_frame(spark, dependencies.discover(read(spark, sf_dir, table)))
+
+
+for _t in ("nation", "documents", "region", "customer", "supplier", "orders", "pages", "labels", "conversations"):
+    query(f"fd_discover_{_t}", discover_sql(_t))(_discovered(_t))
 
 KEY_SETS = [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey"], ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]]
 
@@ -257,16 +279,18 @@ def _keys(table: str):
     return run
 
 
-for _t in ("orders", "nation", "conversations"):
+for _t in TABLES:
     query(f"candidate_keys_{_t}", keys_sql(_t))(_keys(_t))
 
 
-_OWN = {"region": "r_regionkey", "nation": "n_nationkey", "orders": "o_orderkey"}
+#: Tables and the key that the names recommend among those found.
+_OWN = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id"}
 
 
-@query("recommended_keys", " union all ".join(f"select '{t}' as \"table\", ['{c}'] as columns from {t} having count(distinct {c}) = count(*)" for t, c in _OWN.items()))
+@query("recommended_keys", " union all ".join(f"select * from ({keys_sql(t)}) where columns = ['{c}']" for t, c in _OWN.items()))
 def recommended_keys(spark, sf_dir):
-    found = {t: dependencies.find_keys(read(spark, sf_dir, t), max_size=2) for t in _OWN}
+    """The recommended one of all keys of up to four columns."""
+    found = {t: dependencies.find_keys(read(spark, sf_dir, t)) for t in _OWN}
     return spark.createDataFrame([(t, list(keys.recommend(k, table=t).columns)) for t, k in found.items()], "table string, columns array<string>")
 
 
