@@ -42,7 +42,7 @@ ALL = KINDS + FOUND
 
 #: High-recall generators; their spans may overlap each other and the base spans.
 EXTRA = (
-    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}+)++"),
+    ("email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)++"),
     ("ip", r"(?<![0-9])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)|\[dot\]| dot )[0-9]{1,3}+){3}(?![0-9])"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){1,6}:(?:[0-9A-Fa-f]{1,4}+:){0,5}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])"),
@@ -51,15 +51,16 @@ EXTRA = (
     ("card", r"(?<![0-9])[0-9]{4}+[ -][0-9]{6}+[ -][0-9]{5}+(?![0-9])"),
     ("phone", r"(?<![0-9+])(?:00|011[ -]?)[1-9][0-9 ().-]{7,20}[0-9]"),
     ("phone", r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("secret", r"(?i)(?<=[=:]|[=:][ \"']|[=:] [\"'])[A-Za-z0-9_/+.!@#$%^&*~-]{8,200}+=*+"),
-    ("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{20,200}+=*+"),
+    ("secret", r"(?i)(?<=[=:]|[=:][ \"']|[=:] [\"'])[A-Za-z0-9_/+.!@#$%^&*~-]{8,}+=*+"),
+    ("secret", r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{20,}+=*+"),
+    ("secret", r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?![A-Za-z0-9_.-])"),
     ("id", r"(?<![0-9-])[0-9]{3}+-[0-9]{2}+-[0-9]{4}+(?![0-9-])"),
     ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 )
 EXTRA_NEEDS = {
     "email": r"(?i)[(\[ ]at[)\] ]", "ip": r"(?i)[0-9](?:\[|\(| dot)|[0-9a-f]:[0-9a-f:]{0,4}:", "card": r"[0-9]{4}",
     "phone": r"[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:00|011[ -]?)[1-9]",
-    "secret": r"(?i)(?:token|secret|passw|pwd|key|auth|bearer|credential|api)|[A-Za-z0-9_/+-]{20}", "id": r"[0-9]{3}-[0-9]{2}-|[A-Z]{2}[0-9]{2}",
+    "secret": r"(?i)(?:token|secret|passw|pwd|key|auth|bearer|credential|api)|[A-Za-z0-9_/+-]{20}|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{8,}+\.", "id": r"[0-9]{3}-[0-9]{2}-|[A-Z]{2}[0-9]{2}",
 }
 
 #: Words that often stand before each kind of number, and words that stand before other numbers.
@@ -223,7 +224,7 @@ def _snippets(rows: int, seed: int, contexts: dict[str, tuple[str, ...]]) -> lis
             a, b, c = number(3, "23456789"), number(3, "23456789"), number(4)
             return r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{number(2)} {a} {b} {c}", f"011 {number(2)} {a} {b} {c}"))
         if kind == "secret":
-            return r.choice((of(hexes, r.choice((24, 32, 40, 64))), of(letters + "0123456789", r.randint(20, 60)), of(letters + "0123456789!#%*-_", r.randint(9, 20)), "AK" + of(letters[:26] + "0123456789", 18)))
+            return r.choice((of(hexes, r.choice((24, 32, 40, 64))), of(letters + "0123456789", r.randint(20, 60)), of(letters + "0123456789!#%*-_", r.randint(9, 20)), "AK" + of(letters[:26] + "0123456789", 18), of(letters + "0123456789", r.randint(60, 900)), ".".join("eyJ" * (i < 2) + of(letters + "0123456789_-", r.randint(12, 400)) for i in range(3))))
         return f"{number(3)}-{number(2)}-{number(4)}" if r.random() < 0.5 else r.choice(("DE", "ES", "FR", "GB")) + number(2) + "".join(r.choice(("", " ")) + number(4) for _ in range(4))
 
     def other(kind: str) -> str:
@@ -233,7 +234,7 @@ def _snippets(rows: int, seed: int, contexts: dict[str, tuple[str, ...]]) -> lis
             "ip": lambda: r.choice((f"{a} dot {b} dot {a} dot {b}", f"{a[:2]}:{b[:2]}:{c[:2]}:{a}::{b}", "::".join((word(), a[:1], b[:1])), f"{of(hexes, 2)}::{word()}")),
             "card": lambda: number(r.choice((13, 14, 15, 16, 17, 18))) if r.random() < 0.6 else r.choice("- ").join(number(4) for _ in range(4)),
             "phone": lambda: r.choice((f"{a}.{b}.{c}", f"{a}-{b}-{c}", f"00{number(11)}", f"{a}{b}-{c}")),
-            "secret": lambda: r.choice((f"{word()}/{word()}-{number(2)}/{word()}{word()}{word()}", f"{word()}_{word()}_{word()}_{word()}{number(1)}_{word()}", of(hexes, 40), f"{word()}{word()}{word()}", f"{number(4)}-{number(2)}-{number(2)}-{word()}-{word()}-{word()}")),
+            "secret": lambda: r.choice((f"{word()}/{word()}-{number(2)}/{word()}{word()}{word()}", f"{word()}_{word()}_{word()}_{word()}{number(1)}_{word()}", of(hexes, 40), f"{word()}{word()}{word()}", "/".join(word() for _ in range(r.randint(5, 120))), f"{word()}{word()}.{word()}{word()}{word()}.{word()}{word()}{word()}", f"{number(4)}-{number(2)}-{number(2)}-{word()}-{word()}-{word()}")),
             "id": lambda: r.choice((f"{a}-{b[:2]}-{c}", f"{of(letters[:26], 2)}{number(2)} {of(letters[:26], 4)} {of(letters[:26], 4)}", f"AB{number(2)}{number(4)}{number(4)}")),
         }[kind]()
 

@@ -86,6 +86,26 @@ def test_added_spans_on_planted_texts(spark, spans):
     assert precision >= 0.9 and recall >= 0.7
 
 
+def test_long_secrets_are_redacted_whole(spark, spans):
+    """No secret is cut at some length: one token, a signed token of three parts, with and without a word before it."""
+    r = __import__("random").Random(9)
+    of = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    ways, found, left = [], [], []
+    for n in (40, 60, 150, 300, 1200, 5000):
+        for _ in range(10):
+            signed = ".".join(of(max(12, n // 3)) for _ in range(3))
+            ways += [(n, f'token = "{(s := of(n))}" dolor', s), (n, f"the api_key: {(s := of(n))} sit", s), (n, f"authorization bearer {signed} amet", signed), (n, f'secret="{signed}"', signed)]
+    rows = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(ways)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redacted(pii.find(rows, spans)).collect()}
+    for i, (n, _, s) in enumerate(ways):
+        found.append((n, s not in clean[i]))
+        left.append(max((len(w) for w in re.findall("[A-Za-z0-9]+", clean[i])), default=0))
+    by = {n: sum(hit for m, hit in found if m == n) / 40 for n in (40, 60, 150, 300, 1200, 5000)}
+    print(by)
+    assert min(by.values()) >= 0.9
+    assert all(width < 30 for (n, hit), width in zip(found, left) if hit)  # no tail of a secret stays
+
+
 def test_secrets_of_documents(spark, sf, spans):
     texts = pq.read_table(f"{sf}/documents.parquet".replace("sf0.001", "sf0.01")).to_pylist()
     want = {(d["doc_id"], m.start(1), m.end(1)) for d in texts for m in re.finditer(r'token = "([0-9a-f]{40})"', d["text"])}
