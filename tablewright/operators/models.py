@@ -23,8 +23,9 @@ def join_on(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], kee
 
 
 def dimension(df: DataFrame, name: str, key: list[str], attributes: list[str]) -> DataFrame:
-    """`<name>_key` (hash of the key columns), the natural key and the attributes; one row per key."""
-    rows = df.select(*key, *attributes).dropDuplicates(key)
+    """`<name>_key` (hash of the key columns), the natural key and the attributes; one row per key, of several the least."""
+    least = df.groupBy(*key).agg(F.min(F.struct(*attributes)).alias("_least")) if attributes else df.select(*key).distinct()
+    rows = least.select(*key, *[F.col(f"_least.`{a}`").alias(a) for a in attributes])
     return rows.select(surrogate_key(*key).alias(f"{name}_key"), *key, *attributes)
 
 

@@ -1,12 +1,13 @@
 """Column and table profiles in a few scans per table.
 
 All plain statistics of all columns come from one aggregation; exact distinct counts read one column each beside it, and exact
-quantiles two scans more. The wide result is one row; it is turned into one row per column inside the plan. Only the sketches
-that bracket quantiles, a few numbers for each column, come to the driver.
+quantiles a sample and two scans more, or further ones over narrower intervals on large tables. The wide result is one row; it is
+turned into one row per column inside the plan. Only ends and counts of intervals, a few numbers for each column, come to the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,8 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.floor(part * 10000.0 / whole + 0.5) / 100.0)
 
 
-#: Relative rank error of the sketches that bracket exact quantiles.
-SKETCH = 10_000
+#: Relative rank error of the sketches that propose the ends of intervals.
+SKETCH = 2_000
 
 
 def _statistics(field: T.StructField, approximate: bool) -> dict[str, Column]:
@@ -48,7 +49,7 @@ def _statistics(field: T.StructField, approximate: bool) -> dict[str, Column]:
     return out
 
 
-def _distinct(df: DataFrame, fields: list[T.StructField], hashed: bool) -> DataFrame:
+def distinct_counts(df: DataFrame, fields: list[T.StructField], hashed: bool = False) -> DataFrame:
     """(position, distinct) by column; hashed counts from sketches instead (about 2 % off).
 
     Each exact count reads its own column alone and merges equal values before they are shuffled.
@@ -60,40 +61,113 @@ def _distinct(df: DataFrame, fields: list[T.StructField], hashed: bool) -> DataF
     return reduce(DataFrame.unionByName, each)
 
 
-def _quantiles(df: DataFrame, names: list[str], shares: dict[str, float] = QUANTILES, accuracy: int = SKETCH) -> DataFrame:
-    """(name, k, value): exact interpolated quantiles of numeric columns in bounded memory; nulls and NaN take no part.
-
-    One aggregation of sketches brackets the two order statistics of each quantile. A second pass counts what is below each
-    bracket and how often each value inside it occurs, a few rows in ten thousand and their ties, which are merged before the
-    shuffle.
+#: Values of a bracket that are sorted one by one, and values of a sample that draws brackets.
+FEW = 100_000
+SAMPLED = 100_000
+
+
+@dataclass
+class _Sought:
+    """Two neighbouring order statistics of a column, as far as they are known, and the open interval that holds what is not."""
+
+    name: str
+    label: str
+    ranks: tuple[int, int]
+    part: float
+    low: float = float("-inf")
+    high: float = float("inf")
+    inside: int = 0
+    below: int = 0
+    found: dict[int, float] = field(default_factory=dict)
+    ends: tuple[float, float] | None = None
+
+    @property
+    def open(self) -> bool:
+        return any(r not in self.found for r in self.ranks)
+
+    def settle(self, below: int, at_low: int, inside: int, at_high: int) -> None:
+        """Take the counts of what lies below, at and between the proposed ends: ranks in a tie at an end are known."""
+        low, high = self.ends
+        steps = (below, below + at_low, below + at_low + inside, below + at_low + inside + at_high)
+        for r in self.ranks:
+            if r in self.found:
+                continue
+            if steps[0] <= r < steps[1]:
+                self.found[r] = low
+            elif steps[2] <= r < steps[3]:
+                self.found[r] = high
+        left = [r for r in self.ranks if r not in self.found]
+        if not left:
+            return
+        total = self.below + self.inside
+        if left[0] < steps[0]:  # the sample was off: what is sought lies before the ends, or behind them
+            self.high, self.inside = low, steps[0] - self.below
+        elif left[0] >= steps[3]:
+            self.low, self.below, self.inside = high, steps[3], total - steps[3]
+        else:
+            self.low, self.high, self.below, self.inside = low, high, steps[1], inside
+
+
+def _quantiles(df: DataFrame, names: list[str], shares: dict[str, float] = QUANTILES, accuracy: int = SKETCH, few: int | None = None, sampled: int | None = None) -> DataFrame:
+    """(name, k, value): exact interpolated quantiles of numeric columns by selection in narrowing passes; nulls and NaN take no part.
+
+    A sketch of a sample proposes ends on both sides of each quantile, and a pass counts what lies below, at and between them.
+    The interval that holds the rank, ties at its ends left out, is narrowed again in the same way until it has `few` values;
+    then these alone are sorted. A pass is one plan that reads each column by itself; none shuffles rows but the last, and a
+    proposal that missed only costs a pass. Memory is bounded whatever the table's size.
     """
     spark = df.sparkSession
-    x = {n: F.when(~F.isnan(F.col(f"`{n}`").cast("double")), F.col(f"`{n}`").cast("double")) for n in names}
-    slack = [min(1.0, max(0.0, p + d / accuracy)) for p in shares.values() for d in (-2, 2)]
-    told = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(x.values())], *[F.percentile_approx(c, slack, accuracy).alias(f"q{i}") for i, c in enumerate(x.values())]).first()
-    known, brackets = [], []
+    few, sampled = FEW if few is None else few, SAMPLED if sampled is None else sampled
+    real = lambda c: F.when(~F.isnan(c), c)
+    x = {n: real(F.col(f"`{n}`").cast("double")) if df.schema[n].dataType.typeName() in ("double", "float") else F.col(f"`{n}`").cast("double") for n in names}
+    column = {n: df.select(c.alias("x")) for n, c in x.items()}
+    told = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(x.values())]).first()
+    sought = []
     for i, name in enumerate(names):
-        n = told[f"n{i}"]
-        for k, (label, p) in enumerate(shares.items()):
-            if not n:
-                continue
-            place = p * (n - 1)
-            few = n <= 10 * accuracy  # a bracket would not reach from one rank to the next
-            low, high = (float("-inf"), float("inf")) if few else (told[f"q{i}"][2 * k], told[f"q{i}"][2 * k + 1])
-            if low == high:
-                known.append((name, label, low))
-            else:
-                brackets.append((name, label, low, high, int(place), int(place) + (place > int(place)), place - int(place)))
-    out = spark.createDataFrame(known, "name string, k string, value double")
-    if not brackets:
+        for label, p in shares.items():
+            if n := told[f"n{i}"]:
+                place = p * (n - 1)
+                sought.append(_Sought(name, label, (int(place), int(place) + (place > int(place))), place - int(place), inside=n))
+    within = lambda b: (F.col("x") > b.low) & (F.col("x") < b.high) if b.low > float("-inf") or b.high < float("inf") else F.col("x").isNotNull()
+    while wide := [b for b in sought if b.open and b.inside > few]:
+        groups: dict[tuple, list[_Sought]] = {}
+        for b in wide:
+            groups.setdefault((b.name, b.low, b.high, b.inside), []).append(b)
+        drawn = []
+        for i, ((name, *_, inside), g) in enumerate(groups.items()):
+            slack = 2.5 / min(inside, sampled) ** 0.5 + 2 / accuracy
+            aims = [min(1.0, max(0.0, (r - b.below) / inside + d)) for b in g for left in [[r for r in b.ranks if r not in b.found]] for r, d in ((left[0], -slack), (left[-1], slack))]
+            rows = column[name].where(within(g[0]))
+            rows = rows.sample(sampled / inside, seed=11) if inside > 2 * sampled else rows
+            drawn.append(rows.agg(F.percentile_approx("x", aims, accuracy).alias("ends")).select(F.lit(i).alias("i"), "ends"))
+        ends = {r.i: r.ends for r in reduce(DataFrame.unionAll, drawn).collect()}  # a row for each interval
+        counts = []
+        for i, g in enumerate(groups.values()):
+            for k, b in enumerate(g):  # a sample without rows proposes nothing new: the whole interval is sorted then
+                b.ends = tuple(ends[i][2 * k : 2 * k + 2]) if ends[i] else None
+            marks = sorted({e for b in g if b.ends for e in b.ends})
+            if marks:
+                counts.append(column[g[0].name].agg(*[c.alias(f"c{m}{d}") for m, e in enumerate(marks) for d, c in (("a", F.count_if(F.col("x") < e)), ("b", F.count_if(F.col("x") <= e)))]).select(F.lit(i).alias("i"), F.array(*[F.struct(F.lit(e).alias("mark"), F.col(f"c{m}a").alias("under"), F.col(f"c{m}b").alias("upto")) for m, e in enumerate(marks)]).alias("marks")))
+        at = {(r.i, m.mark): (m.under, m.upto) for r in (reduce(DataFrame.unionAll, counts).collect() if counts else []) for m in r.marks}  # a row for each interval
+        for i, g in enumerate(groups.values()):
+            for b in g:
+                if b.ends:
+                    (low, upto_low), (high, upto_high) = at[i, b.ends[0]], at[i, b.ends[1]]
+                    b.settle(low, upto_low - low, max(0, high - upto_low), upto_high - high if b.ends[1] > b.ends[0] else 0)
+        if not counts:
+            break
+    done = [(b.name, b.label, b.found[b.ranks[0]] + (b.found[b.ranks[1]] - b.found[b.ranks[0]]) * b.part) for b in sought if not b.open]
+    out = spark.createDataFrame(done, "name string, k string, value double")
+    left = [b for b in sought if b.open]
+    if not left:
         return out
-    terms = spark.createDataFrame([(j, names.index(b[0]), *b[:6], float(b[6])) for j, b in enumerate(brackets)], "j int, i int, name string, k string, low double, high double, lower long, upper long, part double")
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(names.index(n)).alias("i"), c.alias("x")) for n, c in x.items()])).alias("r")).select("r.i", "r.x").where("x is not null")
-    # what is below a bracket counts as one value, before those inside
-    counts = values.join(F.broadcast(terms.select("i", "j", "low", "high")), "i").where("x <= high").groupBy("j", F.when(F.col("x") >= F.col("low"), F.col("x")).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("j").orderBy(F.asc_nulls_first("x"))))  # one bracket
-    at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("x")))
-    found = running.join(F.broadcast(terms), "j").groupBy("name", "k", "part").agg(at("lower").alias("a"), at("upper").alias("b"))
+    ranks = {j: [r - b.below if r not in b.found else None for r in b.ranks] for j, b in enumerate(left)}
+    terms = spark.createDataFrame([(j, b.name, b.label, b.part, *ranks[j], *[b.found.get(r) for r in b.ranks]) for j, b in enumerate(left)], "j int, name string, k string, part double, lower long, upper long, first double, second double")
+    parts = [column[b.name].where(within(b)).select(F.lit(j).alias("j"), "x") for j, b in enumerate(left)]
+    counts = reduce(DataFrame.unionAll, parts).groupBy("j", "x").agg(F.count(F.lit(1)).alias("n"))
+    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("j").orderBy("x")))  # the last interval of one quantile
+    at = lambda rank, known: F.coalesce(F.max(known), F.min(F.when(F.col("upto") > F.col(rank), F.col("x"))))
+    found = running.join(F.broadcast(terms), "j").groupBy("name", "k", "part").agg(at("lower", "first").alias("a"), at("upper", "second").alias("b"))
     return out.unionByName(found.select("name", "k", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value")))
 
 
@@ -122,7 +196,7 @@ def columns(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
     # from here on every table has a row per column
     places = F.create_map(*[F.lit(x) for i, f in enumerate(countable) for x in (i, fields.index(f))]) if countable else None
     if countable:
-        distinct = _distinct(df, countable, approximate).select(places[F.col("position")].alias("position"), F.col("distinct").cast("long").alias("distinct"))
+        distinct = distinct_counts(df, countable, approximate).select(places[F.col("position")].alias("position"), F.col("distinct").cast("long").alias("distinct"))
         out = out.join(F.broadcast(distinct), "position", "left")
     else:
         out = out.withColumn("distinct", F.lit(None).cast("long"))
@@ -167,10 +241,27 @@ def histogram(df: DataFrame, column: str, buckets: int = 20) -> DataFrame:
     return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
+#: Values below the bound of a bottom-k sample for each value that is wanted.
+_SPARE = 8
+
+
 def sample_values(df: DataFrame, column: str, k: int = 100) -> DataFrame:
-    """k distinct non-null values in pseudo-random but repeatable order (md5 of the value as text)."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
-    return values.orderBy(F.md5("value"), "value").limit(k)
+    """k distinct non-null values in pseudo-random but repeatable order: those with the least MD5 of their text (ties: the lesser text).
+
+    A bottom-k sketch: an approximate count of distinct values bounds the share of the hash range that holds the k least with
+    room to spare, and only rows below the bound are made distinct and sorted. Each bound is checked by counting, and
+    raised where it was too low, so the result is exact.
+    """
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).withColumn("_md5", F.md5("value"))
+    distinct = values.agg(F.approx_count_distinct("value")).first()[0]
+    share = min(1.0, _SPARE * (k + 10) / max(1, distinct))
+    while share < 1.0:
+        bound = f"{int(share * 16**12):012x}"
+        if values.where(F.col("_md5") < bound).select("value").distinct().limit(k).count() == k:
+            values = values.where(F.col("_md5") < bound)
+            break
+        share *= 16
+    return values.distinct().orderBy("_md5", "value").limit(k).select("value")
 
 
 def patterns(df: DataFrame, column: str, table: dict[str, str] = PROFILE) -> DataFrame:
@@ -200,10 +291,29 @@ def primary_key_guess(profile: DataFrame) -> DataFrame:
     return ok.groupBy("table").agg(F.min_by("column", "position").alias("primary_key"))
 
 
-def foreign_key_guesses(profile: DataFrame) -> DataFrame:
-    """Columns named like a reference (`*_id`) that are not unique."""
+def best_patterns(df: DataFrame, name: str, table: dict[str, str] = PROFILE) -> DataFrame:
+    """(table, column, pattern, pct): of each text column that matches any pattern, the one with the greatest share, in one scan."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not texts:
+        return df.sparkSession.createDataFrame([], "table string, column string, pattern string, pct double")
+    wide = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(texts)], *[F.count_if(F.col(f"`{c}`").rlike(r)).alias(f"n{i}_{k}") for i, c in enumerate(texts) for k, r in table.items()])
+    each = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("pattern"), F.lit(-j).alias("order"), F.col(f"n{i}_{k}").alias("n"), F.col(f"v{i}").alias("values")) for i, c in enumerate(texts) for j, k in enumerate(table)]
+    found = wide.select(F.explode(F.array(*each)).alias("p")).select("p.*").where("n > 0")
+    best = found.groupBy("column").agg(F.max(F.struct("n", "order", "pattern", "values")).alias("b"))
+    return best.select(F.lit(name).alias("table"), "column", "b.pattern", percent(F.col("b.n"), F.col("b.values")).alias("pct"))
+
+
+def foreign_key_guesses(profile: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Columns named like a reference (`*_id`) that are not unique (medium), and columns of UUIDs that are not unique (low).
+
+    patterns are best_patterns(); a column holds UUIDs where over 95 % of its values do.
+    """
     name = F.lower("column")
-    return profile.where(name.endswith("_id") & ~F.col("is_unique") & (F.length(name) > 3)).select("table", "column", F.expr("left(lower(column), length(column) - 3)").alias("potential_reference"), F.lit("medium").alias("confidence"))
+    out = profile.where(name.endswith("_id") & ~F.col("is_unique") & (F.length(name) > 3)).select("table", "column", F.expr("left(lower(column), length(column) - 3)").alias("potential_reference"), F.lit("medium").alias("confidence"))
+    if patterns is None:
+        return out
+    uuids = profile.where(~F.col("is_unique")).join(F.broadcast(patterns.where("pattern = 'uuid' and pct > 95").select("table", "column")), ["table", "column"])  # a row per column
+    return out.unionByName(uuids.select("table", "column", F.lit("unknown").alias("potential_reference"), F.lit("low").alias("confidence")))
 
 
 def light(df: DataFrame, name: str) -> DataFrame:
@@ -242,7 +352,7 @@ def strict_patterns(df: DataFrame, column: str, rules, least_pct: float = 50.0)
     return ranked.select("pattern", "n", percent(F.col("n"), F.col("values")).alias("pct"), level.alias("confidence"), "rank")
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], accuracy: int = SKETCH) -> list[float | None]:
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], accuracy: int = SKETCH, few: int | None = None, sampled: int | None = None) -> list[float | None]:
     """The exact interpolated quantiles of one numeric column, in bounded memory; None where it has no value."""
-    found = {r.k: r.value for r in _quantiles(df, [column], {str(p): p for p in shares}, accuracy).collect()}  # a row per quantile
+    found = {r.k: r.value for r in _quantiles(df, [column], {str(p): p for p in shares}, accuracy, few, sampled).collect()}  # a row per quantile
     return [found.get(str(p)) for p in shares]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.semantics import PII
+from . import profile
 
 #: Cost of an issue in the table's score (fixed values).
 COST = {"CRITICAL": 20.0, "HIGH": 10.0, "MEDIUM": 5.0, "LOW": 2.0, "INFO": 0.5}
@@ -91,7 +92,7 @@ def _observed(rule: Rule, c: Column, field: T.StructField) -> Column | None:
         total = F.count(F.lit(1))
         return F.when(total > 0, (total - values) * 100.0 / total).otherwise(0.0)
     if rule.check == "unique_pct":
-        return share(F.count_distinct(c))
+        return values  # the share follows from distinct counts, which are made column by column
     if rule.check == "pattern_pct":
         regex = rule.regex or next((p for k, p in FORMATS.items() if k in field.name.lower()), None)
         return share(F.count_if(c.cast("string").rlike(regex))) if regex else None
@@ -118,6 +119,13 @@ def validate(df: DataFrame, name: str, rules=DEFAULT) -> DataFrame:
     if not bound:
         return df.sparkSession.createDataFrame([], schema)
     wide = df.agg(*[o.cast("double").alias(f"o{i}") for i, (_, _, o) in enumerate(bound)])
+    unique = [i for i, (r, _, _) in enumerate(bound) if r.check == "unique_pct"]
+    if unique:  # one narrow count for each column instead of rows that are multiplied by their number
+        fields = list({bound[i][1].name: bound[i][1] for i in unique}.values())
+        counts = profile.distinct_counts(df, fields).agg(F.map_from_entries(F.collect_list(F.struct("position", "distinct"))).alias("_distinct"))
+        wide = wide.join(F.broadcast(counts), F.lit(True))  # one row and one row
+        place = {f.name: k for k, f in enumerate(fields)}
+        wide = wide.withColumns({f"o{i}": F.when(F.col(f"o{i}") > 0, F.element_at("_distinct", F.lit(place[bound[i][1].name])) * 100.0 / F.col(f"o{i}")) for i in unique})
     rows = [
         F.struct(F.lit(name).alias("table"), F.lit(f.name).alias("column"), F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(float(r.threshold)).alias("threshold"), F.round(f"o{i}", 4).alias("observed"), (~_fails(r, F.col(f"o{i}"))).alias("passed"))
         for i, (r, f, _) in enumerate(bound)

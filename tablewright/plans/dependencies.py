@@ -122,12 +122,17 @@ def synthesize_3nf(all_columns: list[str], fds: Iterable[Dependency]) -> list[tu
 
 
 def project(columns: Iterable[str], fds: Iterable[Dependency]) -> list[Dependency]:
-    """Dependencies that hold inside a set of columns (left sides of up to four columns)."""
+    """Dependencies with minimal left sides that hold inside a set of columns.
+
+    A minimal left side has only columns that are on the left of a given dependency, so only sets of these are looked at: their
+    number bounds the work, not the number of columns.
+    """
     columns, fds, out = list(columns), list(fds), []
-    for size in range(1, min(4, len(columns) - 1) + 1):
-        for x in combinations(columns, size):
+    left = [c for c in columns if any(c in d.determinant for d in fds)]
+    for size in range(1, min(len(left), len(columns) - 1) + 1):
+        for x in combinations(left, size):
             for y in sorted(closure(x, fds) & set(columns) - set(x)):
-                if not any(set(d.determinant) < set(x) and d.dependent == y for d in out):
+                if not any(d.dependent == y and set(d.determinant) < set(x) for d in out):
                     out.append(Dependency(x, y))
     return out
 
@@ -170,10 +175,31 @@ def is_lossless(relations: list[tuple[str, ...]], all_columns: list[str], fds: I
 
 
 def preserved(relations: list[tuple[str, ...]], fds: Iterable[Dependency]) -> bool:
-    """Whether the dependencies inside the relations imply all the others."""
+    """Whether the dependencies inside the relations imply all the others.
+
+    What X determines by way of the relations grows by what each of them gives, under all dependencies, to the columns it shares.
+    """
     fds = list(fds)
-    inside = [d for r in relations for d in project(r, fds)]
-    return all(d.dependent in closure(d.determinant, inside) for d in fds)
+    for d in fds:
+        have, before = set(d.determinant), None
+        while have != before:
+            before = set(have)
+            for r in relations:
+                have |= closure(have & set(r), fds) & set(r)
+        if d.dependent not in have:
+            return False
+    return True
+
+
+def foreign_keys(relations: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> list[tuple[int, tuple[str, ...], int]]:
+    """(relation, columns, relation) by place: a relation that holds another's whole key refers to it, but not by its own whole key
+    to one with the same key that comes later, so two relations never refer to each other."""
+    out = []
+    for i, (columns, key) in enumerate(relations):
+        for j, (_, other) in enumerate(relations):
+            if i != j and other and set(other) <= set(columns) and (set(other) != set(key) or j < i):
+                out.append((i, other, j))
+    return out
 
 
 def decompose_2nf(all_columns: list[str], key: tuple[str, ...], fds: Iterable[Dependency]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:

@@ -112,9 +112,27 @@ def two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.columns(holed(spark, sf_dir), "holed").unionByName(profile.columns(read(spark, sf_dir, "customer"), "customer"))
 
 
-@query("table_quality", f'select "table", round(avg(100 - null_pct), 6) as completeness, round(avg(distinct_pct), 6) as uniqueness, 100.0::double as consistency, round((avg(100 - null_pct) + avg(distinct_pct) + 100) / 3, 6) as overall from {_TWO} group by "table"')
+def best_pattern_sql(source: str, table: str, columns: list[tuple[str, str]]) -> str:
+    """The best pattern's share of each text column that matches any."""
+    rows = " union all ".join(f"select '{c}' as \"column\", '{k}' as pattern, {j} as j, count(*) filter (where regexp_matches({c}, '{r.replace(chr(39), chr(39) * 2)}')) as n, count({c}) as v from {source}" for c, t in columns if t == "string" for j, (k, r) in enumerate(patterns.PROFILE.items()))
+    return f"select '{table}' as \"table\", \"column\", pattern, cast(floor(n * 10000.0 / v + 0.5) / 100 as double) as pct from ({rows}) where n > 0 qualify row_number() over (partition by \"column\" order by n desc, j) = 1"
+
+
+_BEST = f"(select * from ({best_pattern_sql(f'({HOLED})', 'holed', HOLED_FIELDS)}) union all select * from ({best_pattern_sql('customer', 'customer', fields('customer'))}))"
+
+
+def best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.best_patterns(holed(spark, sf_dir), "holed").unionByName(profile.best_patterns(read(spark, sf_dir, "customer"), "customer"))
+
+
+query("best_patterns", best_pattern_sql("pages", "pages", fields("pages")) + " union all " + best_pattern_sql("events", "events", fields("events")) + " union all " + best_pattern_sql("documents", "documents", fields("documents")))(
+    lambda spark, sf_dir: reduce(DataFrame.unionByName, [profile.best_patterns(read(spark, sf_dir, t), t) for t in ("pages", "events", "documents")])
+)
+
+
+@query("table_quality", f'select t."table", round(avg(100 - null_pct), 6) as completeness, round(avg(distinct_pct), 6) as uniqueness, round(avg(coalesce(b.pct, 100.0)), 6) as consistency, round((avg(100 - null_pct) + avg(distinct_pct) + avg(coalesce(b.pct, 100.0))) / 3, 6) as overall from {_TWO} t left join {_BEST} b on t."table" = b."table" and t."column" = b."column" group by 1')
 def table_quality(spark, sf_dir):
-    return profile.table_scores(two(spark, sf_dir)).select("table", *[F.round(c, 6).alias(c) for c in ("completeness", "uniqueness", "consistency", "overall")])
+    return profile.table_scores(two(spark, sf_dir), best(spark, sf_dir)).select("table", *[F.round(c, 6).alias(c) for c in ("completeness", "uniqueness", "consistency", "overall")])
 
 
 @query("quality_issues", f"""with p as {_TWO}, t as (select "table", (avg(100 - null_pct) + avg(distinct_pct) + 100) / 3 as overall from p group by "table")
@@ -137,6 +155,19 @@ query("primary_key_guess", f'select "table", arg_min("column", position) as prim
 _EVENTS = profile_sql("events", "events", fields("events"))
 query("foreign_key_guesses", f"""select "table", "column", lower("column")[:length("column") - 3] as potential_reference, 'medium' as confidence from ({_EVENTS}) where lower("column") like '%\\_id' escape '\\' and not is_unique""")(lambda spark, sf_dir: profile.foreign_key_guesses(profile.columns(read(spark, sf_dir, "events"), "events")))
 
+#: events with a UUID made of the user, which repeats.
+SESSIONS = "select event_id, {uuid} as session, user_id from events"
+_U = "substr(md5(cast(user_id as varchar)), {}, {})"
+_SESSIONS = SESSIONS.format(uuid=" || '-' || ".join(_U.format(a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+@query("foreign_key_guesses_uuid", "select 'sessions' as \"table\", 'user_id' as \"column\", 'user' as potential_reference, 'medium' as confidence from (select count(distinct user_id) as d, count(user_id) as n from events) where d <> n union all select 'sessions', 'session', 'unknown', 'low' from (select count(distinct user_id) as d, count(user_id) as n from events) where d <> n")
+def foreign_key_guesses_uuid(spark, sf_dir):
+    read(spark, sf_dir, "events").createOrReplaceTempView("events")
+    rows = spark.sql(_SESSIONS.replace("as varchar", "as string"))
+    return profile.foreign_key_guesses(profile.columns(rows, "sessions"), profile.best_patterns(rows, "sessions"))
+
+
 query("top_values_events_type", "select event_type as value, count(*) as n, floor(count(*) * 10000.0 / (select count(*) from events) + 0.5) / 100 as pct from events where event_type is not null group by 1 order by n desc, value limit 10")(lambda spark, sf_dir: profile.top_values(read(spark, sf_dir, "events"), "event_type"))
 query("top_values_customer_segment", "select c_mktsegment as value, count(*) as n, floor(count(*) * 10000.0 / (select count(*) from customer) + 0.5) / 100 as pct from customer where c_mktsegment is not null group by 1 order by n desc, value limit 3")(lambda spark, sf_dir: profile.top_values(read(spark, sf_dir, "customer"), "c_mktsegment", 3))
 

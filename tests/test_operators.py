@@ -169,3 +169,29 @@ def test_exact_quantiles(spark):
     shares = [0.0, 0.1, 0.5, 0.73, 0.999, 1.0]
     assert np.allclose(profile.exact_quantiles(df, "v", shares, accuracy=100), np.quantile(x, shares))
     assert profile.exact_quantiles(df.where("false"), "v", [0.5]) == [None]
+
+
+def test_selection_narrows(spark):
+    """Few values a pass and small samples, over ties, skew and integers: as numpy says."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.73, 0.999, 1.0]
+    for x in (rng.lognormal(3, 4, 6000), np.repeat([1.0, 2.0, 2.5], [3000, 10, 2990]), np.full(500, 7.0), np.arange(4000.0), np.array([1.0, 2.0]), rng.integers(0, 40, 5000).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in rng.permutation(x)], "v double").repartition(3)
+        assert np.allclose(profile.exact_quantiles(df, "v", shares, accuracy=50, few=40, sampled=150), np.quantile(x, shares))
+
+
+def test_samples_are_the_least_hashes(spark):
+    import hashlib
+
+    for n, copies in ((50, 1), (3000, 5)):
+        df = spark.range(n * copies).selectExpr(f"concat('v', id % {n}) as v").union(spark.sql("select cast(null as string)"))
+        want = sorted((f"v{i}" for i in range(n)), key=lambda v: hashlib.md5(v.encode()).hexdigest())[:100]
+        assert [r.value for r in profile.sample_values(df, "v").collect()] == want
+    assert profile.sample_values(df.where("false"), "v").count() == 0
+
+
+def test_dimension_keeps_the_least_row(spark):
+    df = spark.createDataFrame([(1, "b", 2), (1, "a", 9), (2, None, 1), (2, "z", 0)], "k int, x string, y int")
+    assert sorted(tuple(r)[1:] for r in models.dimension(df, "d", ["k"], ["x", "y"]).collect()) == [(1, "a", 9), (2, None, 1)]

@@ -11,10 +11,12 @@ from tablewright.plans.dependencies import (
     closure,
     decompose_2nf,
     decompose_bcnf,
+    foreign_keys,
     is_lossless,
     is_superkey,
     minimal_cover,
     preserved,
+    project,
     synthesize_3nf,
     verdict,
 )
@@ -98,3 +100,23 @@ def test_names():
     info = {"orders": [names.ColumnInfo("orders", "id", "int", True), names.ColumnInfo("orders", "customer_id", "int")], "customers": [names.ColumnInfo("customers", "id", "bigint", True)]}
     (c,) = names.candidates(info)
     assert (c.source.name, c.target.table, c.similarity) == ("customer_id", "customers", 0.95) and names.compatible("int", "bigint")
+
+
+def test_left_sides_of_many_columns():
+    """No left side is too long for a decomposition or for the test of what it keeps."""
+    fds = [D("abcde", "f")]
+    parts = decompose_bcnf(list("abcdefg"), fds)
+    assert sorted(map(set, parts), key=sorted) == [set("abcdef"), set("abcdeg")] and is_lossless(parts, list("abcdefg"), fds)
+    assert preserved([tuple("abcdef"), tuple("abcdeg")], fds) and not preserved([tuple("abcdeg"), tuple("abcf")], fds)
+    # a dependency that holds in a part only by way of a column outside of it
+    assert {(d.determinant, d.dependent) for d in project("acd", [D("a", "b"), D("bc", "d")])} == {(("a", "c"), "d")}
+    assert not preserved([tuple("ab"), tuple("acd")], [D("a", "b"), D("bc", "d")]) and preserved([tuple("ab"), tuple("bc")], [D("a", "b"), D("b", "c"), D("a", "c")])
+
+
+def test_numbers_with_and_without_underscore_meet():
+    assert violations.repeating_patterns(["phone1", "phone_2", "Phone_3", "fax_1", "home_fax"]) == {"phone": ["Phone_3", "phone1", "phone_2"], "fax": ["fax_1", "home_fax"]}
+
+
+def test_generated_references():
+    parts = [(("o", "c", "t"), ("o",)), (("c", "n", "r"), ("c",)), (("r", "x"), ("r",)), (("c", "y"), ("c",)), (("o", "p"), ("o", "p"))]
+    assert foreign_keys(parts) == [(0, ("c",), 1), (0, ("c",), 3), (1, ("r",), 2), (3, ("c",), 1), (4, ("o",), 0)]
