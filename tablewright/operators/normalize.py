@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +96,10 @@ COMPOUND = {
 }
 
 
+#: Those of them whose parts a space separates.
+NAMES = ("full_name", "name", "fullname", "first_last")
+
+
 def split_compound(df: DataFrame, column: str, separator: str = " ", parts: tuple[str, ...] | None = None) -> DataFrame:
     """The table with a compound column replaced by its parts; the last part takes what is left, missing parts are null."""
     names = parts or COMPOUND[column.lower()]
@@ -116,14 +120,58 @@ def lookup(df: DataFrame, determinant: list[str], dependents: list[str]) -> tupl
     return df.drop(*dependents).distinct(), df.select(*determinant, *dependents).distinct()
 
 
-def json_kind(df: DataFrame, column: str) -> str | None:
-    """object or array where all values of a text column are that; mixed where some are; None where none is."""
-    c = F.col(f"`{column}`")
-    objects, arrays = F.json_object_keys(c).isNotNull(), F.json_array_length(c).isNotNull()
-    row = df.agg(F.count(c).alias("n"), F.count_if(objects).alias("o"), F.count_if(arrays).alias("a")).first()
-    if not row.o and not row.a:
-        return None
-    return "object" if row.o == row.n else "array" if row.a == row.n else "mixed"
+#: Share of values that must be JSON objects or arrays for a text column to count as JSON.
+JSON_SHARE = 0.8
+
+
+def structures(df: DataFrame, columns: list[str] | None = None, delimiters: tuple[str, ...] = DELIMITERS) -> DataFrame:
+    """A row for each text column: what it holds, from one aggregation over all of them.
+
+    n is its non-null values, parsed those that are JSON, objects and arrays those of these kinds, mean_length that of the arrays;
+    kind is object or array where all that is JSON is that, else mixed (null where nothing is JSON), is_json whether objects and
+    arrays make up `JSON_SHARE` of the values, delimiter the one that most values contain (first of equals) if it is in 3 and a tenth of them.
+    """
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and (columns is None or f.name in columns)]
+    schema = "column string, n bigint, parsed bigint, objects bigint, arrays bigint, mean_length double, kind string, is_json boolean, delimiter string"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    parsed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).withColumns({f"t{i}": F.schema_of_variant(F.try_parse_json(F.col(f"c{i}"))) for i in range(len(names))})
+    wide = parsed.agg(*[e.alias(f"{k}{i}") for i in range(len(names)) for k, e in {
+        "n": F.count(f"c{i}"), "p": F.count_if(F.col(f"t{i}").isNotNull()), "o": F.count_if(F.col(f"t{i}").startswith("OBJECT")), "a": F.count_if(F.col(f"t{i}").startswith("ARRAY")),
+        "l": F.avg(F.when(F.col(f"t{i}").startswith("ARRAY"), F.json_array_length(f"c{i}"))), "d": F.array(*[F.count_if(F.col(f"c{i}").contains(d)) for d in delimiters]),
+    }.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(n) for k, n in (("n", "n"), ("p", "parsed"), ("o", "objects"), ("a", "arrays"), ("l", "mean_length"), ("d", "held"))]) for i, c in enumerate(names)]))
+    out = wide.select(rows.alias("r")).select("r.*")
+    kind = F.when(F.col("parsed") == 0, None).when(F.col("objects") == F.col("parsed"), "object").when(F.col("arrays") == F.col("parsed"), "array").otherwise("mixed")
+    most = F.array_max("held")
+    sign = F.when((most >= 3) & (most >= 0.1 * F.col("n")), F.element_at(F.array(*map(F.lit, delimiters)), F.array_position("held", most).cast("int")))
+    is_json = (F.col("n") > 0) & (F.col("objects") + F.col("arrays") >= JSON_SHARE * F.col("n"))
+    return out.select("column", "n", "parsed", "objects", "arrays", "mean_length", kind.alias("kind"), is_json.alias("is_json"), sign.alias("delimiter"))
+
+
+def json_paths(df: DataFrame, column: str) -> DataFrame:
+    """(path, type, n): every path in the JSON values of a column, however deep, with the type of what stands there and the number of times.
+
+    The whole value has the path `$`, a field `$.a`, the values of an array `$.a[]`. Types are object, array, integer, number, string,
+    boolean and null. Text that is no JSON is skipped. One aggregation tells how deep brackets are nested, and all levels are one plan.
+    """
+    texts = df.select(F.col(f"`{column}`").cast("string").alias("text")).withColumn("value", F.try_parse_json("text")).where("value is not null")
+    brackets = F.regexp_replace(F.regexp_replace("text", r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    nested = F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+    most, values = texts.agg(F.coalesce(F.max(nested), F.lit(0))).first()[0], texts.select("value")
+    spark, level, levels = df.sparkSession, values.select(F.lit("$").alias("path"), "value"), []
+    for _ in range(most + 1):
+        levels.append(level)
+        inner = level.alias("l").lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).alias("e"), how="inner")
+        level = inner.select(F.concat(F.col("l.path"), F.coalesce(F.concat(F.lit("."), F.col("e.key")), F.lit("[]"))).alias("path"), F.col("e.value").alias("value"))
+    kind = F.schema_of_variant("value")
+    named = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "BIGINT", "integer").when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "number").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise(F.lower(kind))
+    return reduce(DataFrame.unionAll, levels).groupBy("path", named.alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Spark types of JSON types; a field with several, or with none of these, is text.
@@ -140,14 +188,16 @@ def json_fields(df: DataFrame, column: str) -> dict[str, str]:
 
 
 def first_form(
-    df: DataFrame, table: str, key: list[str], delimiters: dict[str, str] | None = None, compound: dict[str, str] | None = None, separate: bool = False, most_fields: int = 10,
+    df: DataFrame, table: str, key: list[str], delimiters: dict[str, str] | None = None, compound: dict[str, str] | None = None, separate: bool = False, most_fields: int = 10, decide: bool = False,
 ) -> dict[str, DataFrame]:
     """A table in first normal form: the table itself and a table for each thing that it held several times.
 
     In this order: columns that differ by a number become rows of `<table>_<base>`; arrays become `<table>_<column>` with a row
     for each value; objects in JSON text become columns (with separate, or with more than most_fields fields, the table
     `<table>_<column>`), JSON arrays a table like arrays, and mixed JSON goes; lists in text (column: delimiter) become tables;
-    compound columns (column: separator) become their parts. Keys keep their names with the table's before them.
+    compound columns (column: separator) become their parts. Keys keep their names with the table's before them. With decide,
+    lists and compounds that are not given are found: lists by the delimiter that structures() tells, names of persons (`NAMES`) by
+    a space in them. What every text column holds comes from one aggregation.
     """
     from ..plans.violations import numbered_groups
 
@@ -162,8 +212,10 @@ def first_form(
         if isinstance(f.dataType, T.ArrayType):
             out[f"{table}_{f.name}"] = explode_array(main, key, f.name, table)
             main = main.drop(f.name)
+    texts = [f.name for f in main.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in key]
+    told = {r.column: r for r in structures(main, texts).collect()}  # a row per text column
     for f in main.schema.fields:
-        what = json_kind(main, f.name) if isinstance(f.dataType, T.StringType) and f.name not in key else None
+        what = told[f.name].kind if f.name in told and told[f.name].is_json else None
         if what == "object":
             fields = json_fields(main, f.name)
             if separate or len(fields) > most_fields:
@@ -178,6 +230,10 @@ def first_form(
             main = main.drop(f.name)
         elif what == "mixed":
             main = main.drop(f.name)
+    if decide:
+        names = {c: " " for c in told if c.lower() in NAMES and c in main.columns and c not in (delimiters or {})}
+        compound = names | (compound or {})
+        delimiters = {c: r.delimiter for c, r in told.items() if r.delimiter and c in main.columns and c not in compound} | (delimiters or {})
     for column, sign in (delimiters or {}).items():
         out[f"{table}_{column}"] = split_values(main, key, column, table, sign)
         main = main.drop(column)

@@ -234,6 +234,32 @@ def mask_values(spark, sf_dir):
 
 query("json_shape_events_props", "select key, case json_type(props, '$.\"' || key || '\"') when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' else lower(json_type(props, '$.\"' || key || '\"')) end as type, count(*) as n from (select props, unnest(json_keys(props)) as key from events where json_valid(props)) group by 1, 2")(lambda spark, sf_dir: normalize.json_shape(read(spark, sf_dir, "events"), "props"))
 
+#: events as nested and mixed JSON: objects in objects, arrays of objects, plain values, and text that is no JSON.
+NESTED = """select event_id, case event_id % 5 when 0 then '{"a": {"b": ' || event_id || ', "c": [1, 2.5, "x"]}, "k": null}' when 1 then '{"a": {"b": true}, "k": ["' || event_type || '"]}'
+    when 2 then '[{"n": ' || user_id || '}, {"n": "s"}]' when 3 then 'plain ' || event_type else '{"k": "' || event_type || '"}' end as doc,
+    event_type || '; ' || (event_id % 7) as list, 'Ann Lee' as full_name from events"""
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return spark.sql(NESTED)
+
+
+_PATHS = [(0, "$", "object"), (0, "$.a", "object"), (0, "$.a.b", "integer"), (0, "$.a.c", "array"), (0, "$.a.c[]", "integer"), (0, "$.a.c[]", "number"), (0, "$.a.c[]", "string"), (0, "$.k", "null"), (1, "$", "object"), (1, "$.a", "object"), (1, "$.a.b", "boolean"), (1, "$.k", "array"), (1, "$.k[]", "string"), (2, "$", "array"), (2, "$[]", "object"), (2, "$[]", "object"), (2, "$[].n", "integer"), (2, "$[].n", "string"), (4, "$", "object"), (4, "$.k", "string")]
+query("json_paths_nested", "select path, type, sum(n)::bigint as n from (" + " union all ".join(f"select '{p}' as path, '{t}' as type, count(*) as n from events where event_id % 5 = {i}" for i, p, t in _PATHS) + ") group by 1, 2 having sum(n) > 0")(lambda spark, sf_dir: normalize.json_paths(nested(spark, sf_dir), "doc"))
+query("json_paths_events", "select '$' as path, 'object' as type, count(*) as n from events union all select '$.' || key, case json_type(props, '$.\"' || key || '\"') when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'string' else lower(json_type(props, '$.\"' || key || '\"')) end, count(*) from (select props, unnest(json_keys(props)) as key from events) group by 1, 2")(lambda spark, sf_dir: normalize.json_paths(read(spark, sf_dir, "events"), "props"))
+query("text_structures", """with m as (select event_id % 5 as r, count(*) as n from events group by 1), t as (select sum(n)::bigint as n, coalesce(sum(n) filter (where r <> 3), 0)::bigint as parsed, coalesce(sum(n) filter (where r in (0, 1, 4)), 0)::bigint as objects, coalesce(sum(n) filter (where r = 2), 0)::bigint as arrays from m)
+    select 'doc' as "column", n, parsed, objects, arrays, 2.0::double as mean_length, 'mixed' as kind, objects + arrays >= 0.8 * n as is_json, ',' as delimiter from t
+    union all select 'list', n, 0, 0, 0, null, null, false, ';' from t union all select 'full_name', n, 0, 0, 0, null, null, false, null from t""")(lambda spark, sf_dir: normalize.structures(nested(spark, sf_dir)))
+
+
+def _decided(part: str):
+    return lambda spark, sf_dir: normalize.first_form(nested(spark, sf_dir).drop("doc"), "events", ["event_id"], decide=True)[part]
+
+
+query("first_form_decided", "select event_id, 'Ann' as first_name, 'Lee' as last_name from events")(_decided("events"))
+query("first_form_decided_list", "select distinct event_id as events_event_id, unnest([event_type, cast(event_id % 7 as varchar)]) as list_value from events")(_decided("events_list"))
+
 # ---------------------------------------------------------------- dependencies, keys, references
 
 

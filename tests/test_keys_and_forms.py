@@ -90,3 +90,22 @@ def test_declared_references_are_told_and_not_measured(spark):
     assert [(r.overlap, r.confidence) for r in relationships.infer(tables, info).collect()] == [(1.0, "HIGH")]
     got = relationships.infer(tables, info, references=(("orders", "user_id", "users", "id"),)).collect()
     assert [(r.from_column, r.to_table, r.cardinality, r.overlap, r.confidence) for r in got] == [("user_id", "users", "1:N", None, "HIGH")]
+
+
+def test_json_paths_of_any_depth(spark):
+    """Escapes, brackets in strings, empty containers, deep nesting, scalars, text that is no JSON."""
+    deep = "[" * 12 + "1" + "]" * 12
+    texts = [r'{"a\"]": "[{\\", "b": {}}', "[]", "3", '"s"', "null", "no json", None, "", deep, '[{"x": [1]}, [{"x": false}]]']
+    got = {(r.path, r.type): r.n for r in normalize.json_paths(spark.createDataFrame([(t,) for t in texts], "j string"), "j").collect()}
+    assert got[('$.a"]', "string")] == 1 and got[("$.b", "object")] == 1 and got[("$", "integer")] == 1 and got[("$", "string")] == 1 and got[("$", "null")] == 1
+    assert got[("$" + "[]" * 12, "integer")] == 1 and got[("$[][].x", "boolean")] == 1 and got[("$[].x[]", "integer")] == 1 and got[("$", "array")] == 3
+    assert normalize.json_paths(spark.createDataFrame([], "j string"), "j").count() == 0
+
+
+def test_structures_of_all_text_columns(spark):
+    df = spark.createDataFrame([("[1,2]", '{"k": 1}', "a|b", None), ("[]", '{"k": 2}', "c|d", None), ("[3]", "x", "e|f", None)] * 2, "arr string, obj string, list string, none string")
+    got = {r.column: r for r in normalize.structures(df).collect()}
+    assert (got["arr"].kind, got["arr"].mean_length, got["arr"].is_json) == ("array", 1.0, True)
+    assert (got["obj"].kind, got["obj"].is_json, got["list"].delimiter, got["list"].kind) == ("object", False, "|", None)
+    assert (got["none"].n, got["none"].is_json, got["none"].delimiter) == (0, False, None)
+    assert normalize.structures(df.where("false")).count() == 4 and normalize.structures(df.selectExpr("1 as x")).count() == 0
