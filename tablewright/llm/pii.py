@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,11 +59,15 @@ EXTRA = (
     ("id", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 )
 EXTRA_NEEDS = {
-    "email": r"(?i)[(\[ ]at[)\] ]", "ip": r"(?i)[0-9](?:\[|\(| dot)|[0-9a-f]:[0-9a-f:]{0,4}:", "card": r"[0-9]{4}",
+    "email": r"(?i)[(\[ ]dot[)\] ]", "ip": r"(?i)[0-9](?:\[|\(| dot)|[0-9a-f]:[0-9a-f:]{0,4}:", "card": r"[0-9]{4}",
     "phone": r"[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:00|011[ -]?)[1-9]",
-    "secret": r"(?i)(?:token|secret|passw|pwd|key|auth|bearer|credential|api)|[A-Za-z0-9_/+-]{20}|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{8,}+\.", "id": r"[0-9]{3}-[0-9]{2}-|[A-Z]{2}[0-9]{2}",
+    "id": r"[0-9]{3}-[0-9]{2}-|[A-Z]{2}[0-9]{2}",
 }
 
+#: What a match of each generator of secrets holds in any case; the first is only tried where a text has a telling word or a long run.
+SECRET_NEEDS = (r"[=:](?: ?[\"']| )?[A-Za-z0-9_/+.!@#$%^&*~-]{8}", r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20}", r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8}")
+TELLING = ("token", "secret", "passw", "pwd", "key", "auth", "bearer", "credential", "api")
+
 #: Words that often stand before each kind of number, and words that stand before other numbers.
 HINTS = {
     "email": "mail|contact|write|reach|address",
@@ -125,8 +130,21 @@ def _valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, s>>: every leftmost non-overlapping match with its place."""
+def _needs(text: Column, generator: int) -> Column:
+    """Whether a text can hold a match of a generator."""
+    kind = EXTRA[generator][0]
+    if kind != "secret":
+        return text.rlike(EXTRA_NEEDS[kind])
+    nth = [g for g, (k, _) in enumerate(EXTRA) if k == kind].index(generator)
+    can = text.rlike(SECRET_NEEDS[nth])
+    if nth:
+        return can
+    low = F.lower(text)
+    return can & (reduce(Column.__or__, [low.contains(w) for w in TELLING]) | text.rlike(SECRET_NEEDS[1]))
+
+
+def _spans(text: Column, pattern: str, can: Column) -> Column:
+    """array<struct<start, end, s>>: every leftmost non-overlapping match with its place; none where the text can hold none."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("s"))
@@ -141,7 +159,7 @@ def _spans(text: Column, pattern: str, needs: str) -> Column:
     # the text after the last match has no partner and goes first
     pairs = F.filter(pairs, lambda x: x["s"].isNotNull())
     spans = F.aggregate(pairs, none, step, lambda acc: acc["out"])
-    return F.when(text.rlike(needs), spans).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,s:string>>)"))
+    return F.when(can, spans).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,s:string>>)"))
 
 
 def _features(kind: str, generator: int, text: Column, span: Column) -> list[Column]:
@@ -258,7 +276,7 @@ def train(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 11, precision
     data = spark.createDataFrame([(i, *x) for i, x in enumerate(snippets)], "id int, text string, kind string, y int").repartition(4)
     found = []
     for g, (kind, pattern) in enumerate(EXTRA):
-        hits = data.where(F.col("kind") == kind).select("id", "y", "text", F.explode(_spans(F.col("text"), pattern, EXTRA_NEEDS[kind])).alias("span"))
+        hits = data.where(F.col("kind") == kind).select("id", "y", "text", F.explode(_spans(F.col("text"), pattern, _needs(F.col("text"), g))).alias("span"))
         found.append(hits.select("id", "y", *[c.alias(f"f{i}") for i, c in enumerate(_features(kind, g, F.col("text"), F.col("span")))]))
     union = found[0]
     for f in found[1:]:
@@ -288,10 +306,10 @@ def find(docs: DataFrame, model: SpanModel) -> DataFrame:
     that lie in no base span and in no longer selected span of the kind; spans that start together are sorted by their end.
     """
     rows = docs.select("doc_id", whole().alias("text"))
-    rows = rows.withColumns({f"_{k}": _spans(F.col("text"), BASE[k], NEEDS[k]) for k in KINDS})
+    rows = rows.withColumns({f"_{k}": _spans(F.col("text"), BASE[k], F.col("text").rlike(NEEDS[k])) for k in KINDS})
     valid = lambda k: F.filter(f"_{k}", lambda x: _valid(k, x["s"]))
     rows = rows.withColumns({f"_{k}": valid(k) for k in KINDS if k != "email"})
-    rows = rows.withColumns({f"_x{g}": _spans(F.col("text"), p, EXTRA_NEEDS[k]) for g, (k, p) in enumerate(EXTRA)})
+    rows = rows.withColumns({f"_x{g}": _spans(F.col("text"), p, _needs(F.col("text"), g)) for g, (k, p) in enumerate(EXTRA)})
     selected = lambda k, g: F.filter(f"_x{g}", lambda x: model.selects(_features(k, g, F.col("text"), x)))
     rows = rows.withColumns({f"_x{g}": selected(k, g) for g, (k, _) in enumerate(EXTRA)})
     place = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s")))
