@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import patterns
 from .functions.keys import hash_diff
-from .operators import dependencies, models, normalize, profile, quality, relationships, vault
+from .operators import dependencies, marts, models, normalize, profile, quality, relationships, vault
 from .plans import keys
 from .plans.dependencies import Dependency, synthesize_3nf
 from .plans.design import Design, DesignColumn, DesignTable, Relation
@@ -606,3 +606,25 @@ query("bridge_vault", f"select {_hk('o_orderkey', 'o_custkey')} as LK_order_cust
         [models.hub(read(spark, sf_dir, "orders"), "order", ["o_orderkey"], "erp", loaded()), models.hub(read(spark, sf_dir, "orders"), "customer", ["o_custkey"], "erp", loaded())], ["order", "customer"],
     ).select("LK_order_customer", "o_orderkey", "o_custkey")
 )
+
+# ---------------------------------------------------------------- marts and hierarchies
+
+REFERENCES = [("orders", ("o_custkey",), "customer", ("c_custkey",)), ("customer", ("c_nationkey",), "nation", ("n_nationkey",)), ("nation", ("n_regionkey",), "region", ("r_regionkey",)), ("lineitem", ("l_suppkey",), "supplier", ("s_suppkey",)), ("supplier", ("s_nationkey",), "nation", ("n_nationkey",)), ("lineitem", ("l_partkey",), "part", ("p_partkey",))]
+
+
+def _mart(root: str):
+    return lambda spark, sf_dir: marts.mart(tableset(spark, sf_dir).tables, root, REFERENCES)
+
+
+query("mart_orders", "select o.*, c.* exclude (c_custkey), n.* exclude (n_nationkey), r.* exclude (r_regionkey) from orders o left join customer c on o_custkey = c_custkey left join nation n on c_nationkey = n_nationkey left join region r on n_regionkey = r_regionkey")(_mart("orders"))
+query("mart_lineitem", "select l.*, s.* exclude (s_suppkey), n.* exclude (n_nationkey), r.* exclude (r_regionkey), p.* exclude (p_partkey) from lineitem l left join supplier s on l_suppkey = s_suppkey left join nation n on s_nationkey = n_nationkey left join region r on n_regionkey = r_regionkey left join part p on l_partkey = p_partkey")(_mart("lineitem"))
+
+#: A hierarchy of customers (a binary tree by number).
+_TREE = "select c_custkey as node, cast(floor(c_custkey / 2) as bigint) as above from customer where floor(c_custkey / 2) > 0"
+
+
+@query("hierarchy_customers", f"with recursive h as ({_TREE}), up as (select node, above as ancestor, 1::bigint as depth from h union all select up.node, h.above, up.depth + 1 from up join h on up.ancestor = h.node) select node, ancestor, depth, false as circular from up")
+def hierarchy_customers(spark, sf_dir):
+    """Everything above each customer in a hierarchical link."""
+    read(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return marts.ancestors(spark.sql(_TREE), "node", "above")
