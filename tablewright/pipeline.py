@@ -28,9 +28,9 @@ def analyze(tables: TableSet, max_determinant: int = 3, max_key: int = 4) -> dic
 
 
 def summary(analysis: dict) -> DataFrame:
-    """One row of an analysis: tables, columns, rows, mean quality, dependencies, keys, and tables by normal form."""
+    """One row of an analysis: tables, columns, rows, mean quality, dependencies, keys, references, and tables by normal form."""
     prof = analysis["profile"]
-    counts = {"dependencies": sum(map(len, analysis["dependencies"].values())), "keys": sum(map(len, analysis["keys"].values()))}
+    counts = {"dependencies": sum(map(len, analysis["dependencies"].values())), "keys": sum(map(len, analysis["keys"].values())), "references": analysis["references"].count() if analysis["references"] is not None else 0}
     forms = [f for f in analysis["forms"].values()]
     rows = prof.groupBy("table").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("columns"), F.sum("quality").alias("quality"))
     row = rows.agg(F.count(F.lit(1)).alias("tables"), F.sum("columns").alias("columns"), F.sum("total").alias("rows"), (F.sum("quality") / F.sum("columns")).alias("mean_quality"))

@@ -277,6 +277,7 @@ _fd("fd_check_documents", "documents", ["text"], ["lang", "n_chars", "source"])
 _fd("fd_check_lineitem_order", "lineitem", ["l_orderkey"], ["l_returnflag", "l_linestatus", "l_suppkey", "l_shipdate"])
 _fd("fd_check_lineitem_pair", "lineitem", ["l_partkey", "l_suppkey"], ["l_orderkey", "l_quantity", "l_tax"])
 query("fd_check_with_nulls", fd_sql(f"({HOLED})", ["o_custkey"], ["o_orderstatus", "o_orderpriority", "one"]))(lambda spark, sf_dir: dependencies.check(holed(spark, sf_dir), ["o_custkey"], ["o_orderstatus", "o_orderpriority", "one"]))
+query("fd_verify_lineitem", f"select * from ({fd_sql('lineitem', ['l_orderkey', 'l_partkey'], ['l_tax'])}) where confidence >= 0.95")(lambda spark, sf_dir: dependencies.verify(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"], "l_tax").withColumn("confidence", F.col("confidence").cast("double")))
 query("fd_violations_lineitem", "select l.* from lineitem l join (select l_orderkey, l_linenumber from lineitem group by 1, 2 having count(distinct l_partkey) > 1) using (l_orderkey, l_linenumber) order by l_orderkey, l_linenumber, l_partkey, l_suppkey limit 100")(
     lambda spark, sf_dir: dependencies.violations(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey", tie=["l_suppkey"])
 )
@@ -340,6 +341,11 @@ for _t in TABLES:
     query(f"candidate_keys_{_t}", keys_sql(_t))(_keys(_t))
 
 
+#: Keys of one column of every table.
+query("single_column_keys", " union all ".join(f"select * from ({keys_sql(t, 1)})" for t in TABLES))(
+    lambda spark, sf_dir: spark.createDataFrame([(t, list(k.columns)) for t in TABLES for k in dependencies.find_single_keys(read(spark, sf_dir, t))], "table string, columns array<string>")
+)
+
 #: Tables and the key that the names recommend among those found.
 _OWN = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id"}
 
