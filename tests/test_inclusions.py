@@ -45,7 +45,7 @@ def test_hot_values_take_no_square(spark):
     hot = spark.range(30_000).select(*[F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(6)])
     got = {tuple(r)[:4] for r in relationships.inclusions({"t": hot}, 0.0).collect()}
     assert len(got) == 30
-    many = spark.range(20).select(*[(F.col("id") + (i == 69)).alias(f"c{i}") for i in range(70)])  # more columns than a word has bits
+    many = spark.range(20).select(*[(F.col("id") + int(i == 69)).alias(f"c{i}") for i in range(70)])  # more columns than a word has bits
     got = [(r.from_column, r.to_column) for r in relationships.inclusions({"t": many}).collect()]
     assert len(got) == 69 * 68 and not any("c69" in p for p in got)
     info = {"t": [ColumnInfo("t", "u_id", "bigint")], "u": [ColumnInfo("u", "id", "bigint", True)]}
