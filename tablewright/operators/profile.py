@@ -161,11 +161,13 @@ def _quantiles(df: DataFrame, names: list[str], shares: dict[str, float] = QUANT
     left = [b for b in sought if b.open]
     if not left:
         return out
-    ranks = {j: [r - b.below if r not in b.found else None for r in b.ranks] for j, b in enumerate(left)}
-    terms = spark.createDataFrame([(j, b.name, b.label, b.part, *ranks[j], *[b.found.get(r) for r in b.ranks]) for j, b in enumerate(left)], "j int, name string, k string, part double, lower long, upper long, first double, second double")
-    parts = [column[b.name].where(within(b)).select(F.lit(j).alias("j"), "x") for j, b in enumerate(left)]
+    place = {}  # quantiles of one interval share its values
+    for b in left:
+        place.setdefault((b.name, b.low, b.high), (len(place), b))
+    terms = spark.createDataFrame([(place[b.name, b.low, b.high][0], b.name, b.label, b.part, *[r - b.below if r not in b.found else None for r in b.ranks], *[b.found.get(r) for r in b.ranks]) for b in left], "j int, name string, k string, part double, lower long, upper long, first double, second double")
+    parts = [column[b.name].where(within(b)).select(F.lit(j).alias("j"), "x") for j, b in place.values()]
     counts = reduce(DataFrame.unionAll, parts).groupBy("j", "x").agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("j").orderBy("x")))  # the last interval of one quantile
+    running = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("j").orderBy("x")))  # an interval of few values
     at = lambda rank, known: F.coalesce(F.max(known), F.min(F.when(F.col("upto") > F.col(rank), F.col("x"))))
     found = running.join(F.broadcast(terms), "j").groupBy("name", "k", "part").agg(at("lower", "first").alias("a"), at("upper", "second").alias("b"))
     return out.unionByName(found.select("name", "k", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("value")))
