@@ -15,8 +15,9 @@ of equal lines stays. Blank lines stay always.
    lines that share a key differ in that gap alone; only the earliest line of a key is sought, and no pairs are formed.
 4. Higher bounds: the lines of a key that few have are compared. Lines of crowded keys get keys again, with pairs of words in
    place of chunks (an edit touches two), in order of their frequency: a line with more pairs of its own than the bound allows
-   is done, and keys are rare. The others are compared with the earliest line of each of their keys, and those that this does
-   not settle with the other earlier ones.
+   is done, and keys are rare. The others are compared with the earliest line of each of their keys. Those that this does not
+   settle are compared with the other lines of rare keys; a common key is joined with a second one, whose lines are compared in
+   the same way, the earliest first.
 5. Every match is verified: equal text around the gap, or the edit distance of the words.
 
 Chunks end after words with certain last letters. A line with too few chunks takes its words as chunks as well; an
@@ -35,6 +36,8 @@ MIN_WORDS = 8
 GAPS = 8
 #: Lines of a key that are compared with each other as they are.
 FEW = 8
+#: Lines of a pair of words that are compared with each other as they are; of commoner ones, those that share a second pair.
+REFINED = 16
 #: Words of a line for one edit, in the registered queries.
 WORDS_PER_EDIT = 20
 #: A chunk ends after a word that ends in one of these, which many words of most languages in Latin letters do. Few, as each costs
@@ -157,32 +160,66 @@ def _close_pairs(shared: DataFrame, per: int) -> DataFrame:
     return pairs.select("h1", "h2", "g1", "g2").distinct()
 
 
+def _firsts(keys: DataFrame) -> DataFrame:
+    """The earliest line of each token that several lines have, as `one`, and their number c."""
+    return stored(keys.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1"), "line-firsts")
+
+
+def _told(keys: DataFrame, firsts: DataFrame, per: int) -> DataFrame:
+    """Pairs of a line with the earliest line of each of its tokens."""
+    fits = F.abs(F.col("n") - F.col("one.n")) <= _bound(F.col("n"), F.col("one.n"), per)
+    told = heavy_join(keys.select("h1", "h2", "first", "n", "token"), firsts, ["token"], "c").where((F.col("one.first") < F.col("first")) & fits)
+    return stored(told.select("h1", "h2", F.col("one.h1").alias("g1"), F.col("one.h2").alias("g2")).distinct(), "line-told")
+
+
+def _earlier(rest: DataFrame, keys: DataFrame, per: int) -> DataFrame:
+    """Pairs of a line of rest with each earlier line of its tokens."""
+    theirs = keys.select("token", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("before"), F.col("n").alias("m"))
+    close = F.abs(F.col("n") - F.col("m")) <= _bound(F.col("n"), F.col("m"), per)
+    return rest.join(theirs, "token").where((F.col("before") < F.col("first")) & close).select("h1", "h2", "g1", "g2").distinct()
+
+
 def _far(long: DataFrame, per: int) -> DataFrame:
-    """(h1, h2) of numbered lines, all with a bound of 2 or more and a crowded key, that an earlier one of them is within."""
+    """(h1, h2) of numbered lines, all with a bound of 2 or more and a crowded key, that an earlier one of them is within.
+
+    Of the tokens in order of their frequency, two lines within the bound b share one among the first 2 b + 1 of each, and two
+    among the first 2 b + 2 if they have two in common; only lines of 2 b + 1 tokens in all, which are `flat`, can have fewer.
+    """
     each = long.select("id", F.explode("tokens").alias("token"))
     often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-tokens")
-    shared = heavy_join(each, often, ["token"], "c").groupBy("id").agg(F.collect_list(F.struct("c", "token")).alias("own"))  # a line's own words
+    shared = heavy_join(each, often, ["token"], "c").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("own"))  # a line's own words
     shared = shared.join(long.select("id", "h1", "h2", "first", "n", F.size("tokens").alias("all")), "id")
     spare, alone = 2 * (F.col("n") / per).cast("int"), F.col("all") - F.size("own")
-    rarest = F.slice(F.sort_array("own"), F.lit(1), spare + 1 - alone)
-    keys = stored(shared.where(alone <= spare).select("h1", "h2", "first", "n", F.explode(rarest).alias("k")).select("h1", "h2", "first", "n", "k.token"), "line-keys")
+    rarest = F.slice("own", F.lit(1), F.greatest(spare + 2 - alone, F.lit(0)))["token"]
+    keys = shared.where(alone <= spare).select("h1", "h2", "first", "n", (F.col("all") <= spare + 1).alias("flat"), rarest.alias("rarest"), (spare + 1 - alone).alias("k"))
+    keys = keys.select("*", F.posexplode("rarest").alias("p", "token")).where("p < k")
+    keys = stored(keys.select("h1", "h2", "first", "n", "flat", "token", F.slice("rarest", F.col("p") + 2, F.size("rarest")).alias("after")), "line-keys")
     dropped(often)
     freed(long)
 
-    firsts = stored(keys.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n")).alias("one"), F.count(F.lit(1)).alias("c")).where("c > 1"), "line-firsts")
-    fits = F.abs(F.col("n") - F.col("one.n")) <= _bound(F.col("n"), F.col("one.n"), per)
-    told = heavy_join(keys, firsts, ["token"], "c").where((F.col("one.first") < F.col("first")) & fits)
-    told = stored(told.select("h1", "h2", F.col("one.h1").alias("g1"), F.col("one.h2").alias("g2")).distinct(), "line-told")
+    firsts = _firsts(keys)
+    told = _told(keys, firsts, per)
     early = _settled(told, long, per, "line-early")
 
-    rest = keys.join(early, ["h1", "h2"], "left_anti")
-    theirs = keys.select("token", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("before"), F.col("n").alias("m"))
-    close = F.abs(F.col("n") - F.col("m")) <= _bound(F.col("n"), F.col("m"), per)
-    pairs = rest.join(theirs, "token").where((F.col("before") < F.col("first")) & close).select("h1", "h2", "g1", "g2").distinct()
-    late = _settled(pairs.join(told, ["h1", "h2", "g1", "g2"], "left_anti"), long, per, "line-late")
-    dropped(keys, firsts, told)
+    # What the earliest lines do not settle meets the other lines of rare tokens, and of common ones the lines of a second token.
+    rest = heavy_join(keys.join(early, ["h1", "h2"], "left_anti"), firsts.select("token", "c"), ["token"], "c")
+    rare = F.col("c") <= REFINED
+    pairs = _earlier(rest.where(rare), keys, per).union(_earlier(rest.where(~rare & F.col("flat")), keys.where("flat"), per))
+    common = stored(rest.where(F.col("c") > REFINED).groupBy("token").agg(F.count(F.lit(1)).alias("c")), "line-common")
+    twice = heavy_join(keys, common, ["token"], "c").select("h1", "h2", "first", "n", "token", F.explode("after").alias("next"))
+    twice = stored(twice.select("h1", "h2", "first", "n", F.xxhash64("token", "next").alias("token")), "line-twice")
+    seconds = _firsts(twice)
+    unsettled = twice.join(early, ["h1", "h2"], "left_anti")
+    told_again = _told(unsettled, seconds, per)
+    again = _settled(told_again.join(told, ["h1", "h2", "g1", "g2"], "left_anti"), long, per, "line-again")
+    left = unsettled.join(again, ["h1", "h2"], "left_anti")
+    pairs = pairs.join(again, ["h1", "h2"], "left_anti").union(_earlier(left, twice, per)).distinct()
+    for known in (told, told_again):
+        pairs = pairs.join(known, ["h1", "h2", "g1", "g2"], "left_anti")
+    late = _settled(pairs, long, per, "line-late")
+    dropped(keys, firsts, told, common, twice, seconds, told_again)
     freed(long)
-    return early.union(late)
+    return early.union(again).union(late)
 
 
 def _near(found: DataFrame) -> DataFrame:

@@ -48,6 +48,22 @@ def test_equals_all_pairs(spark, seed, size, per):
     assert dict(map(tuple, lines.dedup(df, words_per_edit=per).select("doc_id", "text").collect())) == brute(docs, per)
 
 
+@pytest.mark.parametrize("size, refined, places, seed", [(60, 2, 6, 0), (60, 4, 20, 1), (3, 2, 12, 2), (45, 16, 60, 3)])
+def test_one_template_in_common_keys(spark, monkeypatch, size, refined, places, seed):
+    """Many copies of one template with two spellings at some places, so that nearly every key is common; also few words in all."""
+    monkeypatch.setattr(lines, "REFINED", refined)
+    r = random.Random(seed)
+    base = [f"w{r.randrange(size)}" for _ in range(60)]
+    docs = []
+    for i in range(70):
+        w = list(base)
+        for at in r.sample(range(min(places, 60)), 5):
+            w[at] = r.choice((f"a{at}", f"b{at}"))
+        docs.append((i, " ".join(edited(r, w, base, r.choice((0, 0, 1))))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert dict(map(tuple, lines.dedup(df, words_per_edit=20).select("doc_id", "text").collect())) == brute(docs, 20)
+
+
 def test_pipeline_stage_takes_long_near_copies(spark, sf):
     """Two lines of 111 words that differ in 3; and 3 of 30, which stay."""
     words = [f"w{i}" for i in range(111)]
