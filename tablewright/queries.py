@@ -6,15 +6,17 @@ from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import patterns
-from .functions.keys import hash_diff
+from .functions.keys import hash_diff, hash_key
 from .operators import dependencies, marts, models, normalize, profile, quality, relationships, vault
 from .plans import keys
 from .plans.dependencies import Dependency, synthesize_3nf
 from .plans.design import Design, DesignColumn, DesignTable, Relation
+from .session import shared_folder
+from .sources.bucketed import BucketedTable
 from .sources.catalog import TableMeta, TableSet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -596,6 +598,36 @@ def user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SAT = f"with h as (select {_hk('user_id')} as HK_user, ts as LOAD_DTS, user_id, {_hk('event_type')} as HASHDIFF, event_type from events), d as (select HK_user, LOAD_DTS, user_id, max(HASHDIFF) as HASHDIFF, arg_max(event_type, HASHDIFF) as event_type from h group by 1, 2, 3), c as (select *, lag(HASHDIFF) over (partition by HK_user order by LOAD_DTS) as b from d), s as (select HK_user, LOAD_DTS, HASHDIFF, user_id, event_type, 'web' as RECORD_SOURCE, lead(LOAD_DTS) over (partition by HK_user order by LOAD_DTS) as LOAD_END_DTS from c where b is null or HASHDIFF <> b) "
 query("sat_user", _SAT + "select * from s")(lambda spark, sf_dir: models.satellite(user_history(spark, sf_dir), "HK_user"))
+
+
+def loaded_in_batches(spark: SparkSession, rows: DataFrame, part: Column, key: list[str], by: list[str], keep: str = "least") -> DataFrame:
+    """rows in four batches by part (0 to 3), which come late, twice and interrupted by one another, in a table of 16 buckets."""
+    table = BucketedTable(spark, shared_folder(spark, "vault"), rows.schema, key, by, buckets=16, keep=keep)
+    for batch in (2, 0, 2, 3, 1, 0):
+        table.load(rows.where(part == batch), batch)
+    return table.read()
+
+
+@query("hub_batches", f"select {_hk('o_custkey')} as HK_customer, o_custkey, min(o_orderdate) as LOAD_DTS, 'erp' as RECORD_SOURCE from orders group by o_custkey")
+def hub_batches(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(hash_key("o_custkey").alias("HK_customer"), "o_custkey", F.col("o_orderdate").alias("LOAD_DTS"), F.lit("erp").alias("RECORD_SOURCE"), F.pmod("o_orderkey", F.lit(4)).alias("part"))
+    return loaded_in_batches(spark, rows, F.col("part"), ["HK_customer", "o_custkey"], ["HK_customer"]).drop("part")
+
+
+@query("link_batches", f"select {_hk('l_partkey', 'l_suppkey')} as LK_part_supplier, {_hk('l_partkey')} as HK_part, {_hk('l_suppkey')} as HK_supplier, min(l_shipdate) as LOAD_DTS from lineitem group by l_partkey, l_suppkey")
+def link_batches(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(hash_key("l_partkey", "l_suppkey").alias("LK_part_supplier"), hash_key("l_partkey").alias("HK_part"), hash_key("l_suppkey").alias("HK_supplier"), F.col("l_shipdate").alias("LOAD_DTS"), F.pmod("l_orderkey", F.lit(4)).alias("part"))
+    return loaded_in_batches(spark, rows, F.col("part"), ["LK_part_supplier", "HK_part", "HK_supplier"], ["LK_part_supplier"]).drop("part")
+
+
+@query("sat_batches", _SAT + "select * from s")
+def sat_batches(spark, sf_dir):
+    rows = read(spark, sf_dir, "events")
+    staged = models.vault_stage(rows, "HK_user", ["user_id"], ["event_type"], "web", F.col("ts")).select("HK_user", "LOAD_DTS", "HASHDIFF", "user_id", "event_type", "RECORD_SOURCE")
+    history = loaded_in_batches(spark, staged, F.pmod(F.dayofmonth("LOAD_DTS"), F.lit(4)), ["HK_user", "LOAD_DTS"], ["HK_user"], keep="greatest")
+    return models.satellite(history, "HK_user")
+
+
 query("hashdiff_customer", f"select c_custkey, {_hk('c_mktsegment', 'c_name', 'c_nationkey')} as hashdiff from customer")(lambda spark, sf_dir: read(spark, sf_dir, "customer").select("c_custkey", hash_diff("c_nationkey", "c_name", "c_mktsegment").alias("hashdiff")))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import models
+from ..sources.bucketed import BucketedTable
 
 
 def _stored(spark, path: str) -> DataFrame | None:
@@ -28,6 +31,11 @@ def hub_stream(stream: DataFrame, name: str, key: list[str], source: str, path:
     return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def table_stream(stream: DataFrame, table: BucketedTable, stage: Callable[[DataFrame], DataFrame], checkpoint: str):
+    """A query that loads stage(micro-batch) of every micro-batch; a repeated one changes nothing, each reads the buckets that it touches."""
+    return stream.writeStream.foreachBatch(lambda batch, number: table.load(stage(batch), number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(stream: DataFrame, time: str, by: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts per window and key with a watermark, for change volumes of incremental loads."""
     return stream.withWatermark(time, late).groupBy(F.window(time, window), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), by, "n")
