@@ -95,7 +95,7 @@ def pack(cut: DataFrame, n_pieces: int, capacity: int = CAPACITY, group: int = G
             else:
                 yield _placed(batch, packer, base)
 
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece"), F.lit(groups)))
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()), "piece", "ids_crc32"), F.lit(groups)))
     dealt = dealt.repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInPandas(place, PIECE + ", sequence_id bigint, offset bigint")
 

@@ -137,3 +137,12 @@ def test_words_rollup_oracle(spark, sf):
     columns = "source, lang, tokenizer_version, docs, tokens"
     want = sorted(c.sql(queries.ROLLUP_SQL).select(columns).fetchall())
     assert sorted(map(tuple, queries.token_rollup_words(spark, sf).select(*columns.split(", ")).collect())) == want
+
+
+def test_rows_without_id_meet_in_no_one_group(spark):
+    """A mass of id-less rows, some of them equal, is dealt over all groups and every piece is placed once."""
+    cut = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "0 as piece", "cast(0 as bigint) as start", "cast(100 as bigint) as length", "cast(if(id < 2000, 7, id) as bigint) as ids_crc32")
+    got = packing.pack(cut, 3000, group=500).toPandas()
+    assert len(got) == 3000 and (got["sequence_id"] // 2**40).value_counts().max() < 1500
+    for _, rows in got.groupby("sequence_id"):
+        assert sorted(rows["offset"]) == [100 * i for i in range(len(rows))]
