@@ -131,11 +131,12 @@ def held_out() -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     """Learn `quality` from at most sample_rows labelled rows that are not held out (null labels and ids take no part).
 
-    A document with several labels counts once, with the largest; documents with equal ids each count.
+    A document with several labels counts once, with the largest; of documents with equal ids the one with the least statistics counts.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(picked), "doc_id").select("label", statistics(whole("_text")).alias("s")).select("label", "s.*").toPandas()
+    rows = docs.select("doc_id", F.col("text").alias("_text")).join(F.broadcast(picked), "doc_id").select("doc_id", "label", statistics(whole("_text")).alias("s"))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "s")).alias("one")).select("one.label", "one.s.*").toPandas()
     rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)  # row order from the cluster varies, the fit must not
     return fit(rows[list(STATISTICS)].to_numpy(float), (rows["label"].to_numpy() > 0).astype(float))
 

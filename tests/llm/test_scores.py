@@ -246,3 +246,8 @@ def test_quality_query_against_its_rules(spark, sf):
         score = 1 / (1 + np.exp(-min(35, max(-35, z))))
         r = got[d.doc_id]
         assert abs(r.score - score) < 1e-9 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+
+
+def test_copies_of_a_labelled_id_come_to_the_driver_once(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    assert quality.train(docs.union(docs).union(docs), labels) == quality.train(docs, labels)
