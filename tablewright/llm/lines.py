@@ -16,8 +16,7 @@ of equal lines stays. Blank lines stay always.
 4. Higher bounds: the lines of a key that few have are compared. Lines of crowded keys get keys again, with pairs of words in
    place of chunks (an edit touches two), in order of their frequency: a line with more pairs of its own than the bound allows
    is done, and keys are rare. The others are compared with the earliest line of each of their keys. Those that this does not
-   settle are compared with the other lines of rare keys; a common key is joined with a second one, whose lines are compared in
-   the same way, the earliest first.
+   settle are compared with the other lines of their keys; those of common keys only if bits for their words leave the bound open.
 5. Every match is verified: equal text around the gap, or the edit distance of the words.
 
 Chunks end after words with certain last letters. A line with too few chunks takes its words as chunks as well; an
@@ -36,8 +35,10 @@ MIN_WORDS = 8
 GAPS = 8
 #: Lines of a key that are compared with each other as they are.
 FEW = 8
-#: Lines of a pair of words that are compared with each other as they are; of commoner ones, those that share a second pair.
+#: Lines of a pair of words that are compared with each other as they are; of commoner ones, those whose marks leave the bound open.
 REFINED = 16
+#: Numbers of 64 bits that mark the words of a line.
+MARKS = 8
 #: Words of a line for one edit, in the registered queries.
 WORDS_PER_EDIT = 20
 #: A chunk ends after a word that ends in one of these, which many words of most languages in Latin letters do. Few, as each costs
@@ -179,21 +180,44 @@ def _earlier(rest: DataFrame, keys: DataFrame, per: int) -> DataFrame:
     return rest.join(theirs, "token").where((F.col("before") < F.col("first")) & close).select("h1", "h2", "g1", "g2").distinct()
 
 
+def _marked(long: DataFrame) -> DataFrame:
+    """(h1, h2, marks): MARKS numbers of 64 bits, in which each word of the line has its bit; words can share one."""
+    places = F.array_distinct(F.transform(F.split("s", " "), lambda w: F.pmod(F.hash(w), F.lit(64 * MARKS))))
+    powers = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
+
+    def number(own: Column, k: int) -> Column:
+        bits = F.transform(F.filter(own, lambda v: F.shiftright(v, 6) == k), lambda v: F.get(powers, F.pmod(v, F.lit(64))))
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda so_far, bit: so_far.bitwiseOR(bit))
+
+    return long.select("h1", "h2", _bind(places, lambda own: F.array(*[number(own, k) for k in range(MARKS)])).alias("marks"))
+
+
+def _alike(rest: DataFrame, keys: DataFrame, marks: DataFrame, per: int) -> DataFrame:
+    """Pairs of a line of rest with each earlier line of its tokens, as far as their marks leave the bound open.
+
+    An edit takes one word from each side at most, so one line has no more than that many bits that the other has not.
+    """
+    numbers = lambda name: [F.get("marks", F.lit(k)).alias(f"{name}{k}") for k in range(MARKS)]
+    mine = rest.join(marks, ["h1", "h2"]).select("token", "h1", "h2", "first", "n", *numbers("x"))
+    theirs = keys.join(marks, ["h1", "h2"]).select("token", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("before"), F.col("n").alias("m"), *numbers("y"))
+    lack = lambda x, y: sum((F.bit_count(F.col(f"{x}{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}{k}")))) for k in range(MARKS)), F.lit(0))
+    bound = _bound(F.col("n"), F.col("m"), per)
+    close = (F.abs(F.col("n") - F.col("m")) <= bound) & (lack("x", "y") <= bound) & (lack("y", "x") <= bound)
+    return mine.join(theirs, "token").where((F.col("before") < F.col("first")) & close).select("h1", "h2", "g1", "g2")
+
+
 def _far(long: DataFrame, per: int) -> DataFrame:
     """(h1, h2) of numbered lines, all with a bound of 2 or more and a crowded key, that an earlier one of them is within.
 
-    Of the tokens in order of their frequency, two lines within the bound b share one among the first 2 b + 1 of each, and two
-    among the first 2 b + 2 if they have two in common; only lines of 2 b + 1 tokens in all, which are `flat`, can have fewer.
+    Of the tokens in order of their frequency, two lines within the bound b share one among the first 2 b + 1 of each.
     """
     each = long.select("id", F.explode("tokens").alias("token"))
     often = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-tokens")
     shared = heavy_join(each, often, ["token"], "c").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("own"))  # a line's own words
     shared = shared.join(long.select("id", "h1", "h2", "first", "n", F.size("tokens").alias("all")), "id")
     spare, alone = 2 * (F.col("n") / per).cast("int"), F.col("all") - F.size("own")
-    rarest = F.slice("own", F.lit(1), F.greatest(spare + 2 - alone, F.lit(0)))["token"]
-    keys = shared.where(alone <= spare).select("h1", "h2", "first", "n", (F.col("all") <= spare + 1).alias("flat"), rarest.alias("rarest"), (spare + 1 - alone).alias("k"))
-    keys = keys.select("*", F.posexplode("rarest").alias("p", "token")).where("p < k")
-    keys = stored(keys.select("h1", "h2", "first", "n", "flat", "token", F.slice("rarest", F.col("p") + 2, F.size("rarest")).alias("after")), "line-keys")
+    rarest = F.slice("own", F.lit(1), F.greatest(spare + 1 - alone, F.lit(0)))["token"]
+    keys = stored(shared.where(alone <= spare).select("h1", "h2", "first", "n", F.explode(rarest).alias("token")), "line-keys")
     dropped(often)
     freed(long)
 
@@ -201,25 +225,16 @@ def _far(long: DataFrame, per: int) -> DataFrame:
     told = _told(keys, firsts, per)
     early = _settled(told, long, per, "line-early")
 
-    # What the earliest lines do not settle meets the other lines of rare tokens, and of common ones the lines of a second token.
-    rest = heavy_join(keys.join(early, ["h1", "h2"], "left_anti"), firsts.select("token", "c"), ["token"], "c")
-    rare = F.col("c") <= REFINED
-    pairs = _earlier(rest.where(rare), keys, per).union(_earlier(rest.where(~rare & F.col("flat")), keys.where("flat"), per))
-    common = stored(rest.where(F.col("c") > REFINED).groupBy("token").agg(F.count(F.lit(1)).alias("c")), "line-common")
-    twice = heavy_join(keys, common, ["token"], "c").select("h1", "h2", "first", "n", "token", F.explode("after").alias("next"))
-    twice = stored(twice.select("h1", "h2", "first", "n", F.xxhash64("token", "next").alias("token")), "line-twice")
-    seconds = _firsts(twice)
-    unsettled = twice.join(early, ["h1", "h2"], "left_anti")
-    told_again = _told(unsettled, seconds, per)
-    again = _settled(told_again.join(told, ["h1", "h2", "g1", "g2"], "left_anti"), long, per, "line-again")
-    left = unsettled.join(again, ["h1", "h2"], "left_anti")
-    pairs = pairs.join(again, ["h1", "h2"], "left_anti").union(_earlier(left, twice, per)).distinct()
-    for known in (told, told_again):
-        pairs = pairs.join(known, ["h1", "h2", "g1", "g2"], "left_anti")
-    late = _settled(pairs, long, per, "line-late")
-    dropped(keys, firsts, told, common, twice, seconds, told_again)
+    # What the earliest lines do not settle meets the other lines of rare tokens, and of common ones those that are alike by their marks.
+    rest = stored(heavy_join(keys.join(early, ["h1", "h2"], "left_anti"), firsts, ["token"], "c").select("h1", "h2", "first", "n", "token", "c"), "line-rest")
+    common = rest.where(F.col("c") > REFINED)
+    theirs = stored(keys.join(common.select("token").distinct(), "token", "left_semi"), "line-common")
+    marks = stored(_marked(long.join(theirs.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")), "line-marks")
+    pairs = _earlier(rest.where(F.col("c") <= REFINED), keys, per).union(_alike(common, theirs, marks, per)).distinct()
+    late = _settled(pairs.join(told, ["h1", "h2", "g1", "g2"], "left_anti"), long, per, "line-late")
+    dropped(keys, firsts, told, rest, theirs, marks)
     freed(long)
-    return early.union(again).union(late)
+    return early.union(late)
 
 
 def _near(found: DataFrame) -> DataFrame:
@@ -278,7 +293,7 @@ def _removals(docs: DataFrame, per: int | None) -> DataFrame:
     keyed = unique.select("h1", "h2", "n", F.explode("keys").alias("key"))
     often = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "line-often")
     shared = stored(heavy_join(keyed, often, ["key"], "c"), "line-shared")
-    spent = [shared]
+    spent = []
     if per:
         pairs = stored(_close_pairs(shared, per), "line-pairs")
         crowded = stored(shared.where((F.col("c") > FEW) & (F.col("n") >= 2 * per)).select("h1", "h2").distinct(), "line-crowded")
@@ -286,12 +301,15 @@ def _removals(docs: DataFrame, per: int | None) -> DataFrame:
         spent += [pairs, crowded]
     else:
         maybe = shared.select("h1", "h2")
-    own = unique.join(maybe.distinct(), ["h1", "h2"]).select("first.k1", "first.k2", F.struct("first.at", "h1", "h2", "first", "n").alias("x"))
+    maybe = stored(maybe.distinct(), "line-maybe")
+    dropped(shared)
+    freed(docs)  # before texts are moved
+    own = unique.join(maybe, ["h1", "h2"]).select("first.k1", "first.k2", F.struct("first.at", "h1", "h2", "first", "n").alias("x"))
     own = own.groupBy("k1", "k2").agg(F.collect_list("x").alias("own"))  # a text's own lines
     found = docs.select("k1", "k2", "text").join(own, ["k1", "k2"]).select(F.split("text", "\n").alias("lines"), F.explode("own").alias("x"))
     found = found.select("x.h1", "x.h2", "x.first", "x.n", _normal(F.expr("lines[x.at]")).alias("s")).dropDuplicates(["h1", "h2"])
     found = stored(found, "line-words")
-    dropped(often)
+    dropped(often, maybe)
     freed(docs)
 
     edited = _near(found.where(F.col("n") <= 2 * per) if per else found)
