@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """(k1, k2, spans): for rows (k1, k2, text), the ranges of units that repeated strings cover, not yet merged."""
     entries = stored(_entries(docs, units, length, gram), "anchors")
     often = stored(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
-    some = stored(heavy_join(entries, often, ["gram"], "n").drop("n"), "entries")
+    some = stored(heavy_join(entries, often, ["gram"], "n", hashed=True).drop("n"), "entries")
     dropped(entries, often)
     freed(docs)
     kinds = stored(some.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "at", "first", "last")).alias("one")), "ranges")
@@ -417,4 +417,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
                 out.append((doc, len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), None if told is None else len(told), None if told is None else sum(b - a for a, b in told), rest))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DEDUPED.split(", ")]).astype({c: "Int64" for c in ("doc_id", "n_passages", "passage_words")})
 
-    return rows.join(spans, ROW, "left").select("doc_id", "text", "spans", passages.alias("passages")).mapInPandas(cut, DEDUPED)
+    return rows.join(spans.hint("shuffle_hash"), ROW, "left").select("doc_id", "text", "spans", passages.alias("passages")).mapInPandas(cut, DEDUPED)
