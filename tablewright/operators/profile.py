@@ -239,7 +239,8 @@ def histogram(df: DataFrame, column: str, buckets: int = 20) -> DataFrame:
     x = F.col(column).cast("double")
     ends = df.agg(F.min(x).alias("low"), F.max(x).alias("high")).where("low < high")
     rows = df.select(x.alias("x")).where("x is not null").join(F.broadcast(ends), F.lit(True))  # ends is one row
-    bucket = F.width_bucket(F.col("x"), F.col("low"), F.col("high") + 1, F.lit(buckets))
+    width = (F.col("high") + 1 - F.col("low")) / F.lit(buckets)  # as written in SQL: width_bucket rounds otherwise where a value is on an edge
+    bucket = F.when(width < float("inf"), F.floor((F.col("x") - F.col("low")) / width) + 1)
     return rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
