@@ -601,10 +601,14 @@ query("sat_user", _SAT + "select * from s")(lambda spark, sf_dir: models.satelli
 
 
 def loaded_in_batches(spark: SparkSession, rows: DataFrame, part: Column, key: list[str], by: list[str], keep: str = "least") -> DataFrame:
-    """rows in four batches by part (0 to 3), which come late, twice and interrupted by one another, in a table of 16 buckets."""
+    """rows in four batches by part (0 to 3), which come late, twice and interrupted by one another, in a table of 16 buckets.
+
+    Only the last version is read, so the files of those before are deleted as they are superseded.
+    """
     table = BucketedTable(spark, shared_folder(spark, "vault"), rows.schema, key, by, buckets=16, keep=keep)
     for batch in (2, 0, 2, 3, 1, 0):
         table.load(rows.where(part == batch), batch)
+        table.vacuum(keep=1)
     return table.read()
 
 

@@ -1,7 +1,7 @@
 """Tables in buckets of a hashed key, loaded in batches of which each reads and rewrites only the buckets that it touches.
 
 A table is a folder. `data/<version>-<batch>-<id>/_bucket=<n>` holds rows, `manifest/<version>.json` says which folder each bucket has
-and which batches are in. A version appears by one rename of its manifest, so readers see a batch whole or not at all, a
+and which batches are in. A load merges some buckets at a time; a version appears by one rename of its manifest, so readers see a batch whole or not at all, a
 batch that died before leaves only files that nothing names, and readers of earlier versions are not disturbed until
 `vacuum`. A manifest has an entry for each bucket and for each gap in the batch numbers, so it does not grow with the rows.
 One writer at a time.
@@ -10,14 +10,21 @@ One writer at a time.
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import delete, tidy
+
+#: Rows that one job of a load merges, but for those of a single bucket, and rows that one task merges.
+AT_ONCE = 4_000_000
+TASK = 250_000
+
 
 @dataclass(frozen=True)
 class Load:
@@ -90,32 +97,61 @@ class BucketedTable:
     def read(self, version: int | None = None) -> DataFrame:
         return self._rows(self.manifest(version))
 
-    def _one(self, rows: DataFrame) -> DataFrame:
+    def _dealt(self, seed: int, columns: list[str], parts: int) -> Column:
+        """A number below parts by the columns' text; -0.0 goes where 0.0 goes, its equal."""
+        kinds = {f.name: f.dataType.typeName() for f in self.schema.fields}
+        texts = [(F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c)).cast("string") for c in columns]
+        return F.pmod(F.xxhash64(*[F.lit(seed)] * bool(seed), *texts), F.lit(parts)).cast("int")
+
+    def _one(self, rows: DataFrame, place: list[str]) -> DataFrame:
+        """One row for each key, with the columns that tell its place, by which rows are shuffled already."""
         rest = [f.name for f in self.schema.fields if f.name not in self.key]
         if not rest:
-            return rows.select(*self.key).distinct()
+            return rows.select(*place, *self.key).distinct()
         best = (F.min if self.keep == "least" else F.max)(F.struct(*rest)).alias("_best")
-        return rows.groupBy(*self.key).agg(best).select(*self.key, "_best.*").select(*self.schema.fieldNames())
+        return rows.groupBy(*place, *self.key).agg(best).select(*place, *self.key, "_best.*").select(*place, *self.schema.fieldNames())
+
+    def _written(self, rows: DataFrame, path: str) -> None:
+        """Rows by bucket; zstd halves the digests in hexadecimal that keys mostly are."""
+        rows.write.partitionBy("_bucket").option("compression", "zstd").mode("append").parquet(path)
+
+    def _merge(self, known: dict, staged: str, touched: list[int], rows_read: int, bucket: Column, path: str) -> None:
+        """The touched buckets of the known version with the staged rows, some buckets a job; what is merged is no longer staged.
+
+        Rows are shuffled once, by their bucket and a part of it, and the disk that takes is given back after each job.
+        """
+        new = lambda some: self.spark.read.schema(self.schema).parquet(*[f"{staged}/_bucket={b}" for b in some])
+        total = rows_read + new(touched).count()  # counted from the files' footers
+        parts = math.ceil(total / len(touched) / TASK)
+        step = math.ceil(len(touched) / math.ceil(total / AT_ONCE))
+        for i in range(0, len(touched), step):
+            some = touched[i : i + step]
+            rows = self._rows(known, some).unionByName(new(some)).withColumns({"_bucket": bucket, "_part": self._dealt(1, self.key, parts)})
+            self._written(self._one(rows.repartition(len(some) * parts, "_bucket", "_part"), ["_bucket", "_part"]).drop("_part"), path)
+            for b in some:
+                delete(self.spark, f"{staged}/_bucket={b}")
 
     def load(self, rows: DataFrame, batch: int) -> Load:
         """Add a batch, known by its number; a number that is in already changes nothing."""
+        with tidy(self.spark):
+            return self._load(rows, batch)
+
+    def _load(self, rows: DataFrame, batch: int) -> Load:
         known = self.manifest()
         of = known["of"]
         if any(lo <= batch <= hi for lo, hi in known["batches"]):
             return Load(batch, True, 0, of, 0)
-        bucket = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in self.by]), F.lit(of)).cast("int")
+        bucket = self._dealt(0, self.by, of)
         version, name = known["version"] + 1, uuid.uuid4().hex
         staged = f"{self.path}/staged/{name}"
-        self._one(rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])).withColumn("_bucket", bucket).write.partitionBy("_bucket").parquet(staged)
+        self._written(rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).withColumn("_bucket", bucket), staged)
         p, fs = self._path(f"staged/{name}")
         touched = sorted(int(m[1]) for s in fs.listStatus(p) if (m := re.fullmatch(r"_bucket=(\d+)", s.getPath().getName())))
         old = self._rows(known, touched)
         folder = f"{version:012d}-{batch}-{name}"
-        if touched:
-            new = self.spark.read.schema(self.schema).parquet(*[f"{staged}/_bucket={b}" for b in touched])
-            merged = self._one(old.unionByName(new)).withColumn("_bucket", bucket).repartition(len(touched), "_bucket")
-            merged.write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         rows_read = old.count()  # counted from the files' footers
+        if touched:
+            self._merge(known, staged, touched, rows_read, bucket, f"{self.path}/data/{folder}")
         self._publish({"version": version, "of": of, "buckets": known["buckets"] | {str(b): folder for b in touched}, "batches": _with(known["batches"], batch)})
         fs.delete(p, True)
         return Load(batch, False, len(touched), of, rows_read)
