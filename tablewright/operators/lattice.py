@@ -12,13 +12,17 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a sample: the only rows that come to the driver, as 64-bit codes.
 SAMPLE = 100_000
 #: Column sets of a level that are keyed by one expression.
 BATCH = 8
+#: Rows of a table whose levels are counted by one job each, and whose codes are kept in memory.
+SMALL = 200_000
+#: Groups of equal rows that are told to every task.
+TOLD = 1_000_000
 
 
 def coded(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,16 +31,17 @@ def coded(df: DataFrame, columns: list[str]) -> DataFrame:
     The first alone tells whether values of a group differ; both together make a group's key. -0.0 and 0.0 are equal, and NaN
     equals itself.
     """
-    out = []
-    for i, c in enumerate(columns):
-        v = F.col(f"`{c}`")
-        if dict(df.dtypes)[c] in ("double", "float"):
-            v = v + F.lit(0.0)
-        if dict(df.dtypes)[c].startswith(("map", "variant")) or "map<" in dict(df.dtypes)[c]:
-            v = F.to_json(F.struct(v))
-        filled = F.col(f"`{c}`").isNotNull()
-        out += [F.when(filled, F.xxhash64(F.lit(1), v)).alias(f"c{i}"), F.when(filled, F.xxhash64(F.lit(2), v)).alias(f"d{i}")]
-    return df.select(*out)
+    return df.select(*[code(df, c, seed).alias(f"{k}{i}") for i, c in enumerate(columns) for seed, k in ((1, "c"), (2, "d"))])
+
+
+def code(df: DataFrame, column: str, seed: int) -> Column:
+    """A 64-bit code of the column's value, null for a null."""
+    v, kind = F.col(f"`{column}`"), dict(df.dtypes)[column]
+    if kind in ("double", "float"):
+        v = v + F.lit(0.0)
+    if kind.startswith(("map", "variant")) or "map<" in kind:
+        v = F.to_json(F.struct(v))
+    return F.when(F.col(f"`{column}`").isNotNull(), F.xxhash64(F.lit(seed), v))
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -51,10 +56,12 @@ class Sample:
     def __init__(self, table: DataFrame, total: int, n: int, size: int | None = None):
         size = SAMPLE if size is None else size
         codes = table.select(*[f"c{i}" for i in range(n)])
-        rows = [codes.limit(size if total <= size else size // 2)]
-        if total > size:
-            rows.append(codes.sample(min(1.0, 0.6 * size / total), seed=7).limit(size // 2))
-        got = pa.concat_tables([r.toArrow() for r in rows])  # bounded by the two limits
+        if total <= size:
+            got = codes.limit(size).toArrow()
+        else:
+            first = codes.take(size // 2)  # from as few partitions as have them: a limit would shuffle that many rows of each
+            near = pa.table({c: pa.array([r[i] for r in first], pa.int64()) for i, c in enumerate(codes.columns)})
+            got = pa.concat_tables([near, codes.sample(min(1.0, 0.6 * size / total), seed=7).limit(size // 2).toArrow().cast(near.schema)])
         small = pd.DataFrame({i: c.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) for i, c in enumerate(got.columns)})
         self.whole = total <= size
         if not self.whole:  # a row may be in both halves: equal rows prove no duplicate
@@ -81,10 +88,10 @@ class Sample:
             out.append(len(pd.unique(pairs[pd.Index(pairs).duplicated()])))
         return out
 
-    def repeats(self, xs: tuple[int, ...]) -> bool:
-        """Whether two different rows agree on X, neither with a null in it."""
+    def repeats(self, xs: tuple[int, ...]) -> int:
+        """How many rows agree on X with a different one before them, neither with a null in it."""
         filled = np.logical_and.reduce([self.codes[x] >= 0 for x in xs])
-        return bool(pd.Index(self._groups(xs)[filled]).duplicated().any())
+        return int(pd.Index(self._groups(xs)[filled]).duplicated().sum())
 
 
 def level(columns: range, found: list[frozenset[int]], size: int) -> list[tuple[int, ...]]:
