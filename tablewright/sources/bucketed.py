@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from ..session import delete, tidy
 
 #: Rows that one job of a load merges, but for those of a single bucket, and rows that one task merges.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 TASK = 250_000
 
 
@@ -112,8 +112,8 @@ class BucketedTable:
         return rows.groupBy(*place, *self.key).agg(best).select(*place, *self.key, "_best.*").select(*place, *self.schema.fieldNames())
 
     def _written(self, rows: DataFrame, path: str) -> None:
-        """Rows by bucket; zstd halves the digests in hexadecimal that keys mostly are."""
-        rows.write.partitionBy("_bucket").option("compression", "zstd").mode("append").parquet(path)
+        """Rows by bucket. Keys are mostly digests in hexadecimal: zstd halves them, and a larger dictionary holds those that come again."""
+        rows.write.partitionBy("_bucket").option("compression", "zstd").option("parquet.dictionary.page.size", 4 << 20).mode("append").parquet(path)
 
     def _merge(self, known: dict, staged: str, touched: list[int], rows_read: int, bucket: Column, path: str) -> None:
         """The touched buckets of the known version with the staged rows, some buckets a job; what is merged is no longer staged.

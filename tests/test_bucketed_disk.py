@@ -15,7 +15,7 @@ def shuffled(spark):
     return {n for n in names if n.startswith("shuffle_")}
 
 
-@pytest.mark.parametrize("at_once,task", [(4_000_000, 250_000), (200, 7)])
+@pytest.mark.parametrize("at_once,task", [(2_000_000, 250_000), (200, 7)])
 def test_a_load_leaves_only_its_version(spark, tmp_path, monkeypatch, at_once, task):
     monkeypatch.setattr(bucketed, "AT_ONCE", at_once)
     monkeypatch.setattr(bucketed, "TASK", task)
