@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -60,6 +61,16 @@ def _words(text: str) -> np.ndarray:
 WORDS = Units(_words, np.uint64)
 
 
+@dataclass(frozen=True)
+class Search:
+    """Strings of `length` units that repeat, found by anchors of `gram`; texts of fewer than `least` bytes hold none."""
+
+    units: Units
+    length: int
+    gram: int
+    least: int = 0
+
+
 def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """128-bit digests (n x 2 long) of data[start:end]."""
     raw, size = memoryview(np.ascontiguousarray(data)).cast("B"), data.itemsize
@@ -275,17 +286,17 @@ def _sorted_groups(rows: DataFrame, units: Units, length: int) -> DataFrame:
     return rows.repartition(parts, "gram").sortWithinPartitions("gram", *ROW, "at").mapInPandas(resolve, FOUND)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, units: Units, length: int) -> DataFrame:
-    """The wanted entries with the units of all windows that they serve."""
-    own = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("at", "first", "last", "gram", "open", "crowded")).alias("own"))  # a text's own anchors
-    schema = "k1 bigint, k2 bigint, at bigint, first bigint, last bigint, gram bigint, open boolean, crowded boolean, context binary"
+def _contexts(docs: DataFrame, wanted: DataFrame, searches: list[Search]) -> DataFrame:
+    """The wanted entries of all searches with the units of all windows that they serve; a text is moved once for all of them."""
+    own = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("search", "at", "first", "last", "gram", "open", "crowded")).alias("own"))  # a text's own anchors
+    schema = "k1 bigint, k2 bigint, search int, at bigint, first bigint, last bigint, gram bigint, open boolean, crowded boolean, context binary"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for k1, k2, text, own in zip(batch["k1"], batch["k2"], batch["text"], batch["own"]):
-                data = units.of(text)
-                rows += [(k1, k2, e["at"], e["first"], e["last"], e["gram"], e["open"], e["crowded"], data[e["first"] : e["last"] + length].tobytes()) for e in own]
+                data = {n: searches[n].units.of(text) for n in {e["search"] for e in own}}
+                rows += [(k1, k2, n, e["at"], e["first"], e["last"], e["gram"], e["open"], e["crowded"], data[n][e["first"] : e["last"] + searches[n].length].tobytes()) for e in own for n in [e["search"]]]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return docs.join(own, ROW).dropDuplicates(ROW).mapInPandas(cut, schema)
@@ -347,27 +358,43 @@ def _crowded(rows: DataFrame, units: Units, length: int) -> DataFrame:
     return found
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, units: Units = BYTES) -> DataFrame:
-    """(k1, k2, spans): for rows (k1, k2, text), the ranges of units that repeated strings cover, not yet merged."""
-    entries = stored(_entries(docs, units, length, gram), "anchors")
+def _narrowed(docs: DataFrame, search: Search, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges that repeat as a whole, and the entries whose contexts are to be looked at; both stored."""
+    entries = stored(_entries(docs.where(F.octet_length("text") >= search.least), search.units, search.length, search.gram), "anchors")
     often = stored(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
     some = stored(heavy_join(entries, often, ["gram"], "n", hashed=True).drop("n"), "entries")
     dropped(entries, often)
     freed(docs)
     kinds = stored(some.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "at", "first", "last")).alias("one")), "ranges")
-    clear = heavy_join(some, stored(kinds.where("n > 1").select(*RANGE, "n"), "copies"), RANGE, "n")
-    clear = clear.select(*ROW, F.col("first").alias("low"), (F.col("last") + length).alias("high"))
+    copies = stored(kinds.where("n > 1").select(*RANGE, "n"), "copies")
+    clear = heavy_join(some, copies, RANGE, "n")
+    clear = stored(clear.select(*ROW, F.col("first").alias("low"), (F.col("last") + search.length).alias("high")), "clear")
     contexts = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("rarest"))
     unclear = stored(contexts.where("kinds > 1 and rarest = 1").select("gram", "kinds", (F.col("kinds") > crowd).alias("crowded")), "unclear")
-    wanted = heavy_join(kinds, unclear, ["gram"], "kinds").select("gram", (F.col("n") == 1).alias("open"), "crowded", "one.*")
-    rows = stored(_contexts(docs, wanted, units, length), "contexts")
+    wanted = stored(heavy_join(kinds, unclear, ["gram"], "kinds").select("gram", (F.col("n") == 1).alias("open"), "crowded", "one.*"), "wanted")
+    dropped(some, kinds, copies, unclear)
+    freed(docs)
+    return clear, wanted
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, units: Units = BYTES, told: Search | None = None) -> DataFrame:
+    """(k1, k2, spans): for rows (k1, k2, text), the ranges of units that repeated strings cover, not yet merged.
+
+    With `told`, which is searched for beside, its ranges are in `passages`. Rows without any are left out.
+    """
+    searches = [Search(units, length, gram, length if units is BYTES else 0), *([told] if told else [])]
+    clear, wanted = zip(*[_narrowed(docs, s, crowd) for s in searches])
+    all_of = lambda each: reduce(DataFrame.unionByName, [t.withColumn("search", F.lit(n)) for n, t in enumerate(each)])
+    rows = stored(_contexts(docs, all_of(wanted), searches), "contexts")
+    dropped(*wanted)
     freed(docs)
-    crowded = _crowded(rows.where("crowded"), units, length)
-    found = clear.union(_sorted_groups(rows.where("not crowded"), units, length)).union(crowded)
-    spans = stored(found.groupBy(*ROW).agg(F.collect_set(F.struct("low", "high")).alias("spans")), "spans")  # a text's own spans
-    dropped(some, kinds, unclear, rows, crowded)
+    crowded = [_crowded(rows.where((F.col("search") == n) & F.col("crowded")), s.units, s.length) for n, s in enumerate(searches)]
+    resolved = [_sorted_groups(rows.where((F.col("search") == n) & ~F.col("crowded")), s.units, s.length) for n, s in enumerate(searches)]
+    found = stored(all_of([a.union(b).union(c) for a, b, c in zip(clear, resolved, crowded)]), "found")
+    dropped(*clear, rows, *crowded)
     freed(docs)
-    return spans
+    ranges = [F.collect_set(F.when(F.col("search") == n, F.struct("low", "high"))).alias(name) for n, name in zip(range(len(searches)), ("spans", "passages"))]
+    return found.groupBy(*ROW).agg(*ranges)  # a text's own; grouped by the keys that the texts are joined by, so it is moved once
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -395,11 +422,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     """
     rows = docs.select(F.col("doc_id").cast("long"), whole().alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
-    spans = repeated_spans(rows.where(F.octet_length("text") >= length).select(*ROW, "text"), length, gram, crowd)
+    told = Search(WORDS, passage, passage_gram, 2 * passage - 1) if passage else None
+    spans = repeated_spans(rows.where(F.octet_length("text") >= (min(length, told.least) if told else length)).select(*ROW, "text"), length, gram, crowd, told=told)
     passages = F.lit(None).cast("array<struct<low:bigint,high:bigint>>")
-    if passage:
-        told = repeated_spans(rows.where(F.octet_length("text") >= 2 * passage - 1).select(*ROW, "text"), passage, passage_gram, crowd, WORDS)
-        spans = spans.join(told.withColumnRenamed("spans", "passages"), ROW, "full")
+    if told:
         passages = F.coalesce("passages", F.array().cast("array<struct<low:bigint,high:bigint>>"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
