@@ -199,7 +199,8 @@ def find_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 4
     if not total:
         return []
     large = total > lattice.SMALL
-    table = lattice.coded(df, columns) if large else lattice.spread(lattice.coded(df, columns)).persist()
+    once = max_size == 1 and min_uniqueness >= 1 and total <= sample  # one level, and the sample has all rows: codes that differ prove a key
+    table = lattice.coded(df, columns) if large or once else lattice.spread(lattice.coded(df, columns)).persist()
     repeated = None
     try:
         seen = lattice.Sample(table, total, n, sample) if min_uniqueness >= 1 else None
@@ -217,7 +218,9 @@ def find_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 4
                 else:
                     wanted.append(xs)
             work.counted += len(wanted)
-            if repeated:
+            if once:
+                counts = [(filled[x], filled[x]) for (x,) in wanted]
+            elif repeated:
                 counts = [(whole, whole) for whole in repeated.unique(wanted)]
             elif large:
                 with tidy(df.sparkSession):
